@@ -1,0 +1,58 @@
+"""Tables and files in the folder that driver and executors share.
+
+`spark.checkpoint.dir` names that folder on a cluster. It is read from the
+session; only where it is unset (tests, a laptop) a temporary one is made.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_FALLBACK: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder's URI."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _FALLBACK:
+        _FALLBACK[app] = "file://" + tempfile.mkdtemp(prefix="cardfile-")
+    return _FALLBACK[app]
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path under the shared folder that no one else uses."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+    """`df` written once as Parquet to the shared folder and read again.
+
+    Cuts the lineage: what comes later does not depend on the executors that
+    made these rows, and shared inputs of several branches are made once.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    df.write.parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept._cut_path = path
+    return kept
+
+
+def drop(df: DataFrame) -> None:
+    """Deletes what `cut` wrote, once nothing reads it any more."""
+    path = getattr(df, "_cut_path", None)
+    if path:
+        remove(df.sparkSession, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder through the file system that its URI names."""
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
