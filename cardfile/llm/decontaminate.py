@@ -12,11 +12,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cardfile.llm.hashing import grams_of, word_hashes
 from cardfile.llm.store import cut
 
 SPAN = 13
@@ -24,7 +24,6 @@ K = 8
 #: At most so many benchmark hashes (8 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_HASHES = 1 << 20
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -32,23 +31,9 @@ def words(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(_FOLD).split()
 
 
-def _word_hashes(found: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))
-
-
-def _grams(hashes: np.ndarray, n: int) -> np.ndarray:
-    """A hash of each run of n words; n takes part in it."""
-    count = max(0, len(hashes) - n + 1)
-    out = np.full(count, n, np.uint64)
-    for i in range(n if count else 0):
-        out = (out ^ hashes[i : count + i]) * _MULTIPLIER
-        out ^= out >> np.uint64(29)
-    return out
-
-
 def winnow(hashes: np.ndarray, span: int = SPAN, k: int = K) -> np.ndarray:
     """The distinct least k-gram hashes of every `span` words."""
-    grams = _grams(hashes, k)
+    grams = grams_of(hashes, k)
     size = span - k + 1
     if len(grams) < size:
         return np.empty(0, np.uint64)
@@ -63,14 +48,14 @@ def item_hashes(text: bytes | None, span: int = SPAN, k: int = K) -> np.ndarray:
     found = words(text)
     if not found:
         return np.empty(0, np.uint64)
-    hashes = _word_hashes(found)
-    return winnow(hashes, span, k) if len(found) >= span else _grams(hashes, len(found))
+    hashes = word_hashes(found)
+    return winnow(hashes, span, k) if len(found) >= span else grams_of(hashes, len(found))
 
 
 def document_hashes(found: list[bytes], short: list[int], span: int = SPAN, k: int = K) -> np.ndarray:
     """The winnowed hashes of a document, and those of all its runs as long as some short item."""
-    hashes = _word_hashes(found)
-    return np.unique(np.concatenate([winnow(hashes, span, k), *(_grams(hashes, n) for n in short)]))
+    hashes = word_hashes(found)
+    return np.unique(np.concatenate([winnow(hashes, span, k), *(grams_of(hashes, n) for n in short)]))
 
 
 def shared_spans(document: list[bytes], item: list[bytes], span: int = SPAN) -> list[int]:

@@ -7,10 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardfile.llm import decontaminate, langid, pack, quality, records, shards, simhash
+from cardfile.llm import decontaminate, langid, pack, paragraphs, pii, quality, records, shards, simhash
 from cardfile.llm.store import new_path
 
 SHARDS = 24
@@ -26,6 +26,17 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _of_kind(kind: str) -> Callable[[Column], Column]:
+    return lambda span: span["kind"] == kind
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and places of personal data in every document, and of the terms that reveal it."""
+    found = pii.found_spans(_table(spark, sf_dir, "documents"))
+    kinds = [F.size(F.filter("base", _of_kind(k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *kinds, F.sha2(pii.listed("base").cast("binary"), 256).alias("base_sha256"), pii.listed("spans").alias("spans"))
+
+
 def op4_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as binary records, read back: where their ids start, how many, and their checksum."""
     path = new_path(spark, "records")
@@ -71,8 +82,13 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op10_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every paragraph that repeats, with its class and whether it goes."""
+    return paragraphs.repeated_paragraphs(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op4_records, op5_hilbert_shards, op6_packing, op7_language, op8_decontaminate, op9_quality)}
+    return {f.__name__: f for f in (op1_simhash, op3_pii, op4_records, op5_hilbert_shards, op6_packing, op7_language, op8_decontaminate, op9_quality, op10_paragraphs)}
 
 
 def oracle_sql() -> dict[str, str]:
