@@ -24,6 +24,8 @@ from cardfile.llm import tokens
 
 TOKENIZER = "byte_bpe_50k.json"
 END = 2
+#: At most so many files' starts (some 100 bytes each) are broadcast; more are joined by a shuffle.
+BROADCAST_FILES = 1 << 16
 _MASK = 0xA282EAD8
 _HEAD = struct.Struct("<QI")
 _KEY = struct.Struct("<qB?2x")
@@ -123,6 +125,9 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     nth = F.regexp_extract("file", r"^part-(\d+)", 1).cast("long")  # by number: names sort wrong beyond 99,999 files
     earlier = Window.orderBy(nth, "file").rowsBetween(Window.unboundedPreceding, -1)
     before = sums.select("file", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    # one row a file: broadcast up to a bound, so that the ids need no shuffle
+    if index.select("file").distinct().count() <= BROADCAST_FILES:
+        before = F.broadcast(before)
     return _read(spark, path, True, True).join(before, "file").select("file", "record", "offset", "length", "id", (F.col("before") + F.col("start")).alias("start"), "n_tokens", "ids")
 
 

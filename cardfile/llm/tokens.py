@@ -1,9 +1,11 @@
-"""Token ids of whole texts by the tokenizers library, with a memo of chunks.
-
-Byte-level tokenizers cut a text before every lone space, and word tokenizers
-drop white space, whatever stands around it. So a text's ids are the ids of
-those chunks in order; a chunk seen before is looked up, and only new ones are
-encoded. Texts where that does not hold are encoded whole.
+"""Token ids of whole texts by the tokenizers library, with a memo of words.
+
+Byte-level tokenizers cut a text before every lone space and at every lone line
+end, and word tokenizers drop white space, whatever stands around it. So a
+text's ids are the ids of its words in order; a word seen before is looked up.
+Of a new one, a run of letters and a run of signs after it are pieces of their
+own, which go straight to the tokenizer's model; other words go through the
+whole tokenizer, and texts with other white space are encoded whole.
 """
 
 from __future__ import annotations
@@ -14,11 +16,10 @@ import re
 
 import numpy as np
 
-#: Chunks kept in a Python worker; more are encoded without being kept.
-MEMO = 1_000_000
-_CLOSE_SPACE = re.compile(r"  | [^\S ]|[^\S ] ")
-_ODD_SPACE = re.compile("[\x1c-\x1f]")
-_PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+([.,;:!?*$%&#|]*)")
+#: Words kept in a Python worker that came again, and as many pieces; of the new ones a quarter as many.
+MEMO = 600_000
+#: Letters whose lower case is one letter, then signs.
+_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-įıĴ-ɏ]+)([.,;:!?*$%&#|]*)")
 _LOADED: dict[str, Encoder] = {}
 
 
@@ -29,6 +30,24 @@ def load(tokenizer: str) -> Encoder:
     return _LOADED[tokenizer]
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level tokenizers write for each byte: its own if it prints, else the next from 256 up."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in prints]
+    return {b: chr(256 + hidden.index(b)) if b in hidden else chr(b) for b in range(256)}
+
+
+class _Kept(dict):
+    """Words that came again; others are looked up among the new ones."""
+
+    def __init__(self, new: dict[str, bytes]):
+        super().__init__()
+        self.new = new
+
+    def __missing__(self, word: str) -> bytes:
+        return self.new[word]
+
+
 class Encoder:
     def __init__(self, tokenizer: str, memo: int = MEMO):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -40,78 +59,79 @@ class Encoder:
             tokenizer = public_tokenizers.path(tokenizer)
         self.tokenizer = Tokenizer.from_file(tokenizer)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         spec = json.loads(self.tokenizer.to_str())
         before = spec["pre_tokenizer"] or {}
+        steps = before.get("pretokenizers", [])
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        #: Words carry the space before them; or white space is dropped.
         self.led = spec["normalizer"] is None and before.get("type") == "ByteLevel" and before["use_regex"] and not before["add_prefix_space"]
-        self.free = "\\\\s+" in json.dumps(spec["normalizer"]) and [x.get("behavior") for x in before.get("pretokenizers", [])][:1] == ["Removed"]
-        self.ends = None
-        if self.free and spec["model"].get("end_of_word_suffix"):
-            self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
-            self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(spec["model"]["end_of_word_suffix"])]] = True
+        self.free = "\\\\s+" in json.dumps(spec["normalizer"]) and [x.get("behavior") for x in steps][:1] == ["Removed"] and steps[-1].get("type") == "ByteLevel"
+        self.lower = "Lowercase" in json.dumps(spec["normalizer"])
+        self.letters = byte_letters()
         self.limit = memo
-        self.memo: dict[str, bytes] = {}
-        self.bare: dict[str, bytes] = {}
+        self.new: dict[str, bytes] = {}
+        self.memo = _Kept(self.new)
+        self.pieces: dict[str, bytes] = {}
+        self.line_end = self._whole("\n") if self.led else b""
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _apart(self, chunks: list[str]) -> list[bytes]:
-        """The ids of each chunk, which stands between two cuts."""
-        made = self.tokenizer.encode(chunks, is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(made.ids, self.dtype)
-        cuts = np.searchsorted(np.array(made.word_ids, np.int64), np.arange(len(chunks) + 1))
-        return [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
-
-    def _plain(self, chunks: list[str], pieces: list[int]) -> list[bytes]:
-        """As `_apart`, of letters and then signs: these make one or two pieces, which word ends tell apart."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(chunks)], add_special_tokens=False)[0].ids, self.dtype)
-        cuts = np.flatnonzero(self.ends[ids]) + 1
-        last = np.cumsum(pieces)
-        if not len(last) or len(cuts) != last[-1]:
-            return self._apart(chunks)
-        cuts = np.concatenate(([0], cuts[last - 1]))
-        return [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
-
-    def _learn(self, known: dict[str, bytes], chunks: set[str], lead: str = "") -> dict[str, bytes]:
-        """A dict that holds the chunks: the memo, or a copy beyond its limit."""
-        new = list(chunks - known.keys())
-        if len(known) + len(new) > self.limit:
-            known = {c: known[c] for c in chunks if c in known}
-        plain = [(c, m) for c in new if (m := _PLAIN.fullmatch(c))] if self.ends is not None else []
-        odd = [c for c in new if not _PLAIN.fullmatch(c)] if plain else new
-        for at in range(0, len(plain), 2000):
-            part = plain[at : at + 2000]
-            known.update(zip((c for c, _ in part), self._plain([c for c, _ in part], [1 + bool(m[1]) for _, m in part])))
-        for at in range(0, len(odd), 2000):
-            part = odd[at : at + 2000]
-            known.update(zip(part, self._apart([lead + c for c in part])))
-        return known
+    def _piece(self, piece: str, lead: str = "") -> bytes:
+        text = lead + (piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters))
+        ids = self.pieces.get(text)
+        if ids is None:
+            if len(self.pieces) >= self.limit:
+                self.pieces.clear()
+            ids = self.pieces[text] = np.array([t.id for t in self.model.tokenize(text)], self.dtype).tobytes()
+        return ids
+
+    def _word(self, word: str) -> bytes:
+        """The ids of one word of `_split`."""
+        before, lead = b"", ""
+        if self.led and word[:1] in ("\0", "\n"):
+            before, word = self.line_end if word[0] == "\n" else b"", word[1:]
+        elif self.led:
+            lead = self.letters[32]
+        plain = _PLAIN.fullmatch(word)
+        if not plain:
+            return before + self._whole(" " + word if lead else word)
+        head, signs = plain.groups()
+        ids = before + self._piece(head.lower() if self.lower else head, lead)
+        return ids + self._piece(signs) if signs else ids
+
+    def _learn(self, words: set[str]) -> None:
+        """Has the ids of all these words at hand: kept once a word comes in a second call, else until the next ones."""
+        unkept = words - self.memo.keys()
+        again = unkept & self.new.keys()
+        if len(self.memo) + len(again) <= self.limit:
+            self.memo.update((w, self.new.pop(w)) for w in again)
+        if len(self.new) > self.limit // 4:
+            held = {w: self.new[w] for w in again if w in self.new}
+            self.new.clear()
+            self.new.update(held)
+        self.new.update((w, self._word(w)) for w in unkept - again)
+
+    def _split(self, text: str) -> list[str] | None:
+        """The words of a text, or None where words don't stand for themselves.
+
+        With a `led` tokenizer a word has its space before it, the first word
+        begins with a zero character, and a line's first one with the line end.
+        """
+        words = text.split()
+        if self.free:
+            return None if any(c in text for c in "\x1c\x1d\x1e\x1f") else words
+        gaps = len(words) - 1
+        if not words or "\0" in text or text.count(" ") + text.count("\n") != gaps or sum(map(len, words)) + gaps != len(text):
+            return None if text else []
+        return ("\0" + text).replace("\n", " \n").split(" ")
 
     def encode(self, texts) -> list[np.ndarray]:
         """The ids of each text, as `dtype`; null is like an empty text."""
         if not (self.led or self.free):
             return [np.frombuffer(self._whole(t or ""), self.dtype) for t in texts]
-        parts: list[list[str] | bytes] = []
-        chunks: set[str] = set()
-        first: set[str] = set()
-        for text in texts:
-            text = text or ""
-            if (_CLOSE_SPACE if self.led else _ODD_SPACE).search(text):
-                parts.append(self._whole(text))
-                continue
-            words = text.split(" ") if self.led else text.split()
-            parts.append(words)
-            if self.led:
-                first.add(words[0])
-                chunks.update(words[1:])
-            else:
-                chunks.update(words)
-        known = self._learn(self.memo, chunks, " " if self.led else "").__getitem__
-        bare = self._learn(self.bare, first).__getitem__ if self.led else None
-        out = []
-        for words in parts:
-            if isinstance(words, list):
-                words = bare(words[0]) + b"".join(map(known, words[1:])) if self.led else b"".join(map(known, words))
-            out.append(np.frombuffer(words, self.dtype))
-        return out
+        parts = [self._split(t or "") for t in texts]
+        self._learn({w for p in parts if p for w in p})
+        found = self.memo.__getitem__
+        return [np.frombuffer(self._whole(t) if p is None else b"".join(map(found, p)), self.dtype) for t, p in zip(texts, parts)]
