@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardfile.llm import decontaminate, langid, pack, paragraphs, pii, quality, records, shards, simhash
+from cardfile.llm import decontaminate, images, langid, pack, paragraphs, pii, quality, records, shards, simhash
 from cardfile.llm.store import new_path
 
 SHARDS = 24
@@ -26,6 +26,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page, drawn as an image, with the class of the cropped or edited copies it belongs to."""
+    return images.image_copies(images.page_images(_table(spark, sf_dir, "pages")), "page_id")
+
+
 def _of_kind(kind: str) -> Callable[[Column], Column]:
     return lambda span: span["kind"] == kind
 
@@ -88,7 +93,7 @@ def op10_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op3_pii, op4_records, op5_hilbert_shards, op6_packing, op7_language, op8_decontaminate, op9_quality, op10_paragraphs)}
+    return {f.__name__: f for f in (op1_simhash, op2_image_copies, op3_pii, op4_records, op5_hilbert_shards, op6_packing, op7_language, op8_decontaminate, op9_quality, op10_paragraphs)}
 
 
 def oracle_sql() -> dict[str, str]:
