@@ -105,8 +105,8 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
 
         size = 0
         for pdf in batches:
-            for at in range(0, len(pdf), 500):
-                part = pdf.iloc[at : at + 500]
+            for at in range(0, len(pdf), 1000):
+                part = pdf.iloc[at : at + 1000]
                 for key, ids in zip(part["id"], encoder.encode(part["text"])):
                     held.append((key, np.concatenate((ids, end))))
                     size += len(ids) + 1

@@ -80,8 +80,8 @@ def write_records(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         encoder = tokens.load(tokenizer)
         end = np.array([end_id], encoder.dtype)
         for pdf in batches:
-            for at in range(0, len(pdf), 500):
-                part = pdf.iloc[at : at + 500]
+            for at in range(0, len(pdf), 1000):
+                part = pdf.iloc[at : at + 1000]
                 keys = (None if pd.isna(k) else int(k) for k in part["id"])
                 yield pd.DataFrame({"record": [frame(k, np.concatenate((ids, end))) for k, ids in zip(keys, encoder.encode(part["text"]))]})
 

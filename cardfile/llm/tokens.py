@@ -103,15 +103,15 @@ class Encoder:
 
     def _learn(self, words: set[str]) -> None:
         """Has the ids of all these words at hand: kept once a word comes in a second call, else until the next ones."""
-        unkept = words - self.memo.keys()
-        again = unkept & self.new.keys()
+        unkept = [w for w in words if w not in self.memo]
+        again = {w for w in unkept if w in self.new}
         if len(self.memo) + len(again) <= self.limit:
             self.memo.update((w, self.new.pop(w)) for w in again)
         if len(self.new) > self.limit // 4:
             held = {w: self.new[w] for w in again if w in self.new}
             self.new.clear()
             self.new.update(held)
-        self.new.update((w, self._word(w)) for w in unkept - again)
+        self.new.update((w, self._word(w)) for w in unkept if w not in again)
 
     def _split(self, text: str) -> list[str] | None:
         """The words of a text, or None where words don't stand for themselves.
@@ -132,6 +132,6 @@ class Encoder:
         if not (self.led or self.free):
             return [np.frombuffer(self._whole(t or ""), self.dtype) for t in texts]
         parts = [self._split(t or "") for t in texts]
-        self._learn({w for p in parts if p for w in p})
+        self._learn(set().union(*(p for p in parts if p)))
         found = self.memo.__getitem__
         return [np.frombuffer(self._whole(t) if p is None else b"".join(map(found, p)), self.dtype) for t, p in zip(texts, parts)]
