@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardfile.llm import decontaminate, pack, pii, quality, simhash
-from cardfile.llm.store import cut
+from cardfile.sources.store import cut
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
