@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cardfile.llm.store import cut, drop
+from cardfile.sources.store import cut, drop
 
 MAX_ROUNDS = 60
 
