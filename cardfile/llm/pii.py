@@ -30,6 +30,9 @@ REMOVE = 0.9
 GENERALISE = 0.75
 #: Distinct texts, and distinct surroundings, in which a term must meet an entity: fewer estimate nothing.
 SUPPORT = 3
+#: Surroundings are the terms so many places before and after; there must be this many of them for each text.
+REACH = 10
+INDEPENDENT = 0.5
 #: At most so many candidate terms are broadcast for the corpus count; more are joined by a shuffle.
 BROADCAST_TERMS = 1 << 18
 
@@ -114,9 +117,10 @@ def _unpack(flat) -> list[Span]:
 
 
 def _met(text: str, spans: list[Span], entities: set[str]) -> list[tuple[str, str, int]]:
-    """Distinct (entity, term, surroundings) of one text; surroundings: a hash of the words before and after."""
+    """Distinct (entity, term, surroundings) of one text; surroundings: a hash of the terms REACH before and after."""
     terms = [t for t, _, _ in term_spans(text, spans)]
-    around = {(t, xxhash.xxh64_intdigest(f"{a} {b}") >> 1) for a, t, b in zip(["", *terms], terms, [*terms[1:], ""])}
+    last = len(terms) - 1
+    around = {(t, xxhash.xxh64_intdigest(f"{terms[max(0, i - REACH)]} {terms[min(last, i + REACH)]}") >> 1) for i, t in enumerate(terms)}
     return [(e, t, c) for e in sorted(entities) for t, c in sorted(around)]
 
 
@@ -126,8 +130,9 @@ def found_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     base has the patterns' spans; spans has those and then the method's, of
     kind remove or generalise, by kind and start. A null text is empty and has
     none. Repeated rows and ids keep their rows; equal texts count once as
-    evidence, and equal surroundings of a term too, so copies of a document do
-    not make its rare words disclosing. Entities in fewer than `support` texts
+    evidence, and a term must meet an entity in surroundings that differ from
+    text to text, so that copies of a document, near ones too, do not make its
+    rare words disclosing. Entities in fewer than `support` texts
     reveal nothing. An empty table gives an empty table.
     """
     spark = docs.sparkSession
@@ -165,7 +170,7 @@ def found_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     met = cut(sources.mapInPandas(meet, "row long, print long, entity string, term string, around long"), "met")
     texts = met.groupBy("entity", "term", "print").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.count("*").alias("n_both"))
     places = met.groupBy("entity", "term", "around").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.count("*").alias("n_around"))
-    pairs = texts.where(F.col("n_both") >= support).join(places.where(F.col("n_around") >= support), ["entity", "term"])
+    pairs = texts.where(F.col("n_both") >= support).join(places.where(F.col("n_around") >= support), ["entity", "term"]).where(F.col("n_around") >= INDEPENDENT * F.col("n_both"))
     pairs = cut(pairs.select("entity", "term", "n_both"), "pairs")
 
     terms = pairs.select("term").distinct()
@@ -251,12 +256,13 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     Patterns become [EMAIL], [IP], [CARD] or [PHONE]; disclosing terms are
     removed or become [TERM]. Null texts stay null.
     """
-    kept = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    spans = found_spans(kept, id_col, text_col, row_col="_row", **settings).where(F.size("spans") > 0).select("_row", F.col("spans").alias("_spans"))
+    kept = cut(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "rows")
+    texts = kept.select("row", F.col(f"doc.`{id_col}`").alias("id"), F.col(f"doc.`{text_col}`").alias("text"))
+    spans = found_spans(texts, "id", "text", row_col="row", **settings).where(F.size("spans") > 0).select("row", "spans")
 
     @F.pandas_udf("string")
     def rewritten(texts: pd.Series, found: pd.Series) -> pd.Series:
-        return pd.Series([redacted(t, [(s["kind"], s["start"], s["end"]) for s in x]) if x is not None else t for t, x in zip(texts, found)])
+        return pd.Series([redacted(t, [(s["kind"], s["start"], s["end"]) for s in x]) if x is not None else t for t, x in zip(texts, found)], dtype="object")
 
-    own = kept.join(spans, "_row", "left").withColumn(text_col, rewritten(text_col, "_spans"))
-    return own.select(*[own[c] for c in docs.columns])
+    own = kept.join(spans, "row", "left").withColumn("new_text", rewritten(f"doc.`{text_col}`", "spans"))
+    return own.select(*[(F.col("new_text") if c == text_col else F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
