@@ -56,3 +56,19 @@ def remove(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+#: Rows that Spark hands to Python at once when they hold whole texts.
+TEXT_ROWS = 2_000
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """df, with the session's Arrow batches held to TEXT_ROWS rows.
+
+    Spark's default of 10,000 rows is meant for narrow rows; of whole texts it
+    is tens of MB, several times over in each Python worker.
+    """
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > TEXT_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
+    return df
