@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cardfile.llm.hashing import grams_of, word_hashes
-from cardfile.sources.store import cut
+from cardfile.sources.store import cut, text_batches
 
 SPAN = 13
 K = 8
@@ -122,7 +122,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 out["text"].append(text if len(met) else None)
             yield pd.DataFrame(out)
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    rows = text_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     schema = f"row long, id {rows.schema['id'].dataType.simpleString()}, n_words long, met array<long>, text binary"
     seen = cut(rows.mapInPandas(find, schema), "met")
     pairs = seen.where(F.size("met") > 0).select("row", F.explode("met").alias("h")).join(wanted.select("h", "item", "item_text"), "h").groupBy("row", "item", "item_text").agg(F.count("*").alias("n"))

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cardfile.sources.store import text_batches
+
 #: Character n-grams of these lengths, over the bytes of the lower-cased text.
 ORDERS = (2, 3, 4)
 BUCKETS = 1 << 15
@@ -55,7 +57,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     Tasks add up the counts of their rows; what reaches the driver is one row
     of `buckets` counts per language. Without rows the model knows no language.
     """
-    known = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
+    known = text_batches(docs).where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
     chosen = known.select(F.col(id_col).alias("_id")).distinct().orderBy(F.xxhash64("_id"), "_id").limit(sample)
     rows = known.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).join(F.broadcast(chosen), "_id")
 
@@ -115,7 +117,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_into: st
             scores.append(float(1 / np.exp(total - total[best]).sum()))
         return pd.DataFrame({"lang": langs, "score": scores})
 
-    own = docs.withColumn("_found", classified(text_col))
+    own = text_batches(docs).withColumn("_found", classified(text_col))
     return own.withColumn(lang_into, F.col("_found.lang")).withColumn(score_into, F.col("_found.score")).drop("_found")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cardfile.llm import tokens
+from cardfile.sources.store import text_batches
 
 TIERS = (2048, 1024, 512, 256)
 TOKENIZER = "word_bpe_49k.json"
@@ -75,7 +76,7 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
     chunks of bounded size, so nothing is shuffled; the ids of sequences and
     groups carry the task's number. An empty table gives an empty table.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = text_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = tokens.load(tokenizer)

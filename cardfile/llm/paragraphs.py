@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from cardfile.llm.components import components
 from cardfile.llm.hashing import grams_of, word_hashes
-from cardfile.sources.store import cut
+from cardfile.sources.store import cut, text_batches
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -133,7 +133,7 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     minhash = MinHash(tuned_bands(similarity, recall, rows_per_band), rows_per_band)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = text_batches(docs).select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     key = rows.schema["id"].dataType.simpleString()
     columns = ["row", "id", "paragraph", "start", "end", "n_words", "print", "buckets"]
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cardfile.sources.store import cut
+from cardfile.sources.store import cut, text_batches
 
 KINDS = ("email", "ip", "card", "phone")
 #: The method's own kinds of span, after those of the patterns.
@@ -137,7 +137,7 @@ def found_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     row = F.col(row_col) if row_col else F.monotonically_increasing_id()
-    rows = docs.select(row.alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = text_batches(docs).select(row.alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     key = rows.schema["id"].dataType.simpleString()
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

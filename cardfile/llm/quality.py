@@ -19,7 +19,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cardfile.sources.store import cut
+from cardfile.sources.store import cut, text_batches
 
 #: Labelled rows that a fit takes at most; the ones with the least hash of their id.
 SAMPLE = 20_000
@@ -71,7 +71,7 @@ def with_statistics(docs: DataFrame, text_col: str = "text", into: str = "stats"
     def measured(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([statistics(t) for t in texts], columns=STATISTICS, dtype="float64")
 
-    return docs.withColumn(into, measured(F.col(text_col).cast("binary")))
+    return text_batches(docs).withColumn(into, measured(F.col(text_col).cast("binary")))
 
 
 @dataclass(frozen=True)

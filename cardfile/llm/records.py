@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cardfile.llm import tokens
+from cardfile.sources.store import text_batches
 
 TOKENIZER = "byte_bpe_50k.json"
 END = 2
@@ -71,7 +72,7 @@ def write_records(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     before it in its file) and n_tokens. No rows give an empty index.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = text_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     order = [F.col("id").asc_nulls_first(), F.xxhash64("text")]
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = rows.repartitionByRange(files, *order).sortWithinPartitions(*order)

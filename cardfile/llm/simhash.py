@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from cardfile.llm.components import components
-from cardfile.sources.store import cut
+from cardfile.sources.store import cut, text_batches
 
 SHINGLE_WORDS = 4
 RADIUS = 4
@@ -146,7 +146,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     never a component's id unless its component has no other. Columns beyond
     the two named are not read. An empty table gives an empty table.
     """
-    prints = cut(docs.select(F.col(id_col), fingerprint_column(text_col, shingle_words).alias("f")), "simhash")
+    prints = cut(text_batches(docs).select(F.col(id_col), fingerprint_column(text_col, shingle_words).alias("f")), "simhash")
     first = prints.groupBy("f").agg(F.min(id_col).alias("first_id"))
     linked = components(hamming_links(first.select("f"), radius, segments))
     named = first.join(linked, first.f == linked.node, "left").select("f", "first_id", F.coalesce("component", "f").alias("c"))
