@@ -122,8 +122,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 out["text"].append(text if len(met) else None)
             yield pd.DataFrame(out)
 
-    rows = text_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    schema = f"row long, id {rows.schema['id'].dataType.simpleString()}, n_words long, met array<long>, text binary"
+    # ids pass through pandas as text: whole numbers with nulls would become floats
+    rows = text_batches(docs).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("binary").alias("text"))
+    schema = "row long, id string, n_words long, met array<long>, text binary"
     seen = cut(rows.mapInPandas(find, schema), "met")
     pairs = seen.where(F.size("met") > 0).select("row", F.explode("met").alias("h")).join(wanted.select("h", "item", "item_text"), "h").groupBy("row", "item", "item_text").agg(F.count("*").alias("n"))
 
@@ -141,7 +142,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         F.sort_array(F.collect_list(F.struct("item", "start", "end"))).alias("spans"),
     )
     out = seen.select("row", "id", "n_words").join(hit, "row", "left")
-    return out.select(F.col("id").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), "spans")
+    return out.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), "spans")
 
 
 def contaminated(n_words: str = "n_words", n_hit: str = "n_hit"):

@@ -76,7 +76,8 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
     chunks of bounded size, so nothing is shuffled; the ids of sequences and
     groups carry the task's number. An empty table gives an empty table.
     """
-    rows = text_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    # ids pass through pandas as text: whole numbers with nulls would become floats
+    rows = text_batches(docs).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = tokens.load(tokenizer)
@@ -117,6 +118,5 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
         if held:
             yield close()
 
-    key = rows.schema["id"].dataType.simpleString()
-    made = rows.mapInPandas(pack, f"id {key}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, tier int, padded long, step_group long")
-    return made.withColumnRenamed("id", id_col)
+    made = rows.mapInPandas(pack, "id string, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, tier int, padded long, step_group long")
+    return made.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), *made.columns[1:])

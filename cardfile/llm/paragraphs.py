@@ -133,8 +133,7 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     minhash = MinHash(tuned_bands(similarity, recall, rows_per_band), rows_per_band)
-    rows = text_batches(docs).select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    key = rows.schema["id"].dataType.simpleString()
+    rows = text_batches(docs).select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
     columns = ["row", "id", "paragraph", "start", "end", "n_words", "print", "buckets"]
 
     def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -143,9 +142,11 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             for row, i, text in pdf.itertuples(index=False):
                 for nth, a, b, words in paragraphs(text, min_words):
                     out.append((row, i, nth, a, b, len(words), text_print(words), minhash.buckets(shingles(words, shingle_words))))
-            yield pd.DataFrame(out, columns=columns).astype({"id": pdf["id"].dtype} if len(out) else {})
+            if out:
+                yield pd.DataFrame(out, columns=columns)
 
-    seen = cut(rows.mapInPandas(signed, f"row long, id {key}, paragraph long, start long, end long, n_words long, print long, buckets array<long>"), "paragraphs")
+    seen = cut(rows.mapInPandas(signed, "row long, id string, paragraph long, start long, end long, n_words long, print long, buckets array<long>"), "paragraphs")
+    seen = seen.withColumn("id", F.col("id").cast(docs.schema[id_col].dataType))  # as text it passed pandas whole, nulls or not
     met = seen.select("print", F.explode("buckets").alias("bucket"))
     shared = met.groupBy("bucket").agg(F.min("print").alias("lo"), F.max("print").alias("hi")).where("lo < hi").select("bucket")
     members = met.join(shared, "bucket").distinct()
@@ -171,7 +172,8 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                     out[p] = shingles(words, shingle_words).view(np.int64)
             if len(sent) < 1 << 18:
                 sent.update(out)
-            yield pd.DataFrame({"print": list(out), "hashes": list(out.values())})
+            if out:
+                yield pd.DataFrame({"print": list(out), "hashes": list(out.values())})
 
     sets = rows.select("text").mapInPandas(fetched, "print long, hashes array<long>")
     if known is None:

@@ -137,8 +137,8 @@ def found_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     row = F.col(row_col) if row_col else F.monotonically_increasing_id()
-    rows = text_batches(docs).select(row.alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    key = rows.schema["id"].dataType.simpleString()
+    # ids pass through pandas as text: whole numbers with nulls would become floats
+    rows = text_batches(docs).select(row.alias("row"), F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -153,7 +153,7 @@ def found_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             made["print"] = made["print"].astype("Int64")
             yield made
 
-    seen = cut(rows.mapInPandas(scan, f"row long, id {key}, flat array<int>, entities array<string>, print long, text string"), "pii")
+    seen = cut(rows.mapInPandas(scan, "row long, id string, flat array<int>, entities array<string>, print long, text string"), "pii")
     held = seen.where("text is not null")
     owners = held.select("row", "print", F.explode("entities").alias("entity"))
     # entities in enough different texts; the others cannot reach the support
@@ -221,7 +221,7 @@ def found_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     none = F.array().cast("array<int>")
     both = told_rows.select("row", "id", "flat", "more").unionByName(seen.where("terms is null").select("row", "id", "flat", none.alias("more")))
     base, more = _structs("flat", KINDS), _structs("more", TERM_KINDS)
-    out = both.select(*([F.col("row").alias(row_col)] if row_col else []), F.col("id").alias(id_col), base.alias("base"), F.concat(base, more).alias("spans"))
+    out = both.select(*([F.col("row").alias(row_col)] if row_col else []), F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), base.alias("base"), F.concat(base, more).alias("spans"))
     return out
 
 

@@ -86,8 +86,9 @@ def write_records(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                 keys = (None if pd.isna(k) else int(k) for k in part["id"])
                 yield pd.DataFrame({"record": [frame(k, np.concatenate((ids, end))) for k, ids in zip(keys, encoder.encode(part["text"]))]})
 
+    # ids pass through pandas as text: whole numbers with nulls would become floats;
     # text files: Spark commits them task by task, on whatever store the path names
-    ranged.mapInPandas(framed, "record binary").select(F.col("record").cast("string").alias("value")).write.text(f"{path}/records")
+    ranged.withColumn("id", F.col("id").cast("string")).mapInPandas(framed, "record binary").select(F.col("record").cast("string").alias("value")).write.text(f"{path}/records")
     _read(spark, path, False, False).drop("ids").write.parquet(f"{path}/index")
 
 
