@@ -19,7 +19,7 @@ END = 1
 #: Tokens of a step group; every group of a tier has as many, so steps cost the same in each tier.
 STEP_TOKENS = 1 << 15
 #: Tokens that are packed together at most (a longer document is packed alone).
-CHUNK_TOKENS = 1 << 22
+CHUNK_TOKENS = 1 << 20
 
 
 def plan(lengths: list[int], tiers: tuple[int, ...] = TIERS) -> list[tuple[int, list[tuple[int, int, int]]]]:

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardfile.llm import decontaminate, images, langid, pack, paragraphs, pii, quality, records, shards, simhash
+from cardfile.llm import decontaminate, images, langid, pack, paragraphs, pii, quality, records, shards, simhash, sql
 from cardfile.sources.store import new_path
 
 SHARDS = 24
@@ -97,4 +97,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others need hashes, tokenizers or fitted models that SQL has not; tests hold them against brute force."""
+    return {"op8_decontaminate": sql.decontaminate(decontaminate.SPAN), "op10_paragraphs": sql.repeated_paragraphs(paragraphs.MIN_WORDS, paragraphs.SHINGLE_WORDS, paragraphs.SIMILARITY)}
