@@ -62,3 +62,9 @@ def select_contacts(contacts: DataFrame, log: DataFrame, skip: int = 0, limit: i
     if only_with_name:
         rows = rows.where("contact_person <> ''")
     return exclude_processed(sliced(rows, "ord", skip, limit), log)
+
+
+def preview(df: DataFrame, order: str, n: int = 10, width: int = 40) -> DataFrame:
+    """The first n rows, long text cut with two dots; a report for reading."""
+    cells = [F.when(F.length(c) > width, F.concat(F.left(c, F.lit(width - 2)), F.lit(".."))).otherwise(F.col(c)).alias(c) if t == "string" else F.col(c) for c, t in df.dtypes]
+    return df.orderBy(order).limit(n).select(*cells)

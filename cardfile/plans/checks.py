@@ -204,6 +204,7 @@ def all_sql() -> dict[str, str]:
         "render_text": "select conv_id, turn, concat('[', coalesce(role, ''), '] ', cast(turn as varchar), ': ', coalesce(text, ''), ' ') as line from conversations",
         "run_summary": f"with {_CONTACTS}, {_ROW_EMAILS}, sums as (select c.ord, c.niche, count(email) filter ({_target('email')}) as kept from contacts c left join row_emails r on c.ord = r.ord group by 1, 2) select niche, count(*) as total, count(*) filter (kept > 0) as with_emails, sum(kept)::bigint as total_emails from sums group by niche",
         "location_slugs": rf"with {_CONTACTS} select trim(regexp_replace(concat(niche, ', ', location), '[\\/:*?\"<>|, ]', '_', 'g'), '_') as slug, count(*) as n from contacts group by 1",
+        "contact_preview": f"with {_CONTACTS} select ord, case when length(company_name) > 24 then concat(left(company_name, 22), '..') else company_name end as company_name, case when length(all_emails_found) > 24 then concat(left(all_emails_found, 22), '..') else all_emails_found end as all_emails_found from contacts order by ord limit 10",
         "clean_stream": _clean(False),
         "suppress_stream": f"select distinct concat('info@co', cast(user_id % 211 as varchar), '.test') as email from events where concat('info@co', cast(user_id % 211 as varchar), '.test') not in (select lower(recipient_email) from ({D.as_sql(D.LOG)}) t)",
         "run_locations": f"""with {_CONTACTS}, cleaned as ({_clean(False).replace("with " + _CONTACTS + ",", "with")}),

@@ -186,6 +186,11 @@ def location_slugs(spark, sf_dir):
     return _contacts(spark, sf_dir).select(S.slug(F.concat_ws(", ", "niche", "location")).alias("slug")).groupBy("slug").agg(F.count("*").alias("n"))
 
 
+def contact_preview(spark, sf_dir):
+    rows = _contacts(spark, sf_dir).select("ord", "company_name", "all_emails_found")
+    return selection.preview(rows, "ord", 10, 24)
+
+
 def _people_pages(spark, sf_dir):
     """Page bodies with a person and a title set into them, by the page's number."""
     pages = D.table(spark, sf_dir, "pages")
@@ -250,6 +255,6 @@ QUERIES = (
     email_domains, extract_emails, email_validity, extract_phones, html_text, page_links, url_normalise, rank_emails, collect_row_emails, clean_contacts,
     clean_contacts_strict, clean_summary, removed_emails, dedup_companies, mx_summary, verify_contacts, verify_counts, select_contacts, chunk_locations,
     plan_locations, limit_per_group, fill_to_quota, threshold_fallback, niche_relevance, element_search, candidate_skips, merge_sources, resolve_region,
-    infer_pattern, address_from_pattern, render_text, run_summary, location_slugs, people_extract, harvest_pages, page_plan, result_links, place_rows,
+    infer_pattern, address_from_pattern, render_text, run_summary, location_slugs, contact_preview, people_extract, harvest_pages, page_plan, result_links, place_rows,
     run_locations, clean_stream, suppress_stream,
 )
