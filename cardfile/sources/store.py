@@ -59,7 +59,7 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 #: Rows that Spark hands to Python at once when they hold whole texts.
-TEXT_ROWS = 2_000
+TEXT_ROWS = 1_000
 
 
 def text_batches(df: DataFrame) -> DataFrame:
