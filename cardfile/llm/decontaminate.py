@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cardfile.llm.hashing import grams_of, word_hashes
+from cardfile.llm.workers import give_back
 from cardfile.sources.store import cut, text_batches
 
 SPAN = 13
@@ -121,6 +122,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 out["met"].append(met.view(np.int64))
                 out["text"].append(text if len(met) else None)
             yield pd.DataFrame(out)
+        give_back()
 
     # ids pass through pandas as text: whole numbers with nulls would become floats
     rows = text_batches(docs).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("binary").alias("text"))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cardfile.llm import tokens
+from cardfile.llm.workers import give_back
 from cardfile.sources.store import text_batches
 
 TIERS = (2048, 1024, 512, 256)
@@ -117,6 +118,7 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
                         size = 0
         if held:
             yield close()
+        give_back()
 
     made = rows.mapInPandas(pack, "id string, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, tier int, padded long, step_group long")
     return made.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), *made.columns[1:])

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from cardfile.llm.components import components
 from cardfile.llm.hashing import grams_of, word_hashes
+from cardfile.llm.workers import give_back
 from cardfile.sources.store import cut, text_batches
 
 SHINGLE_WORDS = 5
@@ -144,6 +145,7 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                     out.append((row, i, nth, a, b, len(words), text_print(words), minhash.buckets(shingles(words, shingle_words))))
             if out:
                 yield pd.DataFrame(out, columns=columns)
+        give_back()
 
     seen = cut(rows.mapInPandas(signed, "row long, id string, paragraph long, start long, end long, n_words long, print long, buckets array<long>"), "paragraphs")
     seen = seen.withColumn("id", F.col("id").cast(docs.schema[id_col].dataType))  # as text it passed pandas whole, nulls or not
@@ -174,6 +176,7 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 sent.update(out)
             if out:
                 yield pd.DataFrame({"print": list(out), "hashes": list(out.values())})
+        give_back()
 
     sets = rows.select("text").mapInPandas(fetched, "print long, hashes array<long>")
     if known is None:

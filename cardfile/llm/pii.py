@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cardfile.llm.workers import give_back
 from cardfile.sources.store import cut, text_batches
 
 KINDS = ("email", "ip", "card", "phone")
@@ -152,6 +153,7 @@ def found_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             made = pd.DataFrame(out)
             made["print"] = made["print"].astype("Int64")
             yield made
+        give_back()
 
     seen = cut(rows.mapInPandas(scan, "row long, id string, flat array<int>, entities array<string>, print long, text string"), "pii")
     held = seen.where("text is not null")
@@ -166,6 +168,7 @@ def found_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for r, p, text, flat, own in pdf.itertuples(index=False):
                 met = _met(text, _unpack(flat), set(own))
                 yield pd.DataFrame({"row": r, "print": p, "entity": [e for e, _, _ in met], "term": [t for _, t, _ in met], "around": [c for _, _, c in met]})
+        give_back()
 
     met = cut(sources.mapInPandas(meet, "row long, print long, entity string, term string, around long"), "met")
     texts = met.groupBy("entity", "term", "print").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.count("*").alias("n_both"))
@@ -190,6 +193,7 @@ def found_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     yield pd.DataFrame({"term": [t.decode() for t in sums], "n": list(sums.values())})
                     sums = {}
         yield pd.DataFrame({"term": ["", *(t.decode() for t in sums)], "n": [n, *sums.values()]})
+        give_back()
 
     if few:
         corpus = rows.select("text").mapInPandas(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))

@@ -19,6 +19,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cardfile.llm.workers import give_back
 from cardfile.sources.store import cut, text_batches
 
 #: Labelled rows that a fit takes at most; the ones with the least hash of their id.
@@ -69,7 +70,9 @@ def with_statistics(docs: DataFrame, text_col: str = "text", into: str = "stats"
 
     @F.pandas_udf(", ".join(f"{s} double" for s in STATISTICS))
     def measured(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([statistics(t) for t in texts], columns=STATISTICS, dtype="float64")
+        found = pd.DataFrame([statistics(t) for t in texts], columns=STATISTICS, dtype="float64")
+        give_back()
+        return found
 
     return text_batches(docs).withColumn(into, measured(F.col(text_col).cast("binary")))
 

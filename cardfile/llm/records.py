@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cardfile.llm import tokens
+from cardfile.llm.workers import give_back
 from cardfile.sources.store import text_batches
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -85,6 +86,7 @@ def write_records(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                 part = pdf.iloc[at : at + 1000]
                 keys = (None if pd.isna(k) else int(k) for k in part["id"])
                 yield pd.DataFrame({"record": [frame(k, np.concatenate((ids, end))) for k, ids in zip(keys, encoder.encode(part["text"]))]})
+        give_back()
 
     # ids pass through pandas as text: whole numbers with nulls would become floats;
     # text files: Spark commits them task by task, on whatever store the path names
@@ -110,6 +112,7 @@ def _read(spark: SparkSession, path: str, verify: bool, with_ids: bool) -> DataF
                         made["id"] = made["id"].astype("Int64")
                         yield made
                         out = []
+        give_back()
 
     spark_files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/records").where("length > 0")
     named = spark_files.select(F.substring_index("path", "/", -1).alias("file"), "content")

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from cardfile.llm.components import components
+from cardfile.llm.workers import give_back
 from cardfile.sources.store import cut, text_batches
 
 SHINGLE_WORDS = 4
@@ -55,6 +56,7 @@ def fingerprint_column(text: Column | str, shingle_words: int = SHINGLE_WORDS) -
     @F.pandas_udf(LongType())
     def simhash(texts: pd.Series) -> pd.Series:
         found = np.fromiter((fingerprint(t, shingle_words) for t in texts), np.uint64, len(texts))
+        give_back()
         return pd.Series(found.view(np.int64))
 
     return simhash(F.col(text).cast("binary") if isinstance(text, str) else text.cast("binary"))

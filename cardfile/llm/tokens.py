@@ -17,7 +17,7 @@ import re
 import numpy as np
 
 #: Words kept in a Python worker that came again, and as many pieces; of the new ones a quarter as many.
-MEMO = 250_000
+MEMO = 150_000
 #: Letters whose lower case is one letter, then signs.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-įıĴ-ɏ]+)([.,;:!?*$%&#|]*)")
 _LOADED: dict[str, Encoder] = {}
