@@ -1,0 +1,141 @@
+"""Substring dedup: passages of RUN words that repeat anywhere, whatever lines they are laid out in.
+
+Winnowed anchors (the least hash of each window of word runs) are the same in
+every copy of a passage, so texts without a shared anchor hold no repeat. Only
+runs round a shared anchor are then counted, each by the hash of all its words.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from cardfile.llm.hashing import grams_of, word_hashes
+from cardfile.llm.workers import give_back
+from cardfile.sources.store import cut, drop, text_batches
+
+#: Words of the shortest passage that counts: over 50.
+RUN = 51
+#: Words of an anchor. A window of RUN - ANCHOR + 1 of them lies in each run and gives one at least.
+ANCHOR = 25
+#: Words as bytes.split() tells them apart.
+_WORD = re.compile("[^ \t\n\r\x0b\x0c]+")
+
+
+def _sliding(values: np.ndarray, width: int, of: np.ufunc) -> np.ndarray:
+    """The least or largest of each `width` values in a row, in steps that double."""
+    done = 1
+    while done < width:
+        step = min(done, width - done)
+        values = of(values[:-step], values[step:])
+        done += step
+    return values
+
+
+def anchor_hashes(text: str | None) -> np.ndarray:
+    """The hash of each run of ANCHOR words, in order."""
+    return grams_of(word_hashes((text or "").encode("utf-8", "replace").lower().split()), ANCHOR)
+
+
+def anchors(grams: np.ndarray) -> np.ndarray:
+    """The least hash of each window, once, or twice if it stands in several places."""
+    window = RUN - ANCHOR + 1
+    if len(grams) < window:
+        return np.empty(0, np.uint64)
+    padded = np.pad(_sliding(grams, window, np.minimum), window - 1)
+    chosen, counts = np.unique(grams[_sliding(padded, window, np.maximum) == grams], return_counts=True)
+    return np.repeat(chosen, np.minimum(counts, 2))
+
+
+def runs(grams: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places, as counts of words, and hashes of the runs of RUN words that hold one of these anchors."""
+    window = RUN - ANCHOR + 1
+    near = np.concatenate(([0], np.cumsum(np.isin(grams, marks))))
+    places = np.flatnonzero(near[window:] > near[:-window])
+    hashes = np.full(len(places), RUN, np.uint64)
+    for at in sorted({*range(0, window, ANCHOR), window - 1}):  # together they cover the run
+        hashes = (hashes ^ grams[places + at]) * np.uint64(0x9E3779B97F4A7C15)
+        hashes ^= hashes >> np.uint64(31)
+    return places, hashes
+
+
+def spans(text: str, later: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, bool]]:
+    """(start, end, n_words, removed) of the words in runs at these places; words of a first run stay."""
+    at = [m.span() for m in _WORD.finditer(text)]
+    state = np.zeros(len(at) + 2, np.int64)
+    for places, value in ((later, 2), (first, 1)):
+        steps = np.zeros(len(at) + 1, np.int64)
+        np.add.at(steps, places, 1)
+        np.add.at(steps, places + RUN, -1)
+        state[1:-1][np.cumsum(steps)[:-1] > 0] = value
+    edges = np.flatnonzero(np.diff(state))
+    return [(at[a][0], at[b - 1][1], int(b - a), bool(state[a + 1] == 2)) for a, b in zip(edges, edges[1:]) if state[a + 1]]
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per span of repeated words: id_col, start, end, n_words, removed.
+
+    A run of RUN words (lower-cased A-Z, apart at white space, line ends
+    included) repeats if it stands in another place of any row. Its first place
+    (least id, then place) stays, and spans of words in later ones are removed;
+    a word in both a first and a later run stays. Places are code points, ends
+    exclusive. Rows with a null id take part and come last; repeated rows are
+    occurrences each. Equal texts are one entry in the search, and nothing is
+    paired, so rows grow with the text.
+    """
+    rows = text_batches(docs).select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").withColumn("print", F.xxhash64("text"))
+    kept = cut(rows.select("row", "id", "print"), "rows")
+    heads = kept.groupBy("print").agg(F.count("*").alias("copies"), F.min(F.struct(F.col("id").isNull().alias("late"), "id", "row")).alias("head"))
+    heads = cut(heads, "heads")
+
+    def anchored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [anchors(anchor_hashes(t)).view(np.int64) for t in pdf["text"]]
+            yield pd.DataFrame({"print": pdf["print"], "anchors": found})
+        give_back()
+
+    seen = rows.select("print", "text").mapInPandas(anchored, "print long, anchors array<long>").where(F.size("anchors") > 0).dropDuplicates(["print"])
+    seen = cut(seen.join(heads.select("print", "copies"), "print"), "anchors")
+    marks = seen.select("print", "copies", F.explode("anchors").alias("anchor"))
+    shared = marks.groupBy("anchor").agg(F.sum("copies").alias("n")).where("n > 1").select("anchor")
+    marked = marks.join(shared, "anchor").groupBy("print").agg(F.collect_set("anchor").alias("marks"))
+    texts = cut(rows.select("print", "text").dropDuplicates(["print"]).join(marked, "print"), "marked")
+    drop(seen)
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = {"print": pdf["print"], "places": [], "runs": []}
+            for text, own in zip(pdf["text"], pdf["marks"]):
+                places, hashes = runs(anchor_hashes(text), np.asarray(own, np.int64).view(np.uint64))
+                out["places"].append(places.astype(np.int32))
+                out["runs"].append(hashes.view(np.int64))
+            yield pd.DataFrame(out)
+        give_back()
+
+    held = cut(texts.select("print", "text", "marks").mapInPandas(counted, "print long, places array<int>, runs array<long>").join(heads, "print"), "runs")
+    places = held.select("print", "copies", "head", F.explode(F.arrays_zip("places", "runs")).alias("x")).select("print", "copies", "head.late", "head.id", F.col("x.places").alias("place"), F.col("x.runs").alias("run"))
+    firsts = places.groupBy("run").agg(F.sum("copies").alias("n"), F.min(F.struct("late", "id", "print", "place")).alias("first")).where("n > 1").select("run", F.col("first.print").alias("in"), F.col("first.place").alias("at"))
+    own = places.select("print", "place", "run").join(firsts, "run")
+    own = own.select("print", "place", ((F.col("in") == F.col("print")) & (F.col("at") == F.col("place"))).alias("first"))
+    own = own.groupBy("print").agg(F.collect_list(F.when(~F.col("first"), F.col("place"))).alias("later"), F.collect_list(F.when(F.col("first"), F.col("place"))).alias("first"))
+    kind = "array<struct<start:long,end:long,n_words:long,removed:boolean>>"
+
+    def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = {"print": pdf["print"], "head": [], "copy": []}
+            for text, later, first in zip(pdf["text"], pdf["later"], pdf["first"]):
+                later, first = np.asarray(later, np.int64), np.asarray(first, np.int64)
+                for name, parts in (("head", (later, first)), ("copy", (np.concatenate((later, first)), first[:0]))):
+                    out[name].append([dict(zip(("start", "end", "n_words", "removed"), s)) for s in spans(text, *parts)])
+            yield pd.DataFrame(out)
+        give_back()
+
+    found = cut(texts.select("print", "text").join(own, "print").select("print", "text", "later", "first").mapInPandas(placed, f"print long, head {kind}, copy {kind}"), "spans")
+    found = found.join(heads.select("print", F.col("head.row").alias("head_row")), "print")
+    all_rows = kept.select("row", "id", "print").join(found, "print").select("id", F.explode(F.when(F.col("row") == F.col("head_row"), F.col("head")).otherwise(F.col("copy"))).alias("s"))
+    return all_rows.select(F.col("id").alias(id_col), "s.start", "s.end", "s.n_words", "s.removed")

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardfile.llm import decontaminate, images, langid, pack, paragraphs, pii, quality, records, shards, simhash, sql
+from cardfile.llm import decontaminate, images, langid, pack, paragraphs, passages, pii, quality, records, shards, simhash, sql
 from cardfile.sources.store import new_path
 
 SHARDS = 24
@@ -92,8 +92,13 @@ def op10_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.repeated_paragraphs(_table(spark, sf_dir, "documents"))
 
 
+def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage of over 50 words that repeats, in any lines, and whether it goes."""
+    return passages.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_image_copies, op3_pii, op4_records, op5_hilbert_shards, op6_packing, op7_language, op8_decontaminate, op9_quality, op10_paragraphs)}
+    return {f.__name__: f for f in (op1_simhash, op2_image_copies, op3_pii, op4_records, op5_hilbert_shards, op6_packing, op7_language, op8_decontaminate, op9_quality, op10_paragraphs, op10_passages)}
 
 
 def oracle_sql() -> dict[str, str]:

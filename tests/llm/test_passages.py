@@ -1,0 +1,59 @@
+"""Repeated passages against a brute-force search of runs of 51 words."""
+
+from collections import defaultdict
+
+import pyarrow.parquet as pq
+
+from cardfile.llm import passages, queries
+
+
+def expected(rows):
+    """(id, start, end, n_words, removed) by the definition; ids ascending, none null."""
+    at = {}
+    for i, text in rows:
+        found, start = [], 0
+        for word in text.encode().lower().split():
+            word = word.decode()
+            start = text.lower().index(word, start)
+            found.append((word, start, start + len(word)))
+            start += len(word)
+        at[i] = found
+    where = defaultdict(list)
+    for i, found in at.items():
+        for j in range(len(found) - 50):
+            where[tuple(w for w, _, _ in found[j : j + 51])].append((i, j))
+    state = {i: [0] * len(f) for i, f in at.items()}
+    for value in (2, 1):
+        for spots in where.values():
+            for i, j in (spots[1:] if value == 2 else spots[:1]) if len(spots) > 1 else ():
+                state[i][j : j + 51] = [value] * 51
+    out = set()
+    for i, s in state.items():
+        a = 0
+        for b in range(1, len(s) + 1):
+            if b == len(s) or s[b] != s[a]:
+                if s[a]:
+                    out.add((i, at[i][a][1], at[i][b - 1][2], b - a, s[a] == 2))
+                a = b
+    return out
+
+
+def test_embedded_and_split_passages_are_found(spark):
+    passage = [f"Word{i}" for i in range(60)]
+    own = lambda k, n: " ".join(f"own{k}x{i}" for i in range(n))
+    rows = [
+        (1, own(1, 300) + " " + " ".join(passage) + " " + own(2, 80)), (2, own(3, 40) + "\n" + "\n".join(" ".join(passage[i : i + 10]) for i in range(0, 60, 10)).lower()),
+        (3, " ".join(passage[:50]) + " " + own(4, 30)), (4, "lorem ipsum dolor sit amet " * 100), (5, own(5, 70)), (6, own(5, 70)), (7, own(6, 90)), (8, " ".join(passage[5:56])),
+    ]
+    want = expected(rows)
+    assert {i for i, *_ in want} == {1, 2, 4, 5, 6, 8}
+    got = passages.repeated_passages(spark.createDataFrame([*rows, (None, None), (9, "")], "doc_id long, text string"))
+    assert {tuple(r) for r in got.collect()} == want
+
+
+def test_query_is_exact(spark, sf_dir):
+    rows = pq.read_table(f"{sf_dir}/documents.parquet").to_pandas().sort_values("doc_id")
+    rows = [(int(i), t) for i, t in zip(rows.doc_id, rows.text) if t.isascii()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {tuple(r) for r in passages.repeated_passages(docs).collect()} == expected(rows)
+    assert "op10_passages" in queries.queries()
