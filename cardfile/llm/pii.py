@@ -130,8 +130,8 @@ def found_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     base has the patterns' spans; spans has those and then the method's, of
     kind remove or generalise, by kind and start. A null text is empty and has
-    none. Repeated rows and ids keep their rows; equal texts count once as
-    evidence, and a term must meet an entity in surroundings that differ from
+    none. Repeated rows and ids keep their rows; equal texts count once in all
+    numbers of the score, and a term must meet an entity in surroundings that differ from
     text to text, so that copies of a document, near ones too, do not make its
     rare words disclosing. Entities in fewer than `support` texts
     reveal nothing. An empty table gives an empty table.
@@ -181,28 +181,31 @@ def found_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     known = spark.sparkContext.broadcast({t.encode() for (t,) in terms.collect()}) if few <= broadcast_terms else None
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[bytes, int] = {}
-        n = 0
+        sent: set[int] = set()
         for pdf in batches:
+            out = {"print": [], "terms": []}
             for text in pdf["text"]:
-                own = set((text or "").encode("utf-8", "replace").translate(_FOLD).split())
-                n += 1
-                for t in own if known is None else own & known.value:
-                    sums[t] = sums.get(t, 0) + 1
-                if len(sums) > 1 << 18:
-                    yield pd.DataFrame({"term": [t.decode() for t in sums], "n": list(sums.values())})
-                    sums = {}
-        yield pd.DataFrame({"term": ["", *(t.decode() for t in sums)], "n": [n, *sums.values()]})
+                data = (text or "").encode("utf-8", "replace")
+                p = xxhash.xxh64_intdigest(data) >> 1
+                if p in sent:
+                    continue
+                if len(sent) < 1 << 18:
+                    sent.add(p)
+                own = set(data.translate(_FOLD).split())
+                out["print"].append(p)
+                out["terms"].append([t.decode() for t in (own if known is None else own & known.value)])
+            if out["print"]:
+                yield pd.DataFrame(out)
         give_back()
 
     if few:
-        corpus = rows.select("text").mapInPandas(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
+        # equal texts count once here too, so that all four numbers are of distinct texts
+        distinct = cut(rows.select("text").mapInPandas(count, "print long, terms array<string>").dropDuplicates(["print"]), "corpus")
+        total = distinct.count()
+        corpus = distinct.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
         if known is None:
-            corpus = corpus.join(terms.unionByName(spark.createDataFrame([("",)], "term string")), "term", "left_semi")
-        corpus = cut(corpus, "corpus")
-        total = corpus.where("term = ''").first()["n_term"]
+            corpus = corpus.join(terms, "term", "left_semi")
         told = F.log(F.lit(float(total)) * F.col("n_both") / (F.col("n_entity") * F.col("n_term"))) / F.log(F.lit(float(total)) / F.col("n_entity"))
-        # equal texts are one piece of evidence for a pair but each count for the term, so copies only lower what it tells
         scored = pairs.join(often, "entity").join(corpus, "term").where(F.col("n_entity") < total).withColumn("told", told).where(F.col("told") >= generalise)
         hits = met.select("row", "entity", "term").distinct().join(scored.select("entity", "term", "told"), ["entity", "term"])
         hits = hits.groupBy("row", "term").agg((F.max("told") >= remove).alias("gone"))

@@ -1,0 +1,15 @@
+"""Copies of a document do not hide the terms that disclose its owner."""
+
+import pytest
+
+from cardfile.llm import pii
+
+
+@pytest.mark.parametrize("broadcast_terms", [pii.BROADCAST_TERMS, 0])
+def test_disclosing_term_of_a_copied_document_goes(spark, broadcast_terms):
+    own = [f"notes {i} about zorblax and weather{i} write to boss@firm.test because item{i} came late{i}" for i in range(4)]
+    others = [f"plain text {i} about weather and item{i % 7} with nothing to hide number{i}" for i in range(200)]
+    rows = list(enumerate([*own, *others, *own[:1] * 1000]))
+    clean = pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string"), broadcast_terms=broadcast_terms)
+    texts = [r.text for r in clean.collect() if "[EMAIL]" in r.text]
+    assert len(texts) == 1004 and not any("zorblax" in t for t in texts) and all("about" in t for t in texts)
