@@ -198,11 +198,24 @@ def found_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pd.DataFrame(out)
         give_back()
 
+    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[str, int] = {}
+        for pdf in batches:
+            for own in pdf["terms"]:
+                for t in own:
+                    sums[t] = sums.get(t, 0) + 1
+                if len(sums) > 1 << 18:
+                    yield pd.DataFrame({"term": list(sums), "n": list(sums.values())})
+                    sums = {}
+        if sums:
+            yield pd.DataFrame({"term": list(sums), "n": list(sums.values())})
+        give_back()
+
     if few:
         # equal texts count once here too, so that all four numbers are of distinct texts
         distinct = cut(rows.select("text").mapInPandas(count, "print long, terms array<string>").dropDuplicates(["print"]), "corpus")
         total = distinct.count()
-        corpus = distinct.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+        corpus = distinct.select("terms").mapInPandas(summed, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
         if known is None:
             corpus = corpus.join(terms, "term", "left_semi")
         told = F.log(F.lit(float(total)) * F.col("n_both") / (F.col("n_entity") * F.col("n_term"))) / F.log(F.lit(float(total)) / F.col("n_entity"))
