@@ -1,19 +1,22 @@
 """Substring dedup: repeated paragraphs by MinHash banding.
 
-Paragraphs whose signatures agree in a band meet in a bucket; their exact
-Jaccard similarity over word shingles is verified, and the similar ones form
-components, of which the first occurrence stays.
+Repeated passages keep neither to lines nor to sentences, so paragraphs are cut
+where the words themselves say: a word begins one if its value is the least of
+some WINDOW values in a row (winnowing). Copies of a passage are cut alike
+inside, wherever they stand. Paragraphs whose signatures agree in a band meet
+in a bucket; their exact Jaccard similarity over word shingles is verified, and
+the similar ones form components, of which the first occurrence stays.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cardfile.llm.components import components
@@ -23,17 +26,27 @@ from cardfile.sources.store import cut, text_batches
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
-#: Share of pairs at SIMILARITY that meet in a bucket; more alike ones meet more often.
-RECALL = 0.999
-BAND_ROWS = 4
-#: Shorter paragraphs repeat by chance or as headings and are left alone.
-MIN_WORDS = 25
-#: Buckets of up to so many texts give all their pairs; larger ones are linked in blocks.
+#: Share of pairs at SIMILARITY that meet in a bucket; more alike ones meet more often, equal ones always.
+RECALL = 0.99
+BAND_ROWS = 2
+#: Of so many values in a row the least one begins a paragraph; as a value is made of VALUE_WORDS words, every passage of
+#: 2 * WINDOW + VALUE_WORDS - 1 (50) words or more holds a whole paragraph, the same in all its copies.
+WINDOW = 24
+VALUE_WORDS = 3
+#: Shorter paragraphs repeat by chance and are left alone.
+MIN_WORDS = 8
+#: Repeated paragraphs count if they and the ones next to them that repeat too have at least so many words in all.
+SPAN_WORDS = 16
+#: Buckets of up to so many paragraphs give all their pairs; larger ones are linked in blocks.
 PAIRED = 16
 BLOCK = 1024
-#: At most so many hashes of candidate paragraphs are broadcast to fetch their texts; more are joined.
-BROADCAST_PRINTS = 1 << 20
+#: Paragraphs whose buckets a task has named, at most; it may name those of others again.
+NAMED = 1 << 18
 SEED = 11
+PRIME = (1 << 31) - 1
+#: Weights of a word's first and last character and its length, then of the words of a value.
+CHARACTER_WEIGHTS = (7919, 104729, 1299709)
+WORD_WEIGHTS = (48271, 69621, 16807)
 
 
 def tuned_bands(similarity: float = SIMILARITY, recall: float = RECALL, rows: int = BAND_ROWS) -> int:
@@ -41,24 +54,47 @@ def tuned_bands(similarity: float = SIMILARITY, recall: float = RECALL, rows: in
     return math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows))
 
 
-def paragraphs(text: str | None, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, int, list[bytes]]]:
-    """(ordinal, start, end, words) of the lines with enough words; places are code points, words lower-cased (A-Z)."""
-    at = 0
-    for nth, line in enumerate((text or "").split("\n")):
-        words = line.encode("utf-8", "replace").lower().split()
-        if len(words) >= min_words:
-            yield nth, at, at + len(line), words
-        at += len(line) + 1
-
-
-def shingles(words: list[bytes], size: int = SHINGLE_WORDS) -> np.ndarray:
-    """The distinct shingle hashes; of fewer words, the hash of them all."""
-    return np.unique(grams_of(word_hashes(words), min(size, len(words)))) if words else np.empty(0, np.uint64)
-
-
-def text_print(words: list[bytes]) -> int:
-    """63-bit hash of a paragraph's words; paragraphs with equal ones count as equal."""
-    return xxhash.xxh64_intdigest(b" ".join(words), SEED) >> 1
+class Words(NamedTuple):
+    """A text's words, apart at white space: their hashes, places in code points (ends exclusive) and values."""
+
+    hashes: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    values: np.ndarray
+
+
+def words_of(text: str | None) -> Words:
+    data = (text or "").encode("utf-8", "replace").lower()
+    if data.isascii():
+        points = np.frombuffer(data, np.uint8)
+    else:
+        points = np.frombuffer((text or "").encode("utf-32-le", "replace"), np.uint32)
+        points = np.where((points >= 65) & (points <= 90), points + 32, points)
+    space = np.ones(len(points) + 2, np.int8)
+    space[1:-1] = (points == 32) | ((points >= 9) & (points <= 13))
+    edges = np.diff(space)
+    starts, ends = np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
+    told = np.stack((points[starts], points[ends - 1], ends - starts)).astype(np.int64) if len(starts) else np.empty((3, 0), np.int64)
+    told = np.dot(CHARACTER_WEIGHTS, told) % PRIME
+    values = np.zeros(len(starts), np.int64)
+    for i, weight in enumerate(WORD_WEIGHTS[:VALUE_WORDS]):
+        values[: max(0, len(told) - i)] += told[i:] * weight % PRIME
+    return Words(word_hashes(data.split()), starts, ends, values % PRIME)
+
+
+def beginnings(values: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """The first word of each paragraph: the first of all, and the last least value of each window."""
+    if not len(values):
+        return np.empty(0, np.int64)
+    if len(values) < window:
+        return np.zeros(1, np.int64)
+    least = (values << 32) | (0xFFFFFFFF - np.arange(len(values)))
+    done = 1
+    while done < window:  # in steps that double
+        step = min(done, window - done)
+        least = np.minimum(least[:-step], least[step:])
+        done += step
+    return np.unique(np.append(0xFFFFFFFF - (least & 0xFFFFFFFF), 0))
 
 
 class MinHash:
@@ -70,19 +106,49 @@ class MinHash:
         self.factors = random.integers(0, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.salts = random.integers(0, 1 << 63, bands * rows, dtype=np.uint64)
 
-    def buckets(self, hashes: np.ndarray) -> np.ndarray:
-        least = np.full(self.bands * self.rows, np.iinfo(np.uint64).max, np.uint64)
-        for at in range(0, len(hashes), 4096):
-            mixed = (hashes[at : at + 4096, None] ^ self.salts) * self.factors
-            least = np.minimum(least, (mixed ^ (mixed >> np.uint64(32))).min(axis=0))
-        parts = least.reshape(self.bands, self.rows)
-        out = np.arange(self.bands, dtype=np.uint64)
-        for i in range(self.rows):
-            out = (out ^ parts[:, i]) * np.uint64(0x9E3779B97F4A7C15)
-            out ^= out >> np.uint64(31)
+    def buckets(self, hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """(sets, bands): the buckets of sets of hashes that lie one after another and begin at these places."""
+        out = np.tile(np.arange(self.bands, dtype=np.uint64), (len(starts), 1))
+        for i in range(self.bands * self.rows):
+            mixed = (hashes ^ self.salts[i]) * self.factors[i]
+            mixed ^= mixed >> np.uint64(32)
+            band = out[:, i // self.rows]
+            band ^= np.minimum.reduceat(mixed, starts)
+            band *= np.uint64(0x9E3779B97F4A7C15)
+            band ^= band >> np.uint64(31)
         return out.view(np.int64)
 
 
+class Paragraphs(NamedTuple):
+    """Those of one text with enough words: ordinal among all, first word, number of words, print, and the shingles of each, joined."""
+
+    nth: np.ndarray
+    first: np.ndarray
+    n_words: np.ndarray
+    prints: np.ndarray
+    shingles: np.ndarray
+    shingle_starts: np.ndarray
+
+
+def paragraphs_of(words: Words, min_words: int = MIN_WORDS, shingle_words: int = SHINGLE_WORDS, window: int = WINDOW) -> Paragraphs:
+    """Paragraphs of at least min_words words; prints are hashes of all words, equal for equal paragraphs."""
+    first = beginnings(words.values, window)
+    sizes = np.diff(np.append(first, len(words.hashes)))
+    nth = np.flatnonzero(sizes >= max(min_words, shingle_words))
+    first, sizes = first[nth], sizes[nth]
+    if not len(nth):
+        return Paragraphs(nth, first, sizes, np.empty(0, np.int64), np.empty(0, np.uint64), nth)
+    begins = np.cumsum(sizes) - sizes
+    within = np.arange(int(sizes.sum())) - np.repeat(begins, sizes)
+    mixed = (words.hashes[np.repeat(first, sizes) + within] ^ (within.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))) * np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(29)
+    prints = np.add.reduceat(mixed * np.uint64(0xBF58476D1CE4E5B9), begins)
+    grams = sizes - shingle_words + 1
+    gram_begins = np.cumsum(grams) - grams
+    at = np.repeat(first - gram_begins, grams) + np.arange(int(grams.sum()))
+    return Paragraphs(nth, first, sizes, prints.view(np.int64), grams_of(words.hashes, shingle_words)[at], gram_begins)
+
+
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both / max(1, len(a) + len(b) - both)
@@ -122,66 +188,62 @@ def similar_forest(sets: list[np.ndarray], left: np.ndarray, similarity: float)
     return links
 
 
-def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, shingle_words: int = SHINGLE_WORDS, similarity: float = SIMILARITY, recall: float = RECALL, rows_per_band: int = BAND_ROWS, broadcast_prints: int = BROADCAST_PRINTS) -> DataFrame:
-    """One row per paragraph that repeats: id_col, paragraph, start, end, n_words, class_id, class_paragraph, class_size, removed.
+def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, span_words: int = SPAN_WORDS, shingle_words: int = SHINGLE_WORDS, similarity: float = SIMILARITY, recall: float = RECALL, rows_per_band: int = BAND_ROWS, window: int = WINDOW) -> DataFrame:
+    """One row per paragraph that repeats: id_col, paragraph, start, end, n_words, span_start, span_end, class_id, class_paragraph, class_size, removed.
 
     A class is a component of similar paragraphs, named by its first occurrence
-    (least id, then paragraph), which is the one not removed. Places are code
-    points of the whole text, ends exclusive. Null and empty texts, and
-    paragraphs of fewer than min_words, have none. Rows with a null id take
-    part and come last in their class; repeated rows are occurrences each. An
-    empty table gives an empty table. Exact copies are one entry in the search.
+    (least id, then paragraph), which is the one not removed. A span is made of
+    paragraphs in a row that all repeat; those of fewer than span_words words are
+    left out. Places are code points of the whole text, ends exclusive. Null and
+    empty texts have no paragraphs; those of fewer than min_words (at least
+    shingle_words) words are not looked at, which also holds for text that
+    repeats itself every few words. Rows with a null id take part and come last
+    in their class; repeated rows are occurrences each. Columns beyond the two
+    named are not read. An empty table gives an empty table. Equal paragraphs
+    are one entry in the search.
     """
-    spark = docs.sparkSession
     minhash = MinHash(tuned_bands(similarity, recall, rows_per_band), rows_per_band)
     rows = text_batches(docs).select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
-    columns = ["row", "id", "paragraph", "start", "end", "n_words", "print", "buckets"]
 
     def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        named: set[int] = set()  # a paragraph's buckets and shingles go on once a task, however often it stands there
         for pdf in batches:
-            out = []
+            parts, new, buckets, sets = [], [], [], []
             for row, i, text in pdf.itertuples(index=False):
-                for nth, a, b, words in paragraphs(text, min_words):
-                    out.append((row, i, nth, a, b, len(words), text_print(words), minhash.buckets(shingles(words, shingle_words))))
-            if out:
-                yield pd.DataFrame(out, columns=columns)
+                words = words_of(text)
+                found = paragraphs_of(words, min_words, shingle_words, window)
+                if not len(found.nth):
+                    continue
+                last = found.first + found.n_words - 1
+                parts.append(pd.DataFrame({"row": row, "id": i, "paragraph": found.nth, "start": words.starts[found.first], "end": words.ends[last], "n_words": found.n_words, "print": found.prints}))
+                own = minhash.buckets(found.shingles, found.shingle_starts)
+                ends = np.append(found.shingle_starts[1:], len(found.shingles))
+                for p, b, x, y in zip(found.prints.tolist(), own, found.shingle_starts, ends):
+                    new.append(p not in named)
+                    if new[-1]:
+                        named.add(p)
+                        buckets.append(b)
+                        sets.append(np.unique(found.shingles[x:y].astype(np.uint32)).view(np.int32))
+            if len(named) > NAMED:
+                named.clear()
+            if parts:
+                out = pd.concat(parts, ignore_index=True)
+                for name, values in (("buckets", buckets), ("hashes", sets)):
+                    column = np.full(len(out), None, object)
+                    at = np.flatnonzero(new)
+                    for k, value in zip(at, values):
+                        column[k] = value
+                    out[name] = column
+                yield out
         give_back()
 
-    seen = cut(rows.mapInPandas(signed, "row long, id string, paragraph long, start long, end long, n_words long, print long, buckets array<long>"), "paragraphs")
+    seen = cut(rows.mapInPandas(signed, "row long, id string, paragraph long, start long, end long, n_words long, print long, buckets array<long>, hashes array<int>"), "paragraphs")
     seen = seen.withColumn("id", F.col("id").cast(docs.schema[id_col].dataType))  # as text it passed pandas whole, nulls or not
-    met = seen.select("print", F.explode("buckets").alias("bucket"))
-    shared = met.groupBy("bucket").agg(F.min("print").alias("lo"), F.max("print").alias("hi")).where("lo < hi").select("bucket")
-    members = met.join(shared, "bucket").distinct()
-    members = cut(members.join(members.groupBy("bucket").agg(F.count("*").alias("n")), "bucket"), "members")
-
+    # one shuffle by bucket serves the distinct, the count and the join
+    met = seen.where("buckets is not null").select("print", F.explode("buckets").alias("bucket")).repartition("bucket").distinct()
+    members = cut(met.join(met.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket"), "members")
     prints = members.select("print").distinct()
-    few = prints.limit(broadcast_prints + 1).count()
-    known = spark.sparkContext.broadcast(np.sort(prints.toPandas()["print"].to_numpy(np.int64))) if few <= broadcast_prints else None
-
-    def fetched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sent: set[int] = set()
-        for pdf in batches:
-            out: dict[int, np.ndarray] = {}
-            for text in pdf["text"]:
-                for _, _, _, words in paragraphs(text, min_words):
-                    p = text_print(words)
-                    if p in out or p in sent:
-                        continue
-                    if known is not None:
-                        at = np.searchsorted(known.value, p)
-                        if at == len(known.value) or known.value[at] != p:
-                            continue
-                    out[p] = shingles(words, shingle_words).view(np.int64)
-            if len(sent) < 1 << 18:
-                sent.update(out)
-            if out:
-                yield pd.DataFrame({"print": list(out), "hashes": list(out.values())})
-        give_back()
-
-    sets = rows.select("text").mapInPandas(fetched, "print long, hashes array<long>")
-    if known is None:
-        sets = sets.join(prints, "print", "left_semi")
-    sets = cut(sets.dropDuplicates(["print"]), "sets")
+    sets = cut(seen.where("hashes is not null").select("print", "hashes").join(prints, "print").dropDuplicates(["print"]), "sets")
 
     cold = members.where(F.col("n") <= PAIRED).select("bucket", "print")
     pairs = cold.select("bucket", F.col("print").alias("a")).join(cold.select("bucket", F.col("print").alias("b")), "bucket").where("a < b").select("a", "b").distinct()
@@ -203,21 +265,17 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return pd.DataFrame({"a": [at[i] for i, _ in found], "b": [at[j] for _, j in found]}, dtype="int64")
 
     links = links.unionByName(blocks.groupBy("bucket", "i", "j").applyInPandas(linked, "a long, b long"))
-    classes = components(links)
-    own = seen.drop("buckets").join(classes.withColumnRenamed("node", "print"), "print", "left").withColumn("class", F.coalesce("component", "print"))
+    classes = components(links).withColumnRenamed("node", "print")
+
     first = F.struct(F.col("id").isNull().alias("late"), "id", "paragraph", "row")
-    kept = own.groupBy("class").agg(F.min(first).alias("first"), F.count("*").alias("class_size")).where("class_size > 1")
-    out = own.select("class", "row", "id", "paragraph", "start", "end", "n_words").join(kept, "class")
-    return out.select(
-        F.col("id").alias(id_col), "paragraph", "start", "end", "n_words", F.col("first.id").alias("class_id"), F.col("first.paragraph").alias("class_paragraph"), "class_size",
+    once = seen.groupBy("print").agg(F.count("*").alias("n"), F.min(first).alias("first")).join(classes, "print", "left").withColumn("class", F.coalesce("component", "print"))
+    kept = once.groupBy("class").agg(F.min("first").alias("first"), F.sum("n").alias("class_size")).where("class_size > 1")
+    named = once.select("print", "class").join(kept, "class").drop("class")
+    found = seen.select("row", "id", "paragraph", "start", "end", "n_words", "print").join(named, "print")
+    island = Window.partitionBy("row", "island")
+    found = found.withColumn("island", F.col("paragraph") - F.row_number().over(Window.partitionBy("row").orderBy("paragraph")))
+    found = found.withColumns({"span": F.sum("n_words").over(island), "span_start": F.min("start").over(island), "span_end": F.max("end").over(island)}).where(F.col("span") >= span_words)
+    return found.select(
+        F.col("id").alias(id_col), "paragraph", "start", "end", "n_words", "span_start", "span_end", F.col("first.id").alias("class_id"), F.col("first.paragraph").alias("class_paragraph"), "class_size",
         (~((F.col("first.row") == F.col("row")) & (F.col("first.paragraph") == F.col("paragraph")))).alias("removed"),
     )
-
-
-def without_repeats(text: str | None, spans: list[tuple[int, int]]) -> str | None:
-    """The text without these paragraphs and the line ends after them."""
-    out, at = [], 0
-    for start, end in sorted(spans):
-        out.append(text[at:start])
-        at = min(end + 1, len(text))
-    return "".join(out) + text[at:] if spans else text

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardfile.llm import decontaminate, images, langid, pack, paragraphs, passages, pii, quality, records, shards, simhash, sql
+from cardfile.llm import decontaminate, images, langid, pack, paragraphs, pii, quality, records, shards, simhash, sql
 from cardfile.sources.store import new_path
 
 SHARDS = 24
@@ -88,19 +88,15 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every paragraph that repeats, with its class and whether it goes."""
+    """Every paragraph that repeats, in any lines, with its class, its span and whether it goes."""
     return paragraphs.repeated_paragraphs(_table(spark, sf_dir, "documents"))
 
 
-def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every passage of over 50 words that repeats, in any lines, and whether it goes."""
-    return passages.repeated_passages(_table(spark, sf_dir, "documents"))
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_image_copies, op3_pii, op4_records, op5_hilbert_shards, op6_packing, op7_language, op8_decontaminate, op9_quality, op10_paragraphs, op10_passages)}
+    return {f.__name__: f for f in (op1_simhash, op2_image_copies, op3_pii, op4_records, op5_hilbert_shards, op6_packing, op7_language, op8_decontaminate, op9_quality, op10_paragraphs)}
 
 
 def oracle_sql() -> dict[str, str]:
     """The others need hashes, tokenizers or fitted models that SQL has not; tests hold them against brute force."""
-    return {"op8_decontaminate": sql.decontaminate(decontaminate.SPAN), "op10_paragraphs": sql.repeated_paragraphs(paragraphs.MIN_WORDS, paragraphs.SHINGLE_WORDS, paragraphs.SIMILARITY)}
+    p = paragraphs
+    return {"op8_decontaminate": sql.decontaminate(decontaminate.SPAN), "op10_paragraphs": sql.repeated_paragraphs(p.MIN_WORDS, p.SPAN_WORDS, p.SHINGLE_WORDS, p.SIMILARITY, p.WINDOW, p.PRIME, p.CHARACTER_WEIGHTS, p.WORD_WEIGHTS)}

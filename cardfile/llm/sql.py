@@ -22,17 +22,28 @@ def decontaminate(span: int = 13) -> str:
     from docs d left join hit_words h on d.doc_id = h.doc_id left join hit_items t on d.doc_id = t.doc_id"""
 
 
-def repeated_paragraphs(min_words: int, shingle_words: int, similarity: float) -> str:
-    return rf"""with recursive lines as (select doc_id, string_split(text, chr(10)) as l from documents where text is not null),
-    placed as (select doc_id, unnest(range(len(l))) as paragraph, unnest(l) as line, unnest(list_transform(range(len(l)), lambda i: coalesce(list_sum(list_transform(l[1:i], lambda x: length(x) + 1)), 0))) as start from lines),
-    worded as (select doc_id, paragraph, start::bigint as start, (start + length(line))::bigint as "end", regexp_extract_all(translate(line, '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') as w from placed),
-    paras as (select row_number() over (order by doc_id, paragraph) as k, *, list_distinct(list_transform(range(1, len(w) - {shingle_words - 2}), lambda i: array_to_string(w[i:i + {shingle_words - 1}], ' '))) as s from worded where len(w) >= {min_words}),
-    shingles as (select k, unnest(s) as g from paras),
-    pair_counts as (select a.k as a, b.k as b, count(*) as n from shingles a join shingles b on a.g = b.g and a.k < b.k group by 1, 2),
-    links as (select a, b from pair_counts join paras x on x.k = a join paras y on y.k = b where n >= {similarity} * (len(x.s) + len(y.s) - n)),
+def repeated_paragraphs(min_words: int, span_words: int, shingle_words: int, similarity: float, window: int, prime: int, characters: tuple[int, ...], words: tuple[int, ...]) -> str:
+    letters = f"(unicode(w) * {characters[0]} + unicode(right(w, 1)) * {characters[1]} + length(w) * {characters[2]}) % {prime}"
+    value = " + ".join(f"coalesce(lead(told, {i}) over text_order, 0) * {weight} % {prime}" for i, weight in enumerate(words))
+    return rf"""with recursive chunks as (select doc_id, unnest(range(len(c))) as i, unnest(c) as c from (select doc_id, regexp_extract_all({_FOLDED}, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+') as c from documents) t),
+    placed as (select doc_id, i, ltrim(c, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as w, sum(length(c)) over (partition by doc_id order by i) as e from chunks),
+    lettered as (select *, {letters} as told from placed),
+    valued as (select doc_id, i, w, e, ({value}) % {prime} as v from lettered window text_order as (partition by doc_id order by i)),
+    least as (select doc_id, i, w, e, min(v * 4294967296 + (4294967295 - i)) over (partition by doc_id order by i rows between {window - 1} preceding and current row) as m from valued),
+    starts as (select distinct doc_id, 4294967295 - m % 4294967296 as i from least where i >= {window - 1} union select distinct doc_id, 0 from placed),
+    numbered as (select l.doc_id, l.i, l.w, l.e, count(s.i) over (partition by l.doc_id order by l.i) - 1 as paragraph from least l left join starts s on l.doc_id = s.doc_id and l.i = s.i),
+    pieces as (select doc_id, paragraph, min(e - length(w))::bigint as start, max(e)::bigint as "end", count(*)::bigint as n_words, list(w order by i) as w from numbered group by 1, 2 having count(*) >= {min_words}),
+    paras as (select row_number() over (order by doc_id, paragraph) as k, doc_id, paragraph, start, "end", n_words, array_to_string(w, ' ') as t, w from pieces),
+    texts as (select min(k) as d, t, any_value(w) as w from paras group by t),
+    sets as (select d, list_distinct(list_transform(range(1, len(w) - {shingle_words - 2}), lambda x: array_to_string(w[x:x + {shingle_words - 1}], ' '))) as s from texts),
+    shingles as (select d, unnest(s) as g from sets),
+    pair_counts as (select a.d as a, b.d as b, count(*) as n from shingles a join shingles b on a.g = b.g and a.d < b.d group by 1, 2),
+    links as (select a, b from pair_counts join sets x on x.d = a join sets y on y.d = b where n >= {similarity} * (len(x.s) + len(y.s) - n)),
     near as (select a, b from links union select b, a from links),
-    reached(k, r) as (select a, a from near union select n.b, reached.r from reached join near n on n.a = reached.k),
-    roots as (select k, min(r) as c from reached group by k),
-    classes as (select k, c, count(*) over (partition by c) as class_size from roots)
-    select p.doc_id, p.paragraph::bigint as paragraph, p.start, p."end", len(p.w)::bigint as n_words, f.doc_id as class_id, f.paragraph::bigint as class_paragraph, class_size::bigint as class_size, p.k <> c as removed
-    from classes join paras p on p.k = classes.k join paras f on f.k = c"""
+    reached(d, r) as (select a, a from near union select n.b, reached.r from reached join near n on n.a = reached.d),
+    roots as (select d, min(r) as c from reached group by d),
+    classed as (select p.*, coalesce(c, d) as c, count(*) over (partition by coalesce(c, d)) as class_size from paras p join texts using (t) left join roots using (d)),
+    repeated as (select *, paragraph - row_number() over (partition by doc_id order by paragraph) as island from classed where class_size > 1),
+    spans as (select *, sum(n_words) over one as span, min(start) over one as span_start, max("end") over one as span_end from repeated window one as (partition by doc_id, island))
+    select p.doc_id, p.paragraph::bigint as paragraph, p.start, p."end", p.n_words, p.span_start, p.span_end, f.doc_id as class_id, f.paragraph::bigint as class_paragraph, p.class_size::bigint as class_size, p.k <> p.c as removed
+    from spans p join paras f on f.k = p.c where p.span >= {span_words}"""

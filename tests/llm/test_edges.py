@@ -121,9 +121,11 @@ def test_quality(docs, labels):
 
 
 def test_paragraphs(docs):
-    found = {(r.doc_id, r.paragraph): r for r in paragraphs.repeated_paragraphs(docs).collect()}
+    found = paragraphs.repeated_paragraphs(docs).collect()
     if found:
-        assert set(found) == {(6, 0), (7, 1)} and (found[7, 1].start, found[7, 1].class_id, found[7, 1].removed, found[6, 0].removed) == (2, 6, True, False)
+        assert {r.doc_id for r in found} == {6, 7} and all(r.removed == (r.doc_id == 7) and r.class_id == 6 for r in found)
+        whole = {i: [(r.start, r.end, r.class_paragraph) for r in found if r.doc_id == i] for i in (6, 7)}
+        assert len(whole[6]) == len(whole[7]) > 1
 
 
 def test_stages_keep_columns(spark, docs, labels, benchmark, tmp_path):

@@ -5,7 +5,6 @@ import re
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow.parquet as pq
 import pytest
 import xxhash
@@ -220,23 +219,6 @@ def test_quality_of_held_out_documents(spark, sf_dir):
     assert (held.predicted == held.quality).mean() > 0.9 and df.score.between(0, 1).all()
 
 
-def test_repeated_paragraphs_are_exact(spark, sf_dir, texts):
-    df = result(spark, sf_dir, "op10_paragraphs")
-    rows = []
-    for i, text in texts.items():
-        at = 0
-        for nth, line in enumerate(text.split("\n")):
-            w = line.encode().lower().split()
-            if len(w) >= paragraphs.MIN_WORDS:
-                rows.append((i, nth, at, at + len(line), len(w), {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))}))
-            at += len(line) + 1
-    near = [(a, b) for a in range(len(rows)) for b in range(a) if len(rows[a][5] & rows[b][5]) >= 0.8 * len(rows[a][5] | rows[b][5])]
-    own = roots(len(rows), near)
-    size = pd.Series(own).value_counts()
-    want = {(*rows[k][:5], rows[r][0], rows[r][1], size[r], r != k) for k, r in enumerate(own) if size[r] > 1}
-    assert set(df.itertuples(index=False, name=None)) == want
-
-
 def test_large_buckets_link_as_all_pairs():
     rng = np.random.default_rng(3)
     base = np.unique(rng.integers(0, 1 << 60, 60, dtype=np.uint64))
