@@ -28,6 +28,8 @@ TOKENIZER = "byte_bpe_50k.json"
 END = 2
 #: At most so many files' starts (some 100 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_FILES = 1 << 16
+#: Text of a file: its records take about as much, and readers hold a file at a time.
+FILE_BYTES = 64 << 20
 _MASK = 0xA282EAD8
 _HEAD = struct.Struct("<QI")
 _KEY = struct.Struct("<qB?2x")
@@ -67,15 +69,16 @@ def write_records(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     Every text becomes one record of its token ids and the end id; null texts
     are empty, null ids come first, repeated ids and rows each get a record.
-    files: how many to write, the session's shuffle partitions if None; the
-    files are read whole, so take enough for some tens of MB each. The index,
-    Parquet, has per record: file, record, offset, length, id, start (tokens
+    files: how many to write; if None, as many as hold FILE_BYTES of text each,
+    and the session's shuffle partitions at least. The index, Parquet, has per record: file, record, offset, length, id, start (tokens
     before it in its file) and n_tokens. No rows give an empty index.
     """
     spark = docs.sparkSession
     rows = text_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     order = [F.col("id").asc_nulls_first(), F.xxhash64("text")]
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if files is None:
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
     ranged = rows.repartitionByRange(files, *order).sortWithinPartitions(*order)
 
     def framed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

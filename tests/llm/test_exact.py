@@ -116,8 +116,7 @@ def test_disclosing_terms_go_and_others_stay(spark):
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_tokens_are_the_tokenizers(texts, name):
     whole = Tokenizer.from_file(public_tokenizers.path(name))
-    whole.encode_special_tokens = True
-    odd = ["", " ", "a  b", "a\tb\n", "\n\nx", "İstanbul Σας naïve", "foo\x1cbar", "don't stop's", "x" * 50, "12 3.4", "<|endoftext|> hi", "日本語　x y", "tail ", "\0a b", None]
+    odd = ["<|endoftext|>", "a <|startoftext|>b", "<|unk|> <|", "", " ", "a  b", "a\tb\n", "\n\nx", "İstanbul Σας naïve", "foo\x1cbar", "don't stop's", "x" * 50, "12 3.4", "<|endoftext|> hi", "日本語　x y", "tail ", "\0a b", None]
     for memo in (5, 100_000):
         own = tokens.Encoder(name, memo)
         for part in (list(texts.values())[:60], odd, odd):
