@@ -1,19 +1,24 @@
 """Personal data: patterns, and terms that reveal it by co-occurrence.
 
 Addresses, IPs, cards and phones are found by pattern; each distinct value is a
-protected entity. What a term t tells about an entity e is their pointwise
-mutual information over the corpus, as a share of the entity's own information:
+protected entity, and so is what it shares with others: an address's domain, an
+IP's block, the first digits of a number. What remains unknown of an entity e
+once a nearby term t is known is, in bits over the distinct texts of the corpus,
 
-    disclosure(t, e) = log(N * n(e, t) / (n(e) * n(t))) / log(N / n(e))
+    left(e | t) = -log2 p(e | t),   p(e | t) = (n(e, t) + PRIOR * n(e) / N) / (n(t) + PRIOR)
 
-1 means that t is only found with e. Terms from `REMOVE` on are removed from
-the documents that hold e, those from `GENERALISE` on replaced by their kind.
+n(e, t) counts texts where t stands within REACH terms of e, n(t) all texts that
+hold t, N all texts. The term tells e's own information less that. Terms that
+leave at most `REMOVE` bits are removed from the documents where they stand near
+e, those that leave at most `GENERALISE` bits are replaced by their kind.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,15 +32,19 @@ from cardfile.sources.store import cut, text_batches
 KINDS = ("email", "ip", "card", "phone")
 #: The method's own kinds of span, after those of the patterns.
 TERM_KINDS = ("remove", "generalise")
-REMOVE = 0.9
-GENERALISE = 0.75
-#: Distinct texts, and distinct surroundings, in which a term must meet an entity: fewer estimate nothing.
-SUPPORT = 3
-#: Surroundings are the terms so many places before and after; there must be this many of them for each text.
+#: Bits left, at most: with PRIOR 1, one text with both and no other with the term leaves 1, three leave 0.42.
+REMOVE = 0.5
+GENERALISE = 1.0
+#: A term must also tell so many bits: of an entity that most texts hold little is left in any case.
+TELLS = 2.0
+#: Texts of no evidence that are added to those with the term, spread as the entity is over the corpus.
+PRIOR = 1.0
+#: Terms so many places before and after a value are near it.
 REACH = 10
-INDEPENDENT = 0.5
-#: At most so many candidate terms are broadcast for the corpus count; more are joined by a shuffle.
+#: At most so many candidate terms are broadcast for the corpus counts; more are joined by a shuffle.
 BROADCAST_TERMS = 1 << 18
+#: Terms and texts that a task holds at once while it counts.
+HELD = 1 << 18
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -100,6 +109,14 @@ def entity(text: str, span: Span) -> str:
     return f"{kind}:{value.translate(_LOWER) if kind == 'email' else value if kind == 'ip' else _NOT_DIGIT.sub('', value)}"
 
 
+def entities(text: str, span: Span) -> list[str]:
+    """The value itself, and the group of values it belongs to."""
+    own = entity(text, span)
+    kind, value = own.split(":", 1)
+    wider = {"email": value.rpartition("@")[2], "ip": value.rpartition(".")[0], "card": value[:6], "phone": value[:5]}[kind]
+    return [own, f"{kind} group:{wider}"]
+
+
 def term_spans(text: str, spans: list[Span]) -> Iterator[tuple[str, int, int]]:
     """(term, start, end) of every word of 3 or more characters outside the spans, in lower case."""
     taken = sorted((a, b) for _, a, b in spans)
@@ -113,28 +130,37 @@ def term_spans(text: str, spans: list[Span]) -> Iterator[tuple[str, int, int]]:
             yield m[0], a, b
 
 
+def text_print(text: str | None) -> int:
+    """63-bit hash of a text; those with equal ones count as one."""
+    return xxhash.xxh64_intdigest((text or "").encode("utf-8", "replace")) >> 1
+
+
 def _unpack(flat) -> list[Span]:
     return [(KINDS[k], int(a), int(b)) for k, a, b in np.asarray(flat).reshape(-1, 3)]
 
 
-def _met(text: str, spans: list[Span], entities: set[str]) -> list[tuple[str, str, int]]:
-    """Distinct (entity, term, surroundings) of one text; surroundings: a hash of the terms REACH before and after."""
-    terms = [t for t, _, _ in term_spans(text, spans)]
-    last = len(terms) - 1
-    around = {(t, xxhash.xxh64_intdigest(f"{terms[max(0, i - REACH)]} {terms[min(last, i + REACH)]}") >> 1) for i, t in enumerate(terms)}
-    return [(e, t, c) for e in sorted(entities) for t, c in sorted(around)]
+def near_terms(text: str, spans: list[Span], reach: int = REACH) -> set[tuple[str, str]]:
+    """(entity, term) of every term within `reach` terms of a value: at most four times `reach` for each value."""
+    terms = list(term_spans(text, spans))
+    starts = [a for _, a, _ in terms]
+    out = set()
+    for span in spans:
+        at = bisect_left(starts, span[1])
+        near = {t for t, _, _ in terms[max(0, at - reach) : at + reach]}
+        out.update((e, t) for e in entities(text, span) for t in near)
+    return out
 
 
-def found_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", remove: float = REMOVE, generalise: float = GENERALISE, support: int = SUPPORT, row_col: str | None = None, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
+def found_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", remove: float = REMOVE, generalise: float = GENERALISE, tells: float = TELLS, prior: float = PRIOR, reach: int = REACH, row_col: str | None = None, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
     """Per row of docs: id_col, base and spans (arrays of struct kind, start, end), and row_col if given.
 
     base has the patterns' spans; spans has those and then the method's, of
     kind remove or generalise, by kind and start. A null text is empty and has
     none. Repeated rows and ids keep their rows; equal texts count once in all
-    numbers of the score, and a term must meet an entity in surroundings that differ from
-    text to text, so that copies of a document, near ones too, do not make its
-    rare words disclosing. Entities in fewer than `support` texts
-    reveal nothing. An empty table gives an empty table.
+    numbers of the score and share their spans. Texts without personal data
+    are never touched. A text gives pairs in proportion to its length, however
+    many values it holds. Columns beyond those named are not read. An empty
+    table gives an empty table.
     """
     spark = docs.sparkSession
     row = F.col(row_col) if row_col else F.monotonically_increasing_id()
@@ -143,89 +169,87 @@ def found_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = {"row": pdf["row"], "id": pdf["id"], "flat": [], "entities": [], "print": [], "text": []}
+            out = {"row": pdf["row"], "id": pdf["id"], "flat": [], "print": [], "text": []}
             for text in pdf["text"]:
                 spans = base_spans(text)
                 out["flat"].append([x for k, a, b in spans for x in (KINDS.index(k), a, b)])
-                out["entities"].append(sorted({entity(text, s) for s in spans}))
-                out["print"].append(xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) >> 1 if spans else None)
+                out["print"].append(text_print(text))
                 out["text"].append(text if spans else None)
-            made = pd.DataFrame(out)
-            made["print"] = made["print"].astype("Int64")
-            yield made
+            yield pd.DataFrame(out)
         give_back()
 
-    seen = cut(rows.mapInPandas(scan, "row long, id string, flat array<int>, entities array<string>, print long, text string"), "pii")
+    seen = cut(rows.mapInPandas(scan, "row long, id string, flat array<int>, print long, text string"), "pii")
+    total = seen.select("print").distinct().count()
     held = seen.where("text is not null")
-    owners = held.select("row", "print", F.explode("entities").alias("entity"))
-    # entities in enough different texts; the others cannot reach the support
-    often = owners.groupBy("entity", "print").agg(F.count("*").alias("n")).groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= support)
-    evident = owners.join(often, "entity").groupBy("row").agg(F.collect_set("entity").alias("own"))
-    sources = held.join(evident, "row").select("row", "print", "text", "flat", "own")
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for r, p, text, flat, own in pdf.itertuples(index=False):
-                met = _met(text, _unpack(flat), set(own))
-                yield pd.DataFrame({"row": r, "print": p, "entity": [e for e, _, _ in met], "term": [t for _, t, _ in met], "around": [c for _, _, c in met]})
+            for p, text, flat in pdf.itertuples(index=False):
+                spans = _unpack(flat)
+                met = near_terms(text, spans, reach)
+                alone = {e for s in spans for e in entities(text, s)}  # each entity once without a term: its count
+                yield pd.DataFrame({"print": p, "entity": [*alone, *(e for e, _ in met)], "term": [*[None] * len(alone), *(t for _, t in met)]}, dtype=object)
         give_back()
 
-    met = cut(sources.mapInPandas(meet, "row long, print long, entity string, term string, around long"), "met")
-    texts = met.groupBy("entity", "term", "print").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.count("*").alias("n_both"))
-    places = met.groupBy("entity", "term", "around").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.count("*").alias("n_around"))
-    pairs = texts.where(F.col("n_both") >= support).join(places.where(F.col("n_around") >= support), ["entity", "term"]).where(F.col("n_around") >= INDEPENDENT * F.col("n_both"))
-    pairs = cut(pairs.select("entity", "term", "n_both"), "pairs")
-
-    terms = pairs.select("term").distinct()
-    few = terms.limit(broadcast_terms + 1).count()
-    known = spark.sparkContext.broadcast({t.encode() for (t,) in terms.collect()}) if few <= broadcast_terms else None
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sent: set[int] = set()
-        for pdf in batches:
-            out = {"print": [], "terms": []}
-            for text in pdf["text"]:
-                data = (text or "").encode("utf-8", "replace")
-                p = xxhash.xxh64_intdigest(data) >> 1
-                if p in sent:
-                    continue
-                if len(sent) < 1 << 18:
-                    sent.add(p)
-                own = set(data.translate(_FOLD).split())
-                out["print"].append(p)
-                out["terms"].append([t.decode() for t in (own if known is None else own & known.value)])
-            if out["print"]:
-                yield pd.DataFrame(out)
-        give_back()
-
-    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[str, int] = {}
-        for pdf in batches:
-            for own in pdf["terms"]:
-                for t in own:
-                    sums[t] = sums.get(t, 0) + 1
-                if len(sums) > 1 << 18:
-                    yield pd.DataFrame({"term": list(sums), "n": list(sums.values())})
-                    sums = {}
-        if sums:
-            yield pd.DataFrame({"term": list(sums), "n": list(sums.values())})
-        give_back()
-
-    if few:
-        # equal texts count once here too, so that all four numbers are of distinct texts
-        distinct = cut(rows.select("text").mapInPandas(count, "print long, terms array<string>").dropDuplicates(["print"]), "corpus")
-        total = distinct.count()
-        corpus = distinct.select("terms").mapInPandas(summed, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
-        if known is None:
-            corpus = corpus.join(terms, "term", "left_semi")
-        told = F.log(F.lit(float(total)) * F.col("n_both") / (F.col("n_entity") * F.col("n_term"))) / F.log(F.lit(float(total)) / F.col("n_entity"))
-        scored = pairs.join(often, "entity").join(corpus, "term").where(F.col("n_entity") < total).withColumn("told", told).where(F.col("told") >= generalise)
-        hits = met.select("row", "entity", "term").distinct().join(scored.select("entity", "term", "told"), ["entity", "term"])
-        hits = hits.groupBy("row", "term").agg((F.max("told") >= remove).alias("gone"))
-        hits = hits.groupBy("row").agg(F.collect_list(F.struct("term", "gone")).alias("terms"))
-        seen = seen.join(hits, "row", "left")
-    else:
-        seen = seen.withColumn("terms", F.lit(None).cast("array<struct<term:string,gone:boolean>>"))
+    met = cut(held.dropDuplicates(["print"]).select("print", "text", "flat").mapInPandas(meet, "print long, entity string, term string"), "met")
+    often = met.where("term is null").groupBy("entity").agg(F.count("*").alias("n_entity"))
+    pairs = cut(met.where("term is not null").groupBy("entity", "term").agg(F.count("*").alias("n_both")), "pairs")
+
+    def broadcast(terms: DataFrame):
+        """The terms as a broadcast set; None if there are too many."""
+        found = [t.encode() for (t,) in terms.limit(broadcast_terms + 1).collect()]
+        return spark.sparkContext.broadcast(frozenset(found)) if len(found) <= broadcast_terms else None
+
+    def terms_in(known) -> Callable[[str | None], set[bytes]]:
+        def found(text: str | None) -> set[bytes]:
+            own = set((text or "").encode("utf-8", "replace").translate(_FOLD).split())
+            return own if known is None else own & known.value
+
+        return found
+
+    def at_least(known) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            sums: Counter[bytes] = Counter()
+            counted: set[int] = set()
+            found = terms_in(known)
+            for pdf in batches:
+                for text in pdf["text"]:
+                    if (p := text_print(text)) not in counted:
+                        counted.add(p)
+                        sums.update(found(text))
+                if max(len(sums), len(counted)) > HELD:
+                    yield pd.DataFrame({"term": [t.decode() for t in sums], "n": list(sums.values())})
+                    sums.clear()
+                    counted.clear()
+            if sums:
+                yield pd.DataFrame({"term": [t.decode() for t in sums], "n": list(sums.values())})
+            give_back()
+
+        return count
+
+    def holders(known) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        def list_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            found = terms_in(known)
+            for pdf in batches:
+                own = [(text_print(t), [x.decode() for x in found(t)]) for t in pdf["text"]]
+                yield pd.DataFrame([x for x in own if x[1]], columns=["print", "terms"])
+            give_back()
+
+        return list_terms
+
+    # What a single task has counted is a lower bound of a term's texts, which already rules common terms out;
+    # only the rest are counted exactly, over distinct texts.
+    most = pairs.groupBy("term").agg(F.max("n_both").alias("most"))
+    low = rows.select("text").mapInPandas(at_least(broadcast(most.select("term"))), "term string, n long").groupBy("term").agg(F.max("n").alias("low"))
+    rare = cut(most.join(low, "term").where(F.col("low") + prior <= (F.col("most") + prior) * F.pow(F.lit(2.0), F.lit(generalise))).select("term"), "rare")
+    listed_terms = rows.select("text").mapInPandas(holders(broadcast(rare)), "print long, terms array<string>").dropDuplicates(["print"])
+    corpus = listed_terms.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    share = F.col("n_entity") / F.lit(float(max(total, 1)))
+    known_of = (F.col("n_both") + prior * share) / (F.col("n_term") + prior)
+    scored = pairs.join(rare, "term", "left_semi").join(corpus, "term").join(often, "entity").withColumn("left", -F.log2(known_of)).where((F.col("left") <= generalise + 1e-9) & (F.log2(known_of / share) >= tells))
+    hits = met.where("term is not null").join(scored.select("entity", "term", "left"), ["entity", "term"]).groupBy("print", "term").agg((F.min("left") <= remove).alias("gone"))
+    hits = hits.groupBy("print").agg(F.collect_list(F.struct("term", "gone")).alias("terms"))
+    told = held.join(hits, "print", "left")
 
     @F.pandas_udf("array<int>")
     def extra(texts: pd.Series, flats: pd.Series, found: pd.Series) -> pd.Series:
@@ -237,12 +261,12 @@ def found_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return pd.Series(out)
 
     # only rows with disclosing terms go to Python again
-    told_rows = seen.where("terms is not null").withColumn("more", extra("text", "flat", "terms"))
-    none = F.array().cast("array<int>")
-    both = told_rows.select("row", "id", "flat", "more").unionByName(seen.where("terms is null").select("row", "id", "flat", none.alias("more")))
+    none = F.array().cast("array<int>").alias("more")
+    columns = ["row", "id", "flat"]
+    both = told.where("terms is not null").select(*columns, extra("text", "flat", "terms").alias("more"))
+    both = both.unionByName(told.where("terms is null").select(*columns, none)).unionByName(seen.where("text is null").select(*columns, none))
     base, more = _structs("flat", KINDS), _structs("more", TERM_KINDS)
-    out = both.select(*([F.col("row").alias(row_col)] if row_col else []), F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), base.alias("base"), F.concat(base, more).alias("spans"))
-    return out
+    return both.select(*([F.col("row").alias(row_col)] if row_col else []), F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), base.alias("base"), F.concat(base, more).alias("spans"))
 
 
 def _structs(flat: str, kinds: tuple[str, ...]) -> Column:
@@ -274,7 +298,8 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """docs, every row and column kept, with the spans of each text replaced.
 
     Patterns become [EMAIL], [IP], [CARD] or [PHONE]; disclosing terms are
-    removed or become [TERM]. Null texts stay null.
+    removed or become [TERM]. Null texts stay null, whole texts are rewritten
+    however long, equal texts alike, and columns may have any names.
     """
     kept = cut(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "rows")
     texts = kept.select("row", F.col(f"doc.`{id_col}`").alias("id"), F.col(f"doc.`{text_col}`").alias("text"))

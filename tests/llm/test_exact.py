@@ -101,18 +101,6 @@ def test_pii_base_is_exact(spark, sf_dir, texts):
         assert df.base_sha256[i] == hashlib.sha256(base.encode()).hexdigest() and df.spans[i].startswith(base)
 
 
-def test_disclosing_terms_go_and_others_stay(spark):
-    rows = [(i, f"notes {i} about zorblax and weather{i} write to boss@firm.test because item{i % 7} came late{i}") for i in range(8)]
-    rows += [(100 + i, f"plain text {i} about weather and item{i % 7} with nothing to hide number{i}") for i in range(200)]
-    rows += [(400 + i, f"{rows[0][1]}") for i in range(5)]
-    rows += [(500, "lonely rareword one@other.test"), (501, "copy thing dup@x.test uniqueterm"), (502, "copy thing dup@x.test uniqueterm"), (503, "copy thing dup@x.test uniqueterm")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
-    assert all("zorblax" not in clean[i] and "boss@firm.test" not in clean[i] and "about" in clean[i] for i in range(8))
-    assert all(clean[i] == t for i, t in rows[8:208])
-    assert clean[500] == "lonely rareword [EMAIL]" and clean[501] == "copy thing [EMAIL] uniqueterm"
-
-
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_tokens_are_the_tokenizers(texts, name):
     whole = Tokenizer.from_file(public_tokenizers.path(name))
