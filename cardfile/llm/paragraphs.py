@@ -16,6 +16,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +43,8 @@ PAIRED = 16
 BLOCK = 1024
 #: Paragraphs whose buckets a task has named, at most; it may name those of others again.
 NAMED = 1 << 18
+#: Words of the texts that are held at once, beside those of the last text.
+HELD_WORDS = 1 << 20
 SEED = 11
 PRIME = (1 << 31) - 1
 #: Weights of a word's first and last character and its length, then of the words of a value.
@@ -137,7 +140,7 @@ def paragraphs_of(words: Words, min_words: int = MIN_WORDS, shingle_words: int =
     nth = np.flatnonzero(sizes >= max(min_words, shingle_words))
     first, sizes = first[nth], sizes[nth]
     if not len(nth):
-        return Paragraphs(nth, first, sizes, np.empty(0, np.int64), np.empty(0, np.uint64), nth)
+        return Paragraphs(nth, first, sizes, np.empty(0, np.int64), np.empty(0, np.uint64), nth[:0])
     begins = np.cumsum(sizes) - sizes
     within = np.arange(int(sizes.sum())) - np.repeat(begins, sizes)
     mixed = (words.hashes[np.repeat(first, sizes) + within] ^ (within.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))) * np.uint64(0x9E3779B97F4A7C15)
@@ -188,6 +191,35 @@ def similar_forest(sets: list[np.ndarray], left: np.ndarray, similarity: float)
     return links
 
 
+def _lists(there: np.ndarray, sizes: np.ndarray, values: np.ndarray) -> pa.Array:
+    """A list for each place: as many of the values as its size where one is there, else null."""
+    own = np.zeros(len(there), np.int64)
+    own[there] = sizes
+    offsets = np.concatenate(([0], np.cumsum(own)))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values), mask=pa.array(~there))
+
+
+def signed_batch(batch: pa.RecordBatch, held: list[Paragraphs], places: list[tuple], named: set[int], minhash: MinHash) -> pa.RecordBatch:
+    """The paragraphs of some texts of a batch as rows, with buckets and shingle hashes where `named` has not had them; it has then."""
+    at, start, end = (np.concatenate(x) for x in zip(*places))
+    nth, _, n_words, prints, shingles, _ = (np.concatenate(x) for x in zip(*held))
+    sizes = np.concatenate([np.diff(np.append(p.shingle_starts, len(p.shingles))) for p in held])
+    values, where = np.unique(prints, return_index=True)
+    fresh = np.fromiter((p not in named for p in values.tolist()), bool, len(values))
+    named.update(values[fresh].tolist())
+    there = np.zeros(len(prints), bool)
+    there[where[fresh]] = True
+    own, sizes = shingles[np.repeat(there, sizes)], sizes[there]
+    buckets = minhash.buckets(own, np.cumsum(sizes) - sizes) if len(sizes) else np.empty((0, minhash.bands), np.int64)
+    return pa.RecordBatch.from_arrays(
+        [
+            batch.column("row").take(pa.array(at)), batch.column("id").take(pa.array(at)), *(pa.array(x.astype(np.int64)) for x in (nth, start, end, n_words, prints)),
+            _lists(there, np.full(len(sizes), minhash.bands), buckets.ravel()), _lists(there, sizes, own.astype(np.uint32).view(np.int32)),
+        ],
+        ["row", "id", "paragraph", "start", "end", "n_words", "print", "buckets", "hashes"],
+    )
+
+
 def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, span_words: int = SPAN_WORDS, shingle_words: int = SHINGLE_WORDS, similarity: float = SIMILARITY, recall: float = RECALL, rows_per_band: int = BAND_ROWS, window: int = WINDOW) -> DataFrame:
     """One row per paragraph that repeats: id_col, paragraph, start, end, n_words, span_start, span_end, class_id, class_paragraph, class_size, removed.
 
@@ -205,39 +237,25 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     minhash = MinHash(tuned_bands(similarity, recall, rows_per_band), rows_per_band)
     rows = text_batches(docs).select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
 
-    def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         named: set[int] = set()  # a paragraph's buckets and shingles go on once a task, however often it stands there
-        for pdf in batches:
-            parts, new, buckets, sets = [], [], [], []
-            for row, i, text in pdf.itertuples(index=False):
-                words = words_of(text)
+        for batch in batches:
+            held, places, size = [], [], 0
+            for at, text in enumerate(batch.column("text")):
+                words = words_of(text.as_py())
                 found = paragraphs_of(words, min_words, shingle_words, window)
-                if not len(found.nth):
-                    continue
-                last = found.first + found.n_words - 1
-                parts.append(pd.DataFrame({"row": row, "id": i, "paragraph": found.nth, "start": words.starts[found.first], "end": words.ends[last], "n_words": found.n_words, "print": found.prints}))
-                own = minhash.buckets(found.shingles, found.shingle_starts)
-                ends = np.append(found.shingle_starts[1:], len(found.shingles))
-                for p, b, x, y in zip(found.prints.tolist(), own, found.shingle_starts, ends):
-                    new.append(p not in named)
-                    if new[-1]:
-                        named.add(p)
-                        buckets.append(b)
-                        sets.append(np.unique(found.shingles[x:y].astype(np.uint32)).view(np.int32))
+                if len(found.nth):
+                    held.append(found)
+                    places.append((np.full(len(found.nth), at), words.starts[found.first], words.ends[found.first + found.n_words - 1]))
+                    size += len(words.hashes)
+                if size > HELD_WORDS or at == batch.num_rows - 1 and held:
+                    yield signed_batch(batch, held, places, named, minhash)
+                    held, places, size = [], [], 0
             if len(named) > NAMED:
                 named.clear()
-            if parts:
-                out = pd.concat(parts, ignore_index=True)
-                for name, values in (("buckets", buckets), ("hashes", sets)):
-                    column = np.full(len(out), None, object)
-                    at = np.flatnonzero(new)
-                    for k, value in zip(at, values):
-                        column[k] = value
-                    out[name] = column
-                yield out
         give_back()
 
-    seen = cut(rows.mapInPandas(signed, "row long, id string, paragraph long, start long, end long, n_words long, print long, buckets array<long>, hashes array<int>"), "paragraphs")
+    seen = cut(rows.mapInArrow(signed, "row long, id string, paragraph long, start long, end long, n_words long, print long, buckets array<long>, hashes array<int>"), "paragraphs")
     seen = seen.withColumn("id", F.col("id").cast(docs.schema[id_col].dataType))  # as text it passed pandas whole, nulls or not
     # one shuffle by bucket serves the distinct, the count and the join
     met = seen.where("buckets is not null").select("print", F.explode("buckets").alias("bucket")).repartition("bucket").distinct()
@@ -250,7 +268,7 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     @F.pandas_udf("double")
     def alike(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([jaccard(a, b) for a, b in zip(x, y)])
+        return pd.Series([jaccard(np.unique(a), np.unique(b)) for a, b in zip(x, y)])
 
     both = pairs.join(sets.select(F.col("print").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("print").alias("b"), F.col("hashes").alias("y")), "b")
     links = both.withColumn("alike", alike("x", "y")).where(F.col("alike") >= similarity - 1e-9).select("a", "b")
@@ -260,7 +278,7 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     blocks = turns.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "print").join(sets, "print")
 
     def linked(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = similar_forest([np.asarray(h) for h in pdf["hashes"]], (pdf["own"] == pdf["i"]).to_numpy(), similarity)
+        found = similar_forest([np.unique(h) for h in pdf["hashes"]], (pdf["own"] == pdf["i"]).to_numpy(), similarity)
         at = pdf["print"].to_numpy()
         return pd.DataFrame({"a": [at[i] for i, _ in found], "b": [at[j] for _, j in found]}, dtype="int64")
 
