@@ -162,12 +162,25 @@ def test_packing_holds_each_id_once(spark, sf_dir, texts):
         assert g.offset.tolist() == [0, *np.cumsum(g.length)[:-1].tolist()] and total <= 2048 and total & (total - 1) == 0
 
 
-@pytest.mark.parametrize("lengths", [[], [1], [0], [2048], [5000, 3, 3, 700, 255, 256, 257], [1] * 100, list(range(1, 3000, 37))])
-def test_packing_plan(lengths):
-    windows = pack.plan(lengths)
-    held = sorted((d, s + i) for _, ps in windows for d, s, n in ps for i in range(n))
+@pytest.mark.parametrize("last", [True, False])
+@pytest.mark.parametrize("lengths", [[], [1], [0], [2048], [5000, 3, 3, 700, 255, 256, 257], [1] * 100, list(range(1, 3000, 37)), [700, 300, 200, 100, 1500, 400, 900] * 30])
+def test_packing_plan(lengths, last):
+    windows, rest = pack.plan(lengths, last=last)
+    held = sorted((d, s + i) for _, ps in [*windows, (0, rest)] for d, s, n in ps for i in range(n))
     assert held == [(d, i) for d, n in enumerate(lengths) for i in range(n)]
     assert all(size == sum(n for _, _, n in ps) and size & (size - 1) == 0 for size, ps in windows)
+    assert sum(n for _, _, n in rest) < 256 and (last or all(size in pack.TIERS for size, _ in windows))
+
+
+def test_tiers_hold_documents_of_their_length_and_steps_are_equal(spark, sf_dir):
+    df = pack.packed(spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(1), step_tokens=1 << 12, chunk_tokens=1 << 15).drop("ids").toPandas()
+    windows = df.groupby("sequence_id").agg(tier=("tier", "first"), step=("step_group", "first"), pieces=("length", "size"))
+    counts = windows.tier.value_counts()
+    assert all(counts[t] >= 5 for t in pack.TIERS) and counts[[t for t in counts.index if t < 256]].sum() <= 8
+    sizes = windows.groupby("step").tier.sum().sort_index()
+    assert (sizes[:-1] == 1 << 12).all() and sizes.iloc[-1] <= 1 << 12 and len(sizes) > 20
+    short = df[(df.start == 0) & (df.length == df.doc_tokens) & (df.doc_tokens <= 512)].tier
+    assert (short > 512).sum() > 0 and (short <= 512).sum() > 0  # some fill gaps of longer windows, some stay in their tier
 
 
 def test_language_of_held_out_documents(spark, sf_dir):
