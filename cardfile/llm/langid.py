@@ -21,6 +21,7 @@ BUCKETS = 1 << 15
 SAMPLE = 20_000
 SMOOTHING = 0.5
 UNKNOWN = "und"
+#: Letters, and numerals that are no decimal digits.
 _LETTER = re.compile(r"[^\W\d_]")
 #: ASCII letters are lower-cased, other ASCII bytes are word ends; a run of ends counts as one.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -41,6 +42,11 @@ def ngrams(text: str | None, orders: tuple[int, ...] = ORDERS, buckets: int = BU
     return np.concatenate(out) if out else np.empty(0, np.uint32)
 
 
+def has_letter(text: str) -> bool:
+    found = _LETTER.search(text)
+    return found is not None and (found[0].isalpha() or any(map(str.isalpha, text)))
+
+
 @dataclass(frozen=True)
 class Model:
     """Languages, log priors, and the matrix (bucket, language) of log probabilities."""
@@ -56,6 +62,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     Tasks add up the counts of their rows; what reaches the driver is one row
     of `buckets` counts per language. Without rows the model knows no language.
+    Repeated rows of a chosen id count each, whole texts count however long, and
+    columns beyond the three named are not read. Equal hashes are told apart by id.
     """
     known = text_batches(docs).where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
     chosen = known.select(F.col(id_col).alias("_id")).distinct().orderBy(F.xxhash64("_id"), "_id").limit(sample)
@@ -94,8 +102,8 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_into: st
 
     A null text, one without a letter, and any text under a model without
     languages gives `und` with score 0. Whole texts are scored, in batches of
-    sparse counts against the broadcast matrix. Equal scores go to the language
-    that sorts first. Columns of these two names are replaced.
+    sparse counts against the broadcast matrix, however long. Equal scores go to the language
+    that sorts first. Columns of these two names are replaced, others kept whatever their names.
     """
     model = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -105,7 +113,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_into: st
         buckets = len(m.logs)
         langs, scores = [], []
         for text in texts:
-            if not m.languages or text is None or not _LETTER.search(text):
+            if not m.languages or text is None or not has_letter(text):
                 langs.append(UNKNOWN)
                 scores.append(0.0)
                 continue
@@ -117,10 +125,11 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_into: st
             scores.append(float(1 / np.exp(total - total[best]).sum()))
         return pd.DataFrame({"lang": langs, "score": scores})
 
-    own = text_batches(docs).withColumn("_found", classified(text_col))
-    return own.withColumn(lang_into, F.col("_found.lang")).withColumn(score_into, F.col("_found.score")).drop("_found")
+    own = text_batches(docs).select(F.struct("*").alias("row"), classified(text_col).alias("found"))
+    kept = [F.col(f"row.`{c}`") for c in docs.columns if c not in (lang_into, score_into)]
+    return own.select(*kept, F.col("found.lang").alias(lang_into), F.col("found.score").alias(score_into))
 
 
 def held_out(id_col: str = "doc_id") -> Column:
-    """True for the fifth of the rows that are never learned from."""
+    """True for the fifth of the rows that are never learned from; null for a null id, which is not learned from either."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0

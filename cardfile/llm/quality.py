@@ -145,8 +145,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """
     chosen = sample_ids(labels, id_col, label_col, sample)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
-    rows = with_statistics(rows, "_text").select("label", "stats")
-    rows = cut(rows.repartition(4, F.xxhash64("stats")).withColumn("features", array_to_vector(F.array(*[f"stats.{s}" for s in STATISTICS]))), "sample")
+    rows = with_statistics(rows, "_text").select("_id", "label", "stats")
+    # dealt and sorted by id, so that the fit is the same in every run
+    rows = cut(rows.repartition(4, F.xxhash64("_id")).sortWithinPartitions("_id", "stats").drop("_id").withColumn("features", array_to_vector(F.array(*[f"stats.{s}" for s in STATISTICS]))), "sample")
     n, ones = rows.agg(F.count("*"), F.sum("label")).first()
     if not n or not 0 < ones < n:
         share = (ones + 0.5) / (n + 1) if n else 0.5
@@ -166,17 +167,25 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", into: str = "score") -> DataFrame:
-    """docs with the score of each whole text, 0 to 1; null and empty texts score like the statistics of no text."""
-    return with_statistics(docs, text_col, "_stats").withColumn(into, model.score("_stats")).drop("_stats")
+    """docs with the score of each whole text, 0 to 1; null and empty texts score like the statistics of no text.
+
+    A column named like the score is replaced, others are kept whatever their names.
+    """
+    own = with_statistics(docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text")), "text", "stats")
+    return own.select(*[F.col(f"row.`{c}`") for c in docs.columns if c != into], model.score("stats").alias(into))
 
 
 def held_out(id_col: str = "doc_id") -> Column:
-    """True for the fifth of the rows whose labels are never learned."""
+    """True for the fifth of the rows whose labels are never learned; null for a null id, which is not learned from either."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, **settings) -> DataFrame:
-    """The rows of docs, with their own columns, that score at least `threshold`, by a model of the labels not held out."""
+    """The rows of docs, with their own columns, that score at least `threshold`, by a model of the labels not held out.
+
+    Null and empty texts are scored like any, long ones whole, repeated rows
+    each; ids are only used to learn. An empty table gives an empty table.
+    """
     model = fit(docs, labels.where(~held_out(id_col)), id_col, text_col, **settings)
     own = docs.select(F.struct("*").alias("_row"), F.col(text_col).alias("_text"))
     return score(own, model, "_text", "_score").where(F.col("_score") >= threshold).select("_row.*")

@@ -75,26 +75,30 @@ def hilbert_shards(rows: DataFrame, shards: int, id_col: str = "doc_id", dimensi
     the cells (at most 2**(bits * dimensions)) and their parts are summed
     instead, and a hot cell is dealt into parts.
     """
-    keyed = rows.withColumn("curve", curve(dimensions, bits)).withColumn("_part", F.pmod(F.xxhash64(id_col), F.lit(parts)))
-    counts = keyed.groupBy("curve", "_part").agg(F.count("*").alias("_n"))
-    cells = counts.groupBy("curve").agg(F.sum("_n").alias("_cell"))
+    ties = F.xxhash64(*[c for c, t in rows.dtypes if not t.startswith("map")])
+    # the row's own columns go along in a struct, so their names clash with nothing
+    keyed = rows.select(F.struct("*").alias("row"), curve(dimensions, bits).alias("curve"), F.pmod(F.xxhash64(id_col), F.lit(parts)).alias("part"), F.col(id_col).alias("key"), ties.alias("ties"))
+    counts = keyed.groupBy("curve", "part").agg(F.count("*").alias("n"))
+    cells = counts.groupBy("curve").agg(F.sum("n").alias("cell"))
     upto = Window.orderBy("curve").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.orderBy("curve").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    cells = cells.select("curve", F.coalesce(F.sum("_cell").over(upto), F.lit(0)).alias("_before"), F.sum("_cell").over(whole).alias("_all"))
-    within = Window.partitionBy("curve").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("curve", "_part", F.coalesce(F.sum("_n").over(within), F.lit(0)).alias("_in")).join(cells, "curve")
-    starts = starts.select("curve", "_part", (F.col("_before") + F.col("_in")).alias("_start"), "_all")
-    ties = F.xxhash64(*[c for c, t in rows.dtypes if not t.startswith("map")])
-    nth = F.row_number().over(Window.partitionBy("curve", "_part").orderBy(id_col, ties)) - 1
-    placed = keyed.withColumn("_nth", nth).join(starts, ["curve", "_part"]).withColumn("_at", F.col("_start") + F.col("_nth"))
-    shard = F.expr(f"_at * {shards} div _all")
-    first = F.expr(f"(shard * _all + {shards - 1}) div {shards}")
-    kept = [c for c in rows.columns if c not in ("curve", "shard", "slot")]
-    return placed.withColumn("shard", shard.cast("int")).withColumn("slot", F.col("_at") - first).select(*kept, "curve", "shard", "slot")
+    cells = cells.select("curve", F.coalesce(F.sum("cell").over(upto), F.lit(0)).alias("before"), F.sum("cell").over(whole).alias("all_rows"))
+    within = Window.partitionBy("curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("curve", "part", F.coalesce(F.sum("n").over(within), F.lit(0)).alias("inside")).join(cells, "curve")
+    starts = starts.select("curve", "part", (F.col("before") + F.col("inside")).alias("start"), "all_rows")
+    nth = F.row_number().over(Window.partitionBy("curve", "part").orderBy("key", "ties")) - 1
+    placed = keyed.withColumn("nth", nth).join(starts, ["curve", "part"]).withColumn("at", F.col("start") + F.col("nth"))
+    placed = placed.withColumn("shard", F.expr(f"at * {shards} div all_rows").cast("int"))
+    first = F.expr(f"(shard * all_rows + {shards - 1}) div {shards}")
+    kept = [F.col(f"row.`{c}`") for c in rows.columns if c not in ("curve", "shard", "slot")]
+    return placed.select(*kept, "curve", "shard", (F.col("at") - first).alias("slot"))
 
 
 def write_shards(rows: DataFrame, path: str, shards: int, rows_per_file: int = 1 << 20, **settings) -> None:
-    """Writes path/shard=N/ Parquet files along the curve, so their statistics prune on every dimension."""
+    """Writes path/shard=N/ Parquet files along the curve, so their statistics prune on every dimension.
+
+    Of the columns of hilbert_shards, all are kept. An empty table writes no
+    shard; texts of any length go whole into their row.
+    """
     placed = hilbert_shards(rows, shards, **settings)
-    placed = placed.withColumn("_file", F.expr(f"slot div {rows_per_file}"))
-    placed.repartition("shard", "_file").sortWithinPartitions("shard", "slot").drop("_file").write.partitionBy("shard").parquet(path)
+    placed.repartition("shard", F.expr(f"slot div {rows_per_file}")).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

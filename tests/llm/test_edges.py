@@ -13,7 +13,7 @@ ROWS = [
     (1, ""), (2, None), (None, "one two three four five six"), (3, LONG), (4, "a b c"), (4, "a b c"), (5, "   \n\t "), (6, PARAGRAPH), (7, "x\n" + PARAGRAPH + "\ny"),
     (8, "Ünïcödé 漢字 🙂 " * 30), (9, "mail a.b@c.test and +1 (555) 123-4567"), (10, "one two three four five six"),
 ]
-CLASHING = "row id f k t h a b score label stats print image bucket n m x word term entity told u v node component first_id shard slot curve".split()
+CLASHING = "row id f k t h a b score label stats print image bucket n m x word term entity told u v node component first_id shard slot curve _part _nth _at _start _all _found _stats _row _text part start nth at key ties found".split()
 
 
 def table(spark, rows):
@@ -99,6 +99,7 @@ def test_language(docs):
     found = {r.doc_id: r for r in langid.predict(docs, model).collect()}
     for i in (1, 2, 5):
         assert not found or (found[i].lang_pred, found[i].score) == ("und", 0.0)
+    assert found == {} or not {"own _found", "own row"} - set(next(iter(found.values())))
     assert langid.predict(docs, langid.fit(docs)).where("lang_pred <> 'und'").isEmpty()
 
 

@@ -246,6 +246,10 @@ def test_pages_have_classes(spark, sf_dir):
     assert df.page_id.is_unique and (df.class_id <= df.page_id).all() and len(df) == pq.read_table(f"{sf_dir}/pages.parquet").num_rows
 
 
+def test_numerals_are_no_letters():
+    assert not langid.has_letter("½ ² 3 _ Ⅷ٣") and langid.has_letter("½ é") and not langid.has_letter("")
+
+
 def test_langid_counts_each_gram_once():
     grams = langid.ngrams("ab", (2,), 1 << 15)
     assert len(grams) == 3 and len(set(grams.tolist())) == 3
