@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 from urllib.parse import urljoin
 
@@ -24,6 +24,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of the value, which is worked out once however often body names it; Python functions may stand in value only."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _literals(values: Sequence[str]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
@@ -118,19 +123,37 @@ def html_unescape(c: Column | str) -> Column:
     return F.when(F.contains(c, F.lit("&")), _unescaped(F.when(F.contains(c, F.lit("&")), c))).otherwise(c)
 
 
+_AT_OR_DOT = r"(?i)[\[(](?:at|dot)[\])]"
+
+
 def deobfuscate(c: Column | str, unescape: bool = True, collapse_dots: bool = True) -> Column:
     """Plain addresses from ` [at] `, `(dot)`, ` @ ` and the like."""
-    c = html_unescape(c) if unescape else _col(c)
-    for word, sign in (("at", "@"), ("dot", ".")):
-        c = F.regexp_replace(c, rf"(?i)\s*(\[{word}\]|\({word}\))\s*", sign)
-    c = F.regexp_replace(c, r"\s+@\s+", "@")
-    return F.regexp_replace(c, r"\s+\.\s+", ".") if collapse_dots else c
+
+    def words(c: Column) -> Column:
+        for word, sign in (("at", "@"), ("dot", ".")):
+            c = F.regexp_replace(c, rf"(?i)(?:\G|(?<!\s))\s*(\[{word}\]|\({word}\))\s*", sign)
+        return c
+
+    def signs(c: Column) -> Column:
+        c = F.regexp_replace(c, r"(?:\G|(?<!\s))\s+@\s+", "@")
+        return F.regexp_replace(c, r"(?:\G|(?<!\s))\s+\.\s+", ".") if collapse_dots else c
+
+    # a replacement looks through all white space of a text, so it only runs where there is something to replace,
+    # and begins where a run of white space begins or the last match ended: elsewhere it would try the same run again
+    plain = _bound(html_unescape(c) if unescape else _col(c), lambda t: F.when(t.rlike(_AT_OR_DOT), words(t)).otherwise(t))
+    return _bound(plain, lambda t: F.when(t.rlike(r"\s[@.]\s"), signs(t)).otherwise(t))
 
 
 def extract_emails(c: Column | str, **settings) -> Column:
     """Addresses of a text in order, lower-cased, no spam, repeats included."""
-    found = F.regexp_extract_all(deobfuscate(c, **settings), F.lit(C.EMAIL), 0)
-    return F.transform(F.filter(found, lambda e: is_valid_email(e) & ~is_spam_or_irrelevant(e)), F.lower)
+
+    def found(t: Column) -> Column:
+        every = F.regexp_extract_all(deobfuscate(t, **settings | {"unescape": False}), F.lit(r"(?:\G|(?<![a-zA-Z0-9_.+-]))" + C.EMAIL), 0)
+        return F.transform(F.filter(every, lambda e: is_valid_email(e) & ~is_spam_or_irrelevant(e)), F.lower)
+
+    text = html_unescape(c) if settings.get("unescape", True) else _col(c)
+    none = F.when(_col(c).isNotNull(), F.array().cast("array<string>"))
+    return _bound(text, lambda t: F.when(F.contains(t, F.lit("@")) | t.rlike(_AT_OR_DOT), found(t)).otherwise(none))
 
 
 def email_pattern(local: Column) -> Column:
@@ -269,6 +292,10 @@ def unwrap_redirect(c: Column | str) -> Column:
 # --- names, titles, niches
 
 
+#: Control characters that mark titles in a text.
+TITLE_START, TITLE_END = "\x01", "\x02"
+
+
 def any_title(whole_word: bool = False) -> str:
     body = "|".join(p for _, p in C.TITLES)
     return rf"(?iU)\b(?:{body})\b" if whole_word else f"(?iU)(?:{body})"
@@ -293,30 +320,36 @@ def extract_people(c: Column | str, reach: int = 60, whole_word: bool = False) -
     folded so far, and the text after it the first of what follows; a name once
     found is not found again. Sorted by score, then name.
     """
-    text = html_to_text(c)
     title = any_title(whole_word)
-    parts = F.split(text, title, -1)
-    titles = F.regexp_extract_all(text, F.lit(title), 0)
+    name = f"(?U){C.PERSON_NAME}"
     start = F.struct(F.lit("").alias("tail"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         window = F.right(F.concat(acc["tail"], x["part"]), F.lit(reach))
         return F.struct(F.right(F.concat(window, x["title"]), F.lit(reach)).alias("tail"), F.concat(acc["out"], F.array(window)).alias("out"))
 
-    pairs = F.zip_with(F.slice(parts, F.lit(1), F.size(titles)), titles, lambda p, t: F.struct(p.alias("part"), t.alias("title")))
-    before = F.aggregate(pairs, start, step, lambda acc: acc["out"])
-
     def back(acc: Column, x: Column) -> Column:
         window = F.left(F.concat(x["part"], acc["tail"]), F.lit(reach))
         return F.struct(F.left(F.concat(x["title"], window), F.lit(reach)).alias("tail"), F.concat(F.array(window), acc["out"]).alias("out"))
 
-    later = F.zip_with(F.slice(parts, F.lit(2), F.size(titles)), titles, lambda p, t: F.struct(p.alias("part"), t.alias("title")))
-    after = F.aggregate(F.reverse(later), start, back, lambda acc: acc["out"])
-    name = f"(?U){C.PERSON_NAME}"
-    rows = [
-        F.zip_with(before, titles, lambda w, t: F.struct(F.element_at(F.concat(F.array(F.lit("")), F.regexp_extract_all(w, F.lit(name), 0)), -1).alias("name"), t.alias("title"))),
-        F.zip_with(after, titles, lambda w, t: F.struct(F.regexp_extract(w, name, 0).alias("name"), t.alias("title"))),
-    ]
+    def around(pieces: Column) -> Column:
+        """The names before and after each title; a piece is a title, its end mark and the text up to the next one."""
+        titled = F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0)))
+        both = F.transform(titled, lambda p: F.struct(F.substring_index(p, TITLE_END, 1).alias("title"), F.substr(p, F.instr(p, TITLE_END) + 1).alias("part")))
+
+        def windows(both: Column) -> Column:
+            earlier = F.transform(both, lambda x, i: F.struct(F.when(i == 0, F.get(pieces, F.lit(0))).otherwise(F.get(both, i - 1)["part"]).alias("part"), x["title"].alias("title")))
+            before, after = F.aggregate(earlier, start, step, lambda acc: acc["out"]), F.aggregate(F.reverse(both), start, back, lambda acc: acc["out"])
+            return F.concat(
+                F.zip_with(before, both, lambda w, x: F.struct(F.element_at(F.concat(F.array(F.lit("")), F.regexp_extract_all(w, F.lit(name), 0)), -1).alias("name"), x["title"].alias("title"))),
+                F.zip_with(after, both, lambda w, x: F.struct(F.regexp_extract(w, name, 0).alias("name"), x["title"].alias("title"))),
+            )
+
+        return _bound(both, windows)
+
+    # titles are marked in one pass over the text, and found again by their marks
+    marked = F.regexp_replace(F.translate(html_to_text(c), TITLE_START + TITLE_END, ""), title, TITLE_START + "$0" + TITLE_END)
+    rows = [_bound(F.split(marked, TITLE_START, -1), around)]
     heading = r"(?is)<h[2-6][^>]*>([^<]{2,50})</h[2-6]>[^<]*(?:<p[^>]*>[^<]{0,150}</p>|<div[^>]*>[^<]{0,150}</div>)"
     heads = F.zip_with(F.regexp_extract_all(_col(c), F.lit(heading), 1), F.regexp_extract_all(_col(c), F.lit(heading), 0), lambda h, whole: F.struct(F.regexp_extract(F.btrim(h), f"(?U)^{C.PERSON_NAME}", 0).alias("name"), F.regexp_extract(F.substr(whole, F.length(h) + 5), title, 0).alias("title")))
     rows.append(F.transform(heads, lambda x: F.struct(x["name"].alias("name"), F.when(x["title"] == "", "Team Member").otherwise(x["title"]).alias("title"))))
