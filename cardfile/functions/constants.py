@@ -96,6 +96,9 @@ POI_TYPES = (
 )
 BUSINESS_KEYS = ("office", "shop", "amenity", "leisure", "sport", "tourism", "healthcare")
 VALUE_KEYS = ("amenity", "shop", "office", "leisure", "sport", "healthcare", "tourism", "catering")
+#: Strict matches of a group below which loose ones are taken, and found elements below which all named ones are.
+RELAXED_MIN = 50
+CATCH_ALL_MIN = 100
 #: Of the many niches these are the defaults; the tables of tags and terms are parameters of the operators.
 NICHE_TAGS = {
     "fitness": ("leisure=fitness_centre", "leisure=sports_centre", "amenity=gym", "sport=fitness"),

@@ -138,6 +138,33 @@ def _merge() -> str:
     return "with " + ", ".join(parts) + " select id, name, source, priority from (select * from both_ab union all select * from kept_c) t"
 
 
+_FOUND = f"(((office <> '' or shop <> '') and {_has('name')}) or (office <> '' and {_has('industry')}) or {_has('office')} or {_has('shop')} or office = 'company' or {_TAGGED})"
+
+
+def _candidates(target: int, relaxed_min: int, catch_all_min: int) -> str:
+    same = "x.niche = y.niche and x.location = y.location"
+    like = f"{same} and (x.name = y.name or contains(x.name, y.name) or contains(y.name, x.name))"
+    source = lambda k: f"select id, lower(trim(name)) as name, website, source, niche, location, {_HOST.format('website')} as host from ({D.as_sql(D.HITS[k])}) t"
+    own = lambda t: f"select * from {t} x where not exists (select 1 from {t} y where y.id < x.id and {like})"
+    return f"""with {_ELEMENTS}, hit as (select * from elements where {_FOUND}),
+    counted as (select niche, location, count(distinct (type, id)) as n from hit group by 1, 2),
+    wide as (select e.* from elements e left join counted c on e.niche = c.niche and e.location = c.location where name <> '' and website <> '' and coalesce(n, 0) < {catch_all_min}),
+    every as (select * from (select *, 1 as phase from hit union all select *, 2 from wide) t qualify row_number() over (partition by niche, location, type, id order by phase, ord) = 1),
+    usable as (select ord, niche, location, trim(name) as name, regexp_replace(case when regexp_matches(website, '^https?://') then website else concat('https://', website) end, '/+$', '') as site,
+      ({_TAGGED} or {_RELEVANT}) as relevant, {_RELAXED} as relaxed from every where trim(name) <> '' and website <> '' and website <> 'https://www.facebook.com/x'),
+    judged as (select *, {_HOST.format('site')} as host, count(*) filter (relevant) over (partition by niche, location) as n from usable),
+    chosen as (select * from judged where relevant or (relaxed and n < {relaxed_min})),
+    fresh as (select * from judged j where ord not in (select ord from chosen) and not exists (select 1 from chosen c where c.niche = j.niche and c.location = j.location and c.host = j.host) qualify row_number() over (partition by niche, location, host order by ord) = 1),
+    ranked as (select *, row_number() over (partition by niche, location order by ord) as nth from fresh),
+    first as (select niche, location, concat('e', cast(ord as varchar)) as id, lower(name) as name, site as website, 'OSM' as source, host from chosen union all
+      select niche, location, concat('e', cast(ord as varchar)), lower(name), site, 'OSM (fill)', host from ranked r where nth <= {target} - (select count(*) from chosen c where c.niche = r.niche and c.location = r.location)),
+    src_h as ({source("HERE")}), new_h as (select * from src_h x where not exists (select 1 from first y where {like})), kept_h as ({own("new_h")}),
+    both_h as (select niche, location, id, name, website, source, host from first union all select niche, location, id, name, website, source, host from kept_h),
+    src_g as ({source("Google")}), new_g as (select * from src_g x where not exists (select 1 from both_h y where {like}) and not exists (select 1 from both_h y where {same} and x.host <> '' and x.host = y.host)),
+    hosts_g as (select * from new_g x where host = '' or not exists (select 1 from new_g y where {same} and y.host = x.host and y.id < x.id)), kept_g as ({own("hosts_g")})
+    select niche, location, id, name, website, source, case source when 'HERE' then 1 when 'Google' then 2 else 0 end as priority from (select * from both_h union all select niche, location, id, name, website, source, host from kept_g) t"""
+
+
 def all_sql() -> dict[str, str]:
     phone = r"regexp_replace(p, '[\s\-/().,]', '', 'g')"
     codes = "(values " + ", ".join(f"('{k}', {v})" for k, v in C.COUNTRY_DIGITS.items()) + ")"
@@ -186,11 +213,12 @@ def all_sql() -> dict[str, str]:
             select ord, niche, location, case when source = 'OSM' then 'strict' else 'relaxed' end as layer from counted where source = 'OSM' or (source = 'HERE' and n < 4)""",
         "niche_relevance": f"with {_ELEMENTS} select ord, ({_TAGGED} or {_RELEVANT}) as relevant, {_RELAXED} as relaxed from elements",
         "element_search": f"""with {_ELEMENTS}, found as (
-            select type, id, ord, lat, lon, 1 as phase from elements where ((office <> '' or shop <> '') and {_has('name')}) or (office <> '' and {_has('industry')}) or {_has('office')} or {_has('shop')} or office = 'company' or {_TAGGED}
+            select type, id, ord, lat, lon, 1 as phase from elements where {_FOUND}
             union all select type, id, ord, lat, lon, 2 from elements where name <> '' and website <> '')
             select type, id, ord, phase from found where lat between 5 and 80 and lon between 10 and 170 qualify row_number() over (partition by type, id order by phase, ord) = 1""",
         "candidate_skips": f"""with {_ELEMENTS} select case when trim(name) = '' then 'no name' when website = '' or website = 'https://www.facebook.com/x' then 'no website' when not ({_TAGGED} or {_RELEVANT}) then 'not relevant' else 'none' end as skip_reason, count(*) as n from elements group by 1""",
         "merge_sources": _merge(),
+        "build_candidates": _candidates(12, 6, 8),
         "resolve_region": f"""with places as ({D.as_sql(D.GAZETTEER)}), judged as (select *, osm_type in ({_list(C.POI_TYPES)}) or (north - south < 0.02 and east - west < 0.02) as poi from places),
             tries as (select j.name as location, 0 as turn, concat(trim(split_part(display_name, ',', 2)), ', ', trim(split_part(display_name, ',', 3))) as candidate from judged j where poi and split_part(display_name, ',', 3) <> ''
               union all select name, 1, trim(split_part(display_name, ',', -1)) from judged where poi union all select name, 2, name from judged where poi),

@@ -60,10 +60,21 @@ select case when p_partkey % 3 = 0 then 'way' else 'node' end as type, p_partkey
   case p_partkey % 5 when 0 then 'it' when 1 then 'company' else '' end as office,
   case when p_partkey % 7 = 0 then 'bakery' else '' end as shop,
   case when p_partkey % 8 = 0 then 'Cloud software' else '' end as industry,
-  case p_partkey % 9 when 0 then '' when 1 then 'https://www.facebook.com/x' when 2 then 'fedex.com' else concat('https://p', cast(p_partkey % 997 as string), '.test/') end as website
+  case p_partkey % 9 when 0 then '' when 1 then 'https://www.facebook.com/x' when 2 then 'fedex.com' else concat('https://p', cast(p_partkey % 997 as string), '.test/') end as website,
+  concat('city', cast(cast(floor(p_partkey / 80) as bigint) as string)) as location
 from {part}
 """
 
+#: Companies of other sources, in the niches and locations of the elements.
+HITS = {
+    "HERE": """select concat('h', cast(p_partkey as string)) as id, case p_partkey % 3 when 0 then p_name when 1 then concat(p_name, ' Ltd') else concat(p_brand, ' ', cast(p_size as string)) end as name,
+  concat('https://h', cast(p_partkey % 1200 as string), '.test') as website, 'HERE' as source,
+  case p_partkey % 4 when 1 then 'it' when 2 then 'bakery' when 3 then 'data, cloud' else 'fitness gym' end as niche, concat('city', cast(cast(floor(p_partkey / 80) as bigint) as string)) as location from {part}""",
+    "Google": """select concat('i', cast(p_partkey as string)) as id, concat(p_type, case when p_partkey % 2 = 0 then ' Works' else '' end) as name,
+  concat('https://', case when p_partkey % 5 = 0 then 'p' else 'g' end, cast(p_partkey % 997 as string), '.test') as website, 'Google' as source,
+  case p_partkey % 4 when 0 then 'it' when 1 then 'bakery' when 2 then 'data, cloud' else 'fitness gym' end as niche, concat('city', cast(cast(floor(p_partkey / 80) as bigint) as string)) as location from {part}""",
+}
+
 CITIES = "select n_nationkey as ord, n_name as city from {nation}"
 OUTPUTS = "select distinct n_name as location from {supplier} join {nation} on s_nationkey = n_nationkey where s_acctbal < -900"
 

@@ -156,6 +156,12 @@ def merge_sources(spark, sf_dir):
     return candidates.merge_sources(parts, [False, False, True]).select("id", "name", "source", "priority")
 
 
+def build_candidates(spark, sf_dir):
+    """Companies of each niche and location from elements and two more sources, with small thresholds for the small groups."""
+    others = [D.on_spark(spark, sf_dir, text) for text in D.HITS.values()]
+    return candidates.build_candidates(_elements(spark, sf_dir), others, [False, True], target=12, relaxed_min=6, catch_all_min=8)
+
+
 def resolve_region(spark, sf_dir):
     places = D.on_spark(spark, sf_dir, D.GAZETTEER)
     return candidates.resolve_region(places.select(F.col("name").alias("location")), places)
@@ -254,7 +260,7 @@ def suppress_stream(spark, sf_dir):
 QUERIES = (
     email_domains, extract_emails, email_validity, extract_phones, html_text, page_links, url_normalise, rank_emails, collect_row_emails, clean_contacts,
     clean_contacts_strict, clean_summary, removed_emails, dedup_companies, mx_summary, verify_contacts, verify_counts, select_contacts, chunk_locations,
-    plan_locations, limit_per_group, fill_to_quota, threshold_fallback, niche_relevance, element_search, candidate_skips, merge_sources, resolve_region,
+    plan_locations, limit_per_group, fill_to_quota, threshold_fallback, niche_relevance, element_search, candidate_skips, merge_sources, build_candidates, resolve_region,
     infer_pattern, address_from_pattern, render_text, run_summary, location_slugs, contact_preview, people_extract, harvest_pages, page_plan, result_links, place_rows,
     run_locations, clean_stream, suppress_stream,
 )
