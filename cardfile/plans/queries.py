@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cardfile.functions import scalars as S
-from cardfile.operators import candidates, clean, dedup, harvest, selection, verify
+from cardfile.operators import candidates, clean, dedup, harvest, locations, selection, verify
 from cardfile.plans import derived as D
 from cardfile.sources import tables as sources
 from cardfile.sources.store import new_path
@@ -237,6 +237,17 @@ def run_locations(spark, sf_dir):
     return dedup.limit_per_group(rows.join(cities.select(F.col("city").alias("location")), "location"), ["niche", "location"], 20, ["source", "ord"]).select("niche", "location", "ord", "company_name", "contact_email")
 
 
+def run_all_locations(spark, sf_dir):
+    """Contact rows of every location of the elements that has no output yet, from candidates and saved pages."""
+    elements = _elements(spark, sf_dir)
+    cities = elements.groupBy(F.col("location").alias("city")).agg(F.min("ord").alias("ord")).select("ord", "city")
+    outputs = D.on_spark(spark, sf_dir, "select distinct concat('city', cast(s_suppkey * 7 as string)) as location from {supplier}")
+    pages = _people_pages(spark, sf_dir).withColumns({"page_ord": F.regexp_extract("site", r"(\d+)", 1).cast("long"), "site": F.regexp_replace("site", "^site", "p")})
+    founders = D.on_spark(spark, sf_dir, "select p_name as company_name, concat('Mia ', case when p_partkey % 2 = 0 then 'Stone' else 'Field' end) as person, 'Founder' as title from {part}")
+    others = [D.on_spark(spark, sf_dir, text) for text in D.HITS.values()]
+    return locations.run_all_locations(cities, outputs, elements, others, [False, True], pages, founders, per_group=20, target=12, relaxed_min=6, catch_all_min=8)
+
+
 def clean_stream(spark, sf_dir):
     """Contacts written as files, cleaned by the stream, and read again."""
     at = new_path(spark, "clean")
@@ -262,5 +273,5 @@ QUERIES = (
     clean_contacts_strict, clean_summary, removed_emails, dedup_companies, mx_summary, verify_contacts, verify_counts, select_contacts, chunk_locations,
     plan_locations, limit_per_group, fill_to_quota, threshold_fallback, niche_relevance, element_search, candidate_skips, merge_sources, build_candidates, resolve_region,
     infer_pattern, address_from_pattern, render_text, run_summary, location_slugs, contact_preview, people_extract, harvest_pages, page_plan, result_links, place_rows,
-    run_locations, clean_stream, suppress_stream,
+    run_locations, run_all_locations, clean_stream, suppress_stream,
 )

@@ -69,3 +69,23 @@ def test_streams_need_no_llm():
     import cardfile.registry as registry
 
     assert "clean_stream" in registry.queries()
+
+
+def test_all_locations_give_contact_rows(spark):
+    from cardfile.operators.locations import run_all_locations
+
+    cities = spark.createDataFrame([(1, "A"), (2, "B")], "ord long, city string")
+    outputs = spark.createDataFrame([("B",)], "location string")
+    tags = lambda name, site, **more: {"name": name, "website": site, "office": "it", **more}
+    elements = [("it", p, "node", i, i, tags(n, s)) for i, (p, n, s) in enumerate([("A", "IT One", "one.test"), ("A", "IT One", "https://one.test/"), ("B", "IT Far", "far.test"), ("A", "IT Two", "two.test"), ("A", "IT None", "none.test")])]
+    elements = spark.createDataFrame(elements, "niche string, location string, type string, id long, ord long, tags map<string,string>")
+    hits = spark.createDataFrame([("it", "A", "h1", "it two", "https://x.test", "HERE"), ("it", "A", "h2", "Other", "https://o.test", "HERE")], "niche string, location string, id string, name string, website string, source string")
+    pages = [("one.test", 0, "<p>Ann Lee, CEO</p> info@one.test +1 415 555 0100"), ("two.test", 0, "mail hello@two.test or eva.klein@two.test"), ("none.test", 0, "nothing"), ("o.test", 1, "x@o.test"), ("far.test", 0, "a.b@far.test")]
+    pages = spark.createDataFrame(pages, "site string, page_ord int, html string")
+    founders = spark.createDataFrame([("IT Two", "Mia Stone", "Founder"), ("IT Two", "Bo Field", "Manager"), ("IT One", "No One", "CEO")], "company_name string, person string, title string")
+    rows = {r.company_name: r for r in run_all_locations(cities, outputs, elements, [hits], [False], pages, founders).collect()}
+    assert set(rows) == {"it one", "it two", "other"} and {r.location for r in rows.values()} == {"A"}
+    one, two, other = rows["it one"], rows["it two"], rows["other"]
+    assert (one.contact_person, one.founder_source, one.source, one.contact_email) == ("Ann Lee", "website", "OSM", "info@one.test")
+    assert (two.contact_person, two.contact_title, two.founder_source, two.contact_email_inferred) == ("Mia Stone", "Founder", "search", "mia.stone@two.test")
+    assert (other.source, other.founder_source, other.all_emails_found) == ("HERE", "none", "x@o.test")
