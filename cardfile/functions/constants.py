@@ -85,6 +85,9 @@ NON_NAME_WORDS = (
 #: Hosts that are no company's own, of geo elements and of search results.
 GEO_HOSTS = ("facebook.com", "instagram.com", "linkedin.com", "twitter.com", "x.com", "youtube.com", "tiktok.com", "yelp.com", "foursquare.com", "google.com")
 SEARCH_HOSTS = ("google.com", "youtube.com", "facebook.com", "instagram.com", "twitter.com", "linkedin.com", "pinterest.com", "yelp.com", "maps.google.com", "duckduckgo.com")
+#: Links of saved result pages: address and title.
+RESULT_HEADING = r"""<h3[^>]*>\s*<a[^>]+href=["']([^"']+)["'][^>]*>(.*?)</a>\s*</h3>"""
+RESULT_LINK = r"""<a[^>]+class=["'][^"']*result__a[^"']*["'][^>]+href=["']([^"']+)["'][^>]*>(.*?)</a>"""
 KNOWN_PROVIDERS = (
     "gmail.com", "googlemail.com", "outlook.com", "hotmail.com", "live.com", "msn.com", "yahoo.com", "ymail.com", "aol.com",
     "icloud.com", "me.com", "protonmail.com", "proton.me", "zoho.com", "mail.com", "gmx.com", "hey.com", "fastmail.com",

@@ -58,12 +58,10 @@ def infer_patterns(emails: DataFrame) -> DataFrame:
 
 
 def result_links(pages: DataFrame, hosts=C.SEARCH_HOSTS) -> DataFrame:
-    """(query, location, pos, host, url, name) of saved result pages, one row a host."""
-    heads = r"""(?is)<h3[^>]*>\s*<a[^>]+href=["']([^"']+)["'][^>]*>(.*?)</a>\s*</h3>"""
-    marked = r"""(?is)<a[^>]+class=["'][^"']*result__a[^"']*["'][^>]+href=["']([^"']+)["'][^>]*>(.*?)</a>"""
-    pairs = [F.arrays_zip(F.regexp_extract_all("html", F.lit(p), 1).alias("href"), F.regexp_extract_all("html", F.lit(p), 2).alias("title")) for p in (heads, marked)]
+    """(query, location, pos, host, url, name) of saved result pages, one row a host: its least place in a page, then url and name."""
+    pairs = [F.arrays_zip(F.regexp_extract_all("html", F.lit(f"(?is){p}"), 1).alias("href"), F.regexp_extract_all("html", F.lit(f"(?is){p}"), 2).alias("title")) for p in (C.RESULT_HEADING, C.RESULT_LINK)]
     rows = pages.select("query", "location", F.posexplode(F.concat(*pairs)).alias("pos", "x"))
     rows = rows.select("query", "location", "pos", S.unwrap_redirect("x.href").alias("url"), S.trimmed(S.html_unescape(F.regexp_replace("x.title", "<[^>]+>", ""))).alias("name"))
     rows = rows.withColumn("host", S.url_domain("url")).where((F.col("host") != "") & ~S.is_directory_host(F.col("host"), hosts))
-    first = rows.groupBy("query", "location", "host").agg(F.min_by(F.struct("pos", "url", "name"), "pos").alias("x"))
+    first = rows.groupBy("query", "location", "host").agg(F.min(F.struct("pos", "url", "name")).alias("x"))
     return first.select("query", "location", "x.pos", "host", "x.url", "x.name")

@@ -165,6 +165,32 @@ def _candidates(target: int, relaxed_min: int, catch_all_min: int) -> str:
     select niche, location, id, name, website, source, case source when 'HERE' then 1 when 'Google' then 2 else 0 end as priority from (select * from both_h union all select niche, location, id, name, website, source, host from kept_g) t"""
 
 
+def _result_links() -> str:
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    found = lambda p, n: f"regexp_extract_all(html, {quoted(p)}, {n}, 'is')"
+    page = "concat('<h3><a href=\"', url, '\">A &amp; B ', cast(page_id as varchar), '</a></h3><h3><a href=\"https://www.yelp.com/x\">no</a></h3><a class=\"result__a\" href=\"//r.test/?uddg=https%3A%2F%2Fother', cast(page_id % 50 as varchar), '.test%2Fp\">Other</a>', html)"
+    return rf"""with saved as (select cast(page_id % 20 as varchar) as location, {page} as html from pages),
+    lists as (select location, {found(C.RESULT_HEADING, 1)} || {found(C.RESULT_LINK, 1)} as h, {found(C.RESULT_HEADING, 2)} || {found(C.RESULT_LINK, 2)} as t from saved),
+    spread as (select location, unnest(range(len(h))) as pos, unnest(h) as href, unnest(t) as title from lists),
+    named as (select location, pos, case when contains(href, 'uddg=') then url_decode(regexp_extract(href, 'uddg=([^&#]*)', 1)) else href end as url, trim(replace(regexp_replace(title, '<[^>]+>', '', 'g'), '&amp;', '&')) as name from spread),
+    hosted as (select *, {_HOST.format('url')} as host from named)
+    select 'it' as query, location, pos::int as pos, host, url, name from hosted where host <> '' and not regexp_matches(host, '(^|\.)({'|'.join(C.SEARCH_HOSTS).replace('.', '[.]')})$')
+    qualify row_number() over (partition by location, host order by pos, url, name) = 1"""
+
+
+def _page_plan(most: int) -> str:
+    host = "lower(regexp_extract({}, '^https?://([^/?#]+)', 1))"
+    paths = ", ".join(f"'{p}'" for p in C.CONTACT_PATHS)
+    return rf"""with links as (select page_id, url, unnest(range(len(h))) as pos, unnest(h) as href from (select page_id, url, regexp_extract_all(html, '<a[^>]+href=["'']([^"'']+)["''][^>]*>.*?</a>', 1, 'is') as h from pages) t),
+    kept as (select page_id, url, trim(href) as href, row_number() over (partition by page_id order by pos) - 1 as pos from links where trim(href) <> '' and not regexp_matches(trim(href), '^(#|mailto:|tel:|javascript:|data:)')),
+    whole as (select page_id, url as base, pos, regexp_replace(case when starts_with(href, 'http') then href else concat(regexp_extract(url, '^https?://[^/?#]+'), href) end, '/+$', '') as url from kept),
+    every as (select page_id, regexp_replace(url, '/+$', '') as url, 0 as kind, 0 as pos from pages
+      union all select page_id, url, 1, pos from whole where {host.format('url')} = {host.format('base')}
+      union all select page_id, concat(regexp_replace(url, '/+$', ''), path), 2, nth from pages, (select unnest([{paths}]) as path, unnest(range({len(C.CONTACT_PATHS)})) as nth) p),
+    once as (select * from every qualify row_number() over (partition by page_id, url order by kind, pos) = 1)
+    select page_id, url, (row_number() over (partition by page_id order by kind, pos, url))::int as rank from once qualify rank <= {most}"""
+
+
 def all_sql() -> dict[str, str]:
     phone = r"regexp_replace(p, '[\s\-/().,]', '', 'g')"
     codes = "(values " + ", ".join(f"('{k}', {v})" for k, v in C.COUNTRY_DIGITS.items()) + ")"
@@ -235,6 +261,10 @@ def all_sql() -> dict[str, str]:
         "contact_preview": f"with {_CONTACTS} select ord, case when length(company_name) > 24 then concat(left(company_name, 22), '..') else company_name end as company_name, case when length(all_emails_found) > 24 then concat(left(all_emails_found, 22), '..') else all_emails_found end as all_emails_found from contacts order by ord limit 10",
         "clean_stream": _clean(False),
         "suppress_stream": f"select distinct concat('info@co', cast(user_id % 211 as varchar), '.test') as email from events where concat('info@co', cast(user_id % 211 as varchar), '.test') not in (select lower(recipient_email) from ({D.as_sql(D.LOG)}) t)",
+        "page_plan": _page_plan(16),
+        "result_links": _result_links(),
+        "place_rows": """select (p_partkey % 1000)::varchar as id, trim(p_name) as name, concat('https://p', cast(p_partkey as varchar), '.test') as website, cast(p_partkey as varchar) as phone from part
+            where p_partkey % 9 <> 0 and trim(p_name) <> '' qualify row_number() over (partition by p_partkey % 1000 order by trim(p_name), website, phone) = 1""",
         "run_locations": f"""with {_CONTACTS}, cleaned as ({_clean(False).replace("with " + _CONTACTS + ",", "with")}),
             once as (select c.ord, c.niche, c.location, c.source, c.company_name, d.contact_email from cleaned d join contacts c on c.ord = d.ord qualify row_number() over (partition by lower(trim(c.company_name)), lower(trim(c.website)) order by c.ord) = 1)
             select niche, location, ord, company_name, contact_email from once where location not in (select location from ({D.as_sql(D.OUTPUTS)}) t) qualify row_number() over (partition by niche, location order by source, ord) <= 20""",

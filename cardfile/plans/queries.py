@@ -218,9 +218,12 @@ def page_plan(spark, sf_dir):
     return harvest.page_plan(D.table(spark, sf_dir, "pages"), hints=())
 
 
+#: Result links set before a page's own content.
+RESULT_PAGE = "concat('<h3><a href=\"', url, '\">A &amp; B ', cast(page_id as string), '</a></h3><h3><a href=\"https://www.yelp.com/x\">no</a></h3><a class=\"result__a\" href=\"//r.test/?uddg=https%3A%2F%2Fother', cast(page_id % 50 as string), '.test%2Fp\">Other</a>', html)"
+
+
 def result_links(spark, sf_dir):
-    html = F.expr("concat('<h3><a href=\"', url, '\">', substring(html, 30, 0), 'A &amp; B ', cast(page_id as string), '</a></h3><h3><a href=\"https://www.yelp.com/x\">no</a></h3><a class=\"result__a\" href=\"//r.test/?uddg=https%3A%2F%2Fother', cast(page_id % 50 as string), '.test%2Fp\">Other</a>')")
-    pages = D.table(spark, sf_dir, "pages").select(F.lit("it").alias("query"), (F.col("page_id") % 20).cast("string").alias("location"), html.alias("html"))
+    pages = D.table(spark, sf_dir, "pages").select(F.lit("it").alias("query"), (F.col("page_id") % 20).cast("string").alias("location"), F.expr(RESULT_PAGE).alias("html"))
     return harvest.result_links(pages)
 
 
