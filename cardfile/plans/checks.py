@@ -191,6 +191,30 @@ def _page_plan(most: int) -> str:
     select page_id, url, (row_number() over (partition by page_id order by kind, pos, url))::int as rank from once qualify rank <= {most}"""
 
 
+_PEOPLE_PAGES = r"""bodies as (select page_id, concat('site', cast(page_id as varchar), '.test') as site, concat(html,
+  case page_id % 4 when 0 then '<p>Ann Lee, CEO of the firm</p>' when 1 then '<p>Managing Director John Doe</p>' when 2 then '<h3>Eva Klein</h3><p>Head of Sales</p>' else '<p>Our Team, founder</p>' end,
+  '<a href="mailto:x">info [at] site', cast(page_id as varchar), ' [dot] test</a> eva.klein@site', cast(page_id as varchar), '.test +49 (0)30 1234567') as html from pages)"""
+
+
+def _people() -> str:
+    """CTEs up to people (site, score, name, title): names in the 60 characters before and after each title, and headings; the first of a name stays."""
+    title = "(?:" + "|".join(p for _, p in C.TITLES) + ")"
+    name = C.PERSON_NAME
+    heading = "<h[2-6][^>]*>([^<]{2,50})</h[2-6]>[^<]*(?:<p[^>]*>[^<]{0,150}</p>|<div[^>]*>[^<]{0,150}</div>)"
+    rank = "case " + " ".join(f"when regexp_matches(lower(trim(title)), '{p}') then {r}" for r, p in C.TITLES) + " else 999 end"
+    text = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<script[^>]*>.*?</script>', '', 'gis'), '<style[^>]*>.*?</style>', '', 'gis'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))"
+    return rf"""texts as (select site, string_split(regexp_replace({text}, '({title})', chr(1) || '\1' || chr(2), 'gi'), chr(1)) as pieces from bodies),
+    titled as (select site, unnest(range(len(pieces) - 1)) as k, pieces from texts),
+    windows as (select site, k, split_part(pieces[k + 2], chr(2), 1) as title, right(replace(array_to_string(pieces[1:k + 1], ''), chr(2), ''), 60) as before,
+      left(split_part(pieces[k + 2], chr(2), 2) || replace(array_to_string(pieces[k + 3:], ''), chr(2), ''), 60) as after from titled),
+    headings as (select site, regexp_extract_all(html, '{heading}', 1, 'is') as h, regexp_extract_all(html, '{heading}', 0, 'is') as w from bodies),
+    heads as (select site, unnest(range(len(h))) as k, unnest(h) as h, unnest(w) as w from headings),
+    named as (select site, 0 as kind, k, regexp_extract_all(before, '{name}')[-1] as name, title from windows union all select site, 1, k, regexp_extract(after, '{name}'), title from windows
+      union all select site, 2, k, regexp_extract(trim(h), '^{name}'), coalesce(nullif(regexp_extract(substr(w, length(h) + 5), '{title}', 0, 'i'), ''), 'Team Member') from heads),
+    persons as (select *, string_split(regexp_replace(lower(name), '\s+', ' ', 'g'), ' ') as words from named where coalesce(name, '') <> '' and lower(name) not in ({_list(C.NON_NAMES)})),
+    people as (select site, {rank} as score, name, trim(title) as title from persons where len(words) <= 3 and not list_has_any(words, [{_list(C.NON_NAME_WORDS)}]) qualify row_number() over (partition by site, lower(name) order by kind, k) = 1)"""
+
+
 def all_sql() -> dict[str, str]:
     phone = r"regexp_replace(p, '[\s\-/().,]', '', 'g')"
     codes = "(values " + ", ".join(f"('{k}', {v})" for k, v in C.COUNTRY_DIGITS.items()) + ")"
@@ -261,6 +285,7 @@ def all_sql() -> dict[str, str]:
         "contact_preview": f"with {_CONTACTS} select ord, case when length(company_name) > 24 then concat(left(company_name, 22), '..') else company_name end as company_name, case when length(all_emails_found) > 24 then concat(left(all_emails_found, 22), '..') else all_emails_found end as all_emails_found from contacts order by ord limit 10",
         "clean_stream": _clean(False),
         "suppress_stream": f"select distinct concat('info@co', cast(user_id % 211 as varchar), '.test') as email from events where concat('info@co', cast(user_id % 211 as varchar), '.test') not in (select lower(recipient_email) from ({D.as_sql(D.LOG)}) t)",
+        "people_extract": f"with {_PEOPLE_PAGES}, {_people()} select site, (row_number() over (partition by site order by score, name, title) - 1)::int as pos, score::int as score, name, title from people",
         "page_plan": _page_plan(16),
         "result_links": _result_links(),
         "place_rows": """select (p_partkey % 1000)::varchar as id, trim(p_name) as name, concat('https://p', cast(p_partkey as varchar), '.test') as website, cast(p_partkey as varchar) as phone from part
