@@ -215,6 +215,29 @@ def _people() -> str:
     people as (select site, {rank} as score, name, trim(title) as title from persons where len(words) <= 3 and not list_has_any(words, [{_list(C.NON_NAME_WORDS)}]) qualify row_number() over (partition by site, lower(name) order by kind, k) = 1)"""
 
 
+def _harvest() -> str:
+    phone = r"regexp_replace(p, '[\s\-/().,]', '', 'g')"
+    codes = "(values " + ", ".join(f"('{k}', {v})" for k, v in C.COUNTRY_DIGITS.items()) + ")"
+    local = "split_part(email, '@', 1)"
+    return rf"""with {_PEOPLE_PAGES}, {_people()},
+    plain as (select site, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '\s*(\[at\]|\(at\))\s*', '@', 'gi'), '\s*(\[dot\]|\(dot\))\s*', '.', 'gi'), '\s+@\s+', '@', 'g'), '\s+\.\s+', '.', 'g') as text from bodies),
+    raw_mails as (select distinct site, lower(unnest(regexp_extract_all(text, '{C.EMAIL}'))) as email from plain),
+    mails as (select site, email, row_number() over (partition by site order by not {_preferred('email')}, email) as nth from raw_mails where not {_spam('email')} and {_target('email')}),
+    said as (select *, case when not lower({local}) in ({_list(C.GENERIC_LOCALS)}) then case when regexp_matches({local}, '^\pL+\.\pL+$') then '{{first}}.{{last}}' when regexp_matches({local}, '^\pL+$') and length({local}) > 2 then '{{first}}' when regexp_matches({local}, '^\pL+_\pL+$') then '{{first}}_{{last}}' end end as pattern from mails where {_domain('email')} = site),
+    patterns as (select site, coalesce(first(pattern order by nth) filter (pattern is not null), '{{first}}.{{last}}') as pattern from said group by 1),
+    lists as (select site, string_agg(email, '; ' order by nth) as emails, coalesce(first(email order by nth) filter (lower({local}) not in ({_list(C.GENERIC_LOCALS)})), first(email order by nth)) as contact_email from mails group by 1),
+    numbers as (select site, unnest(range(len(n))) as pos, unnest(n) as p from (select site, regexp_extract_all(html, '{C.PHONE}') as n from bodies) t),
+    norm as (select site, pos, case when starts_with({phone}, '+') then {phone} when starts_with({phone}, '00') then concat('+', substr({phone}, 3)) when starts_with({phone}, '0') then {phone} end as phone from numbers),
+    longest as (select phone, digits, code, least from (select distinct phone, regexp_replace(phone, '\D', '', 'g') as digits from norm where starts_with(phone, '+')) n join (select * from {codes} v(code, least)) c on starts_with(digits, code) qualify row_number() over (partition by phone order by length(code) desc) = 1),
+    valid as (select phone from longest where length(digits) between 8 and 16 and case when code = '1' then length(digits) - 1 = least else length(digits) - length(code) between least and least + 1 end),
+    phones as (select site, first(phone order by pos) as phone from norm where phone is not null and (not starts_with(phone, '+') or phone in (select phone from valid)) group by 1),
+    best as (select * from people qualify row_number() over (partition by site order by score, name, title) = 1)
+    select b.site, coalesce(l.emails, '') as emails, coalesce(phone, '') as phone_number, coalesce(name, '') as contact_person, coalesce(title, '') as contact_title, coalesce(contact_email, '') as contact_email,
+      case when name is not null then concat(replace(replace(pattern, '{{first}}', lower(split_part(name, ' ', 1))), '{{last}}', lower(split_part(name, ' ', -1))), '@', b.site) end as contact_email_inferred,
+      case when name is null then 'none' else 'website' end as founder_source
+    from bodies b left join lists l using (site) left join phones using (site) left join best using (site) left join patterns using (site)"""
+
+
 def all_sql() -> dict[str, str]:
     phone = r"regexp_replace(p, '[\s\-/().,]', '', 'g')"
     codes = "(values " + ", ".join(f"('{k}', {v})" for k, v in C.COUNTRY_DIGITS.items()) + ")"
@@ -270,8 +293,8 @@ def all_sql() -> dict[str, str]:
         "merge_sources": _merge(),
         "build_candidates": _candidates(12, 6, 8),
         "resolve_region": f"""with places as ({D.as_sql(D.GAZETTEER)}), judged as (select *, osm_type in ({_list(C.POI_TYPES)}) or (north - south < 0.02 and east - west < 0.02) as poi from places),
-            tries as (select j.name as location, 0 as turn, concat(trim(split_part(display_name, ',', 2)), ', ', trim(split_part(display_name, ',', 3))) as candidate from judged j where poi and split_part(display_name, ',', 3) <> ''
-              union all select name, 1, trim(split_part(display_name, ',', -1)) from judged where poi union all select name, 2, name from judged where poi),
+            tries as (select j.name as location, 0 as turn, concat(trim(split_part(display_name, ',', -2)), ', ', trim(split_part(display_name, ',', -1))) as candidate from judged j where poi and split_part(display_name, ',', 2) <> ''
+              union all select name, 1, trim(split_part(display_name, ',', -1)) from judged where poi union all select name, 2, trim(split_part(name, ',', -1)) from judged where poi),
             wider as (select location, w.name, w.south, w.north, w.west, w.east from tries join judged w on w.name = candidate and not w.poi qualify row_number() over (partition by location order by turn, w.name) = 1)
             select j.name as location, coalesce(w.name, j.name) as region, coalesce(w.south, j.south) as south, coalesce(w.north, j.north) as north, coalesce(w.west, j.west) as west, coalesce(w.east, j.east) as east from judged j left join wider w on w.location = j.name""",
         "infer_pattern": f"""with {_CONTACTS}, spread as (select {_HOST.format('website')} as domain, lower(unnest({_cells('all_emails_found')})) as email from contacts),
@@ -284,13 +307,14 @@ def all_sql() -> dict[str, str]:
         "location_slugs": rf"with {_CONTACTS} select trim(regexp_replace(concat(niche, ', ', location), '[\\/:*?\"<>|, ]', '_', 'g'), '_') as slug, count(*) as n from contacts group by 1",
         "contact_preview": f"with {_CONTACTS} select ord, case when length(company_name) > 24 then concat(left(company_name, 22), '..') else company_name end as company_name, case when length(all_emails_found) > 24 then concat(left(all_emails_found, 22), '..') else all_emails_found end as all_emails_found from contacts order by ord limit 10",
         "clean_stream": _clean(False),
-        "suppress_stream": f"select distinct concat('info@co', cast(user_id % 211 as varchar), '.test') as email from events where concat('info@co', cast(user_id % 211 as varchar), '.test') not in (select lower(recipient_email) from ({D.as_sql(D.LOG)}) t)",
+        "suppress_stream": f"select distinct concat('info@co', cast(user_id * 3 as varchar), '.test') as email from events where concat('info@co', cast(user_id * 3 as varchar), '.test') not in (select lower(recipient_email) from ({D.as_sql(D.LOG)}) t)",
         "people_extract": f"with {_PEOPLE_PAGES}, {_people()} select site, (row_number() over (partition by site order by score, name, title) - 1)::int as pos, score::int as score, name, title from people",
+        "harvest_pages": _harvest(),
         "page_plan": _page_plan(16),
         "result_links": _result_links(),
         "place_rows": """select (p_partkey % 1000)::varchar as id, trim(p_name) as name, concat('https://p', cast(p_partkey as varchar), '.test') as website, cast(p_partkey as varchar) as phone from part
             where p_partkey % 9 <> 0 and trim(p_name) <> '' qualify row_number() over (partition by p_partkey % 1000 order by trim(p_name), website, phone) = 1""",
         "run_locations": f"""with {_CONTACTS}, cleaned as ({_clean(False).replace("with " + _CONTACTS + ",", "with")}),
             once as (select c.ord, c.niche, c.location, c.source, c.company_name, d.contact_email from cleaned d join contacts c on c.ord = d.ord qualify row_number() over (partition by lower(trim(c.company_name)), lower(trim(c.website)) order by c.ord) = 1)
-            select niche, location, ord, company_name, contact_email from once where location not in (select location from ({D.as_sql(D.OUTPUTS)}) t) qualify row_number() over (partition by niche, location order by source, ord) <= 20""",
+            select niche, location, ord, company_name, contact_email from once where location not in (select location from ({D.as_sql(D.NATION_OUTPUTS)}) t) qualify row_number() over (partition by niche, location order by source, ord) <= 20""",
     }

@@ -10,33 +10,33 @@ from pyspark.sql import DataFrame, SparkSession
 
 CONTACTS = """
 select c_custkey as ord, n_name as location, c_mktsegment as niche,
-  concat(case when c_custkey % 3 = 0 then 'ACME ' else 'Acme ' end, cast(c_custkey % 211 as string)) as company_name,
-  concat(case when c_custkey % 4 = 0 then 'https://www.CO' else 'https://www.co' end, cast(c_custkey % 211 as string), '.test') as website,
+  concat(case when c_custkey % 3 = 0 then 'ACME ' else 'Acme ' end, cast(cast(floor(c_custkey / 7) as bigint) as string)) as company_name,
+  concat(case when c_custkey % 4 = 0 then 'https://www.CO' else 'https://www.co' end, cast(cast(floor(c_custkey / 7) as bigint) as string), '.test') as website,
   case c_custkey % 4 when 0 then 'OSM' when 1 then 'OSM (fill)' when 2 then 'HERE' else 'DuckDuckGo' end as source,
   case when c_custkey % 2 = 0 then concat('+1415555', cast(1000 + c_custkey % 9000 as string)) else '' end as phone_number,
   case when c_custkey % 3 = 1 then concat('Ann Lee', case when c_custkey % 2 = 0 then 'son' else '' end) else '' end as contact_person,
   case when c_custkey % 3 = 1 then 'CEO' else '' end as contact_title,
-  case c_custkey % 7 when 0 then '' when 1 then concat('Info@co', cast(c_custkey % 211 as string), '.test') when 2 then '0123456789abcdef0123456789abcdef@sentry.test'
-    when 3 then concat('20background@co', cast(c_custkey % 211 as string), '.test') when 4 then concat('ann.lee', cast(c_custkey as string), '@gmail.com') when 5 then 'me@mydomain.com'
-    else concat('a@co', cast(c_custkey % 211 as string), '.test') end as contact_email,
-  concat(case when c_custkey % 2 = 0 then concat('info@co', cast(c_custkey % 211 as string), '.test; ') else '' end,
-    case when c_custkey % 3 = 0 then concat('ann.lee@co', cast(c_custkey % 211 as string), '.test, ANN.LEE@co', cast(c_custkey % 211 as string), '.test;') else '' end,
-    case when c_custkey % 5 = 0 then 'noreply@junk.test; logo@2x.1.2.3' when c_custkey % 5 = 1 then concat(' Jobs@www.co', cast(c_custkey % 211 as string), '.test ') else concat('deadbe@co', cast(c_custkey % 211 as string), '.test') end) as all_emails_found
+  case c_custkey % 7 when 0 then '' when 1 then concat('Info@co', cast(cast(floor(c_custkey / 7) as bigint) as string), '.test') when 2 then '0123456789abcdef0123456789abcdef@sentry.test'
+    when 3 then concat('20background@co', cast(cast(floor(c_custkey / 7) as bigint) as string), '.test') when 4 then concat('ann.lee', cast(c_custkey as string), '@gmail.com') when 5 then 'me@mydomain.com'
+    else concat('a@co', cast(cast(floor(c_custkey / 7) as bigint) as string), '.test') end as contact_email,
+  concat(case when c_custkey % 2 = 0 then concat('info@co', cast(cast(floor(c_custkey / 7) as bigint) as string), '.test; ') else '' end,
+    case when c_custkey % 3 = 0 then concat('ann.lee@co', cast(cast(floor(c_custkey / 7) as bigint) as string), '.test, ANN.LEE@co', cast(cast(floor(c_custkey / 7) as bigint) as string), '.test;') else '' end,
+    case when c_custkey % 5 = 0 then 'noreply@junk.test; logo@2x.1.2.3' when c_custkey % 5 = 1 then concat(' Jobs@www.co', cast(cast(floor(c_custkey / 7) as bigint) as string), '.test ') else concat('deadbe@co', cast(cast(floor(c_custkey / 7) as bigint) as string), '.test') end) as all_emails_found
 from {customer} join {nation} on c_nationkey = n_nationkey
 """
 
 DNS = """
 select domain, rtype, status, type, data from (
-  select concat('co', cast(s_suppkey % 211 as string), '.test') as domain, 15 as rtype,
+  select concat('co', cast(s_suppkey as string), '.test') as domain, case when s_suppkey % 7 < 5 then 15 else 16 end as rtype,
     case when s_suppkey % 11 = 0 then 2 when s_suppkey % 7 = 0 then 3 else 0 end as status,
     case when s_suppkey % 11 = 0 or s_suppkey % 7 = 0 then null when s_suppkey % 13 = 0 then 5 else 15 end as type,
     case when s_suppkey % 11 = 0 or s_suppkey % 7 = 0 then null when s_suppkey % 17 = 0 then '0 .' else concat(cast(10 * (1 + s_suppkey % 3) as string), ' mx', cast(s_suppkey % 5 as string), '.co.test.') end as data
-  from {supplier} where s_suppkey % 211 < 150
+  from {supplier}
   union all
-  select concat('co', cast(s_suppkey % 211 as string), '.test'), 1, case when s_suppkey % 5 = 0 then 3 when s_suppkey % 5 = 1 then 2 else 0 end, case when s_suppkey % 5 < 2 then null else 1 end, case when s_suppkey % 5 < 2 then null else '192.0.2.1' end
+  select concat('co', cast(s_suppkey as string), '.test'), 1, case when s_suppkey % 5 = 0 then 3 when s_suppkey % 5 = 1 then 2 else 0 end, case when s_suppkey % 5 < 2 then null else 1 end, case when s_suppkey % 5 < 2 then null else '192.0.2.1' end
   from {supplier}
   union all
-  select concat('co', cast(s_suppkey % 211 as string), '.test'), 28, case when s_suppkey % 3 = 0 then 0 else 3 end, case when s_suppkey % 3 = 0 then 28 else null end, case when s_suppkey % 3 = 0 then '2001:db8::1' else null end
+  select concat('co', cast(s_suppkey as string), '.test'), 28, case when s_suppkey % 3 = 0 then 0 else 3 end, case when s_suppkey % 3 = 0 then 28 else null end, case when s_suppkey % 3 = 0 then '2001:db8::1' else null end
   from {supplier}
   union all
   select 'gmail.com', 15, 0, 15, '5 gmail-smtp-in.l.google.com.' from {region} where r_regionkey = 0
@@ -44,12 +44,12 @@ select domain, rtype, status, type, data from (
 """
 
 MAILBOX = """
-select concat('info@co', cast(s_suppkey % 211 as string), '.test') as email, s_suppkey % 2 = 0 as accepted from {supplier} where s_suppkey % 3 > 0 and s_suppkey < 211
+select concat('info@co', cast(s_suppkey as string), '.test') as email, case when s_suppkey % 3 > 0 then s_suppkey % 2 = 0 end as accepted from {supplier}
 """
 
 LOG = """
-select distinct concat(case when o_custkey % 2 = 0 then 'INFO@co' else 'info@co' end, cast(o_custkey % 211 as string), '.test') as recipient_email
-from {orders} where o_totalprice > 250000 and o_custkey % 211 < 60
+select distinct concat(case when o_custkey % 2 = 0 then 'INFO@co' else 'info@co' end, cast(cast(floor(o_custkey / 7) as bigint) as string), '.test') as recipient_email
+from {orders} where o_totalprice > 400000
 """
 
 ELEMENTS = """
@@ -75,22 +75,27 @@ HITS = {
   case p_partkey % 4 when 0 then 'it' when 1 then 'bakery' when 2 then 'data, cloud' else 'fitness gym' end as niche, concat('city', cast(cast(floor(p_partkey / 80) as bigint) as string)) as location from {part}""",
 }
 
-CITIES = "select n_nationkey as ord, n_name as city from {nation}"
-OUTPUTS = "select distinct n_name as location from {supplier} join {nation} on s_nationkey = n_nationkey where s_acctbal < -900"
+CITIES = "select c_custkey as ord, concat('City ', cast(c_custkey as string)) as city from {customer}"
+OUTPUTS = "select distinct concat('City ', cast(o_custkey as string)) as location from {orders} where o_totalprice > 400000"
+#: The locations of the contacts.
+NATION_CITIES = "select n_nationkey as ord, n_name as city from {nation}"
+NATION_OUTPUTS = "select distinct n_name as location from {supplier} join {nation} on s_nationkey = n_nationkey where s_acctbal < -900"
 
 GAZETTEER = """
-select n_name as name, concat(n_name, ' Hotel, ', n_name, ', ', r_name) as display_name, case when n_nationkey % 4 = 0 then 'hotel' else 'city' end as osm_type,
-  cast(n_nationkey as double) as south, cast(n_nationkey as double) + case when n_nationkey % 3 = 0 then 0.01 else 1.0 end as north,
-  cast(n_nationkey as double) as west, cast(n_nationkey as double) + case when n_nationkey % 3 = 0 then 0.01 else 1.0 end as east
-from {nation} join {region} on n_regionkey = r_regionkey
+select concat('Place ', cast(c_custkey as string)) as name, concat('Place ', cast(c_custkey as string), ' Hotel, ', n_name, ', ', r_name) as display_name, case when c_custkey % 4 = 0 then 'hotel' else 'city' end as osm_type,
+  cast(n_nationkey as double) as south, cast(n_nationkey as double) + case when c_custkey % 3 = 0 then 0.01 else 1.0 end as north,
+  cast(n_nationkey as double) as west, cast(n_nationkey as double) + case when c_custkey % 3 = 0 then 0.01 else 1.0 end as east
+from {customer} join {nation} on c_nationkey = n_nationkey join {region} on n_regionkey = r_regionkey
+union all
+select concat(n_name, ', ', r_name), concat(n_name, ', ', r_name), case when n_nationkey % 2 = 0 then 'hotel' else 'state' end, 1.0, 5.0, cast(n_nationkey as double), cast(n_nationkey as double) + 4.0 from {nation} join {region} on n_regionkey = r_regionkey
 union all
 select r_name, concat(r_name, ', World'), 'region', -10.0, 10.0, cast(r_regionkey as double), cast(r_regionkey as double) + 30.0 from {region}
 """
 
 NAMES = {
-    "a": "select concat('a', cast(s_suppkey as string)) as id, concat('Firm ', cast(s_suppkey % 600 as string)) as name, concat('https://www.f', cast(s_suppkey % 600 as string), '.test') as website, 'OSM' as source from {supplier}",
-    "b": "select concat('b', cast(c_custkey as string)) as id, concat('Shop ', cast(c_custkey % 700 as string), case when c_custkey % 5 = 0 then concat(' firm ', cast(c_custkey % 900 as string)) else '' end) as name, concat('https://b', cast(c_custkey % 700 as string), '.test') as website, 'HERE' as source from {customer} where c_custkey % 4 = 0",
-    "c": "select concat('c', cast(p_partkey as string)) as id, concat(substring(p_name, 1, 14), ' ', cast(p_partkey % 300 as string)) as name, concat('https://', case when p_partkey % 3 = 0 then 'f' else 'w' end, cast(p_partkey % 1000 as string), '.test') as website, 'Google' as source from {part} where p_partkey % 3 < 2",
+    "a": "select concat('a', cast(s_suppkey as string)) as id, concat('Firm ', cast(s_suppkey as string), ' Ltd') as name, concat('https://www.f', cast(s_suppkey as string), '.test') as website, 'OSM' as source from {supplier}",
+    "b": "select concat('b', cast(c_custkey as string)) as id, concat('Shop ', cast(c_custkey as string), case when c_custkey % 5 = 0 then concat(' firm ', cast(cast(floor(c_custkey / 15) as bigint) as string), ' ltd') else '' end) as name, concat('https://b', cast(c_custkey as string), '.test') as website, 'HERE' as source from {customer}",
+    "c": "select concat('c', cast(p_partkey as string)) as id, case when p_partkey % 2 = 0 then p_name else concat(p_name, ' ', cast(p_partkey as string)) end as name, concat('https://', case when p_partkey % 3 = 0 then 'f' else 'w' end, cast(cast(floor(p_partkey / 3) as bigint) as string), '.test') as website, 'Google' as source from {part}",
 }
 
 _TABLES = ("customer", "nation", "region", "supplier", "part", "orders")

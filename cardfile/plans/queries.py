@@ -235,7 +235,7 @@ def place_rows(spark, sf_dir):
 
 def run_locations(spark, sf_dir):
     """Planned locations joined with cleaned, deduplicated and limited contacts."""
-    cities = selection.plan_locations(D.on_spark(spark, sf_dir, D.CITIES), D.on_spark(spark, sf_dir, D.OUTPUTS))
+    cities = selection.plan_locations(D.on_spark(spark, sf_dir, D.NATION_CITIES), D.on_spark(spark, sf_dir, D.NATION_OUTPUTS))
     rows = dedup.dedup_companies(clean.clean_contacts(_contacts(spark, sf_dir)), ["ord"])
     return dedup.limit_per_group(rows.join(cities.select(F.col("city").alias("location")), "location"), ["niche", "location"], 20, ["source", "ord"]).select("niche", "location", "ord", "company_name", "contact_email")
 
@@ -263,7 +263,7 @@ def clean_stream(spark, sf_dir):
 def suppress_stream(spark, sf_dir):
     """Events as a stream of addresses, without those in the log and without repeats."""
     at = new_path(spark, "suppress")
-    events = D.table(spark, sf_dir, "events").select("ts", F.concat(F.lit("info@co"), (F.col("user_id") % 211).cast("string"), F.lit(".test")).alias("email"))
+    events = D.table(spark, sf_dir, "events").select("ts", F.concat(F.lit("info@co"), (F.col("user_id") * 3).cast("string"), F.lit(".test")).alias("email"))
     events.write.parquet(f"{at}/in")
     stream = streams.contact_stream(spark, f"{at}/in", "ts timestamp, email string")
     fresh = streams.suppress_repeats_stream(stream, D.on_spark(spark, sf_dir, D.LOG), delay="3650 days")
