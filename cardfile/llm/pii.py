@@ -41,10 +41,12 @@ TELLS = 2.0
 PRIOR = 1.0
 #: Terms so many places before and after a value are near it.
 REACH = 10
-#: At most so many candidate terms are broadcast for the corpus counts; more are joined by a shuffle.
-BROADCAST_TERMS = 1 << 18
+#: At most so many candidate terms' hashes (8 MB) are broadcast for the corpus counts; more are joined by a shuffle.
+BROADCAST_TERMS = 1 << 20
+#: Of Spark's xxhash64.
+HASH_SEED = 42
 #: Terms and texts that a task holds at once while it counts.
-HELD = 1 << 18
+HELD = 1 << 17
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -196,14 +198,19 @@ def found_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pairs = cut(met.where("term is not null").groupBy("entity", "term").agg(F.count("*").alias("n_both")), "pairs")
 
     def broadcast(terms: DataFrame):
-        """The terms as a broadcast set; None if there are too many."""
-        found = [t.encode() for (t,) in terms.limit(broadcast_terms + 1).collect()]
-        return spark.sparkContext.broadcast(frozenset(found)) if len(found) <= broadcast_terms else None
-
-    def terms_in(known) -> Callable[[str | None], set[bytes]]:
-        def found(text: str | None) -> set[bytes]:
-            own = set((text or "").encode("utf-8", "replace").translate(_FOLD).split())
-            return own if known is None else own & known.value
+        """The hashes of the terms in order, 8 bytes each, as a broadcast; None if there are too many."""
+        found = terms.select(F.xxhash64("term").alias("hash")).distinct().limit(broadcast_terms + 1).toArrow()["hash"].to_numpy()
+        return spark.sparkContext.broadcast(np.sort(found)) if len(found) <= broadcast_terms else None
+
+    def terms_in(known) -> Callable[[str | None], list[bytes]]:
+        def found(text: str | None) -> list[bytes]:
+            own = list(set((text or "").encode("utf-8", "replace").translate(_FOLD).split()))
+            if known is None or not own:
+                return own
+            hashes = np.fromiter((xxhash.xxh64_intdigest(t, HASH_SEED) for t in own), np.uint64, len(own)).view(np.int64)
+            at = np.searchsorted(known.value, hashes)
+            at[at == len(known.value)] = 0
+            return [own[i] for i in np.flatnonzero(known.value[at] == hashes)] if len(known.value) else []
 
         return found
 
