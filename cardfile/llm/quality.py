@@ -65,8 +65,8 @@ def statistics(text: bytes | None) -> list[float]:
     ]
 
 
-def with_statistics(docs: DataFrame, text_col: str = "text", into: str = "stats") -> DataFrame:
-    """docs with a struct of the statistics of the whole text."""
+def measured_text(text: Column) -> Column:
+    """A struct of the statistics of the whole text."""
 
     @F.pandas_udf(", ".join(f"{s} double" for s in STATISTICS))
     def measured(texts: pd.Series) -> pd.DataFrame:
@@ -74,7 +74,7 @@ def with_statistics(docs: DataFrame, text_col: str = "text", into: str = "stats"
         give_back()
         return found
 
-    return text_batches(docs).withColumn(into, measured(F.col(text_col).cast("binary")))
+    return measured(text.cast("binary"))
 
 
 @dataclass(frozen=True)
@@ -145,7 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """
     chosen = sample_ids(labels, id_col, label_col, sample)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
-    rows = with_statistics(rows, "_text").select("_id", "label", "stats")
+    rows = text_batches(rows).select("_id", "label", measured_text(F.col("_text")).alias("stats"))
     # dealt and sorted by id, so that the fit is the same in every run
     rows = cut(rows.repartition(4, F.xxhash64("_id")).sortWithinPartitions("_id", "stats").drop("_id").withColumn("features", array_to_vector(F.array(*[f"stats.{s}" for s in STATISTICS]))), "sample")
     n, ones = rows.agg(F.count("*"), F.sum("label")).first()
@@ -171,7 +171,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", into: str = "sc
 
     A column named like the score is replaced, others are kept whatever their names.
     """
-    own = with_statistics(docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text")), "text", "stats")
+    own = text_batches(docs).select(F.struct("*").alias("row"), measured_text(F.col(text_col)).alias("stats"))
     return own.select(*[F.col(f"row.`{c}`") for c in docs.columns if c != into], model.score("stats").alias(into))
 
 
@@ -187,5 +187,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     each; ids are only used to learn. An empty table gives an empty table.
     """
     model = fit(docs, labels.where(~held_out(id_col)), id_col, text_col, **settings)
-    own = docs.select(F.struct("*").alias("_row"), F.col(text_col).alias("_text"))
-    return score(own, model, "_text", "_score").where(F.col("_score") >= threshold).select("_row.*")
+    own = text_batches(docs).select(F.struct("*").alias("row"), measured_text(F.col(text_col)).alias("stats"))
+    return own.where(model.score("stats") >= threshold).select("row.*")
