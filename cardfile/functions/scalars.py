@@ -307,10 +307,11 @@ def title_rank(c: Column | str) -> Column:
     return reduce(lambda chain, t: chain.when(c.rlike(f"(?U){t[1]}"), t[0]), others, F.when(c.rlike(f"(?U){pattern}"), rank)).otherwise(999)
 
 
-def is_person_name(c: Column | str) -> Column:
+def is_person_name(c: Column | str, non_names: Sequence[str] = C.NON_NAMES, non_words: Sequence[str] = C.NON_NAME_WORDS) -> Column:
+    """One to three words, none of them a heading's; non_names are whole names that count as none, some given names among the defaults."""
     c = F.lower(trimmed(c))
     words = F.split(c, r"(?U)\s+")
-    return ~c.isin(*C.NON_NAMES) & F.size(words).between(1, 3) & ~F.arrays_overlap(words, _literals(C.NON_NAME_WORDS))
+    return ~c.isin(*non_names) & F.size(words).between(1, 3) & ~F.arrays_overlap(words, _literals(non_words))
 
 
 def extract_people(c: Column | str, reach: int = 60, whole_word: bool = False) -> Column:

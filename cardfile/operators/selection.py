@@ -9,18 +9,18 @@ from cardfile.functions import scalars as S
 from cardfile.operators.clean import best_contact_email
 from cardfile.sources.tables import processed_emails
 
-#: Ranges of the order within which rows are counted, so that no sort is global.
-RANGES = 256
+#: Ranges of the order within which rows are counted, so that no sort is global; about as many rows in each.
+RANGES = 128
 
 
 def numbered(df: DataFrame, order: str, into: str = "nth") -> DataFrame:
     """df with each row's place, from 0, by a numeric column that tells rows apart.
 
-    Rows are counted per range of the order; a range's start is the sum of the
-    counts before it.
+    Rows are counted per range of the order, between quantiles of it; a range's
+    start is the sum of the counts before it.
     """
-    bounds = df.agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
-    part = F.coalesce(F.floor((F.col(order) - F.col("_lo")) * RANGES / (F.col("_hi") - F.col("_lo") + 1)), F.lit(0)).alias("_part")
+    bounds = df.agg(F.percentile_approx(order, [i / RANGES for i in range(1, RANGES)], 10_000).alias("_bounds"))
+    part = F.coalesce(F.size(F.filter("_bounds", lambda b: b <= F.col(order))), F.lit(0)).alias("_part")
     dealt = df.join(F.broadcast(bounds)).select(*df.columns, part)
     counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

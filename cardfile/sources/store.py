@@ -1,7 +1,8 @@
 """Tables and files in the folder that driver and executors share.
 
 `spark.checkpoint.dir` names that folder on a cluster. It is read from the
-session; only where it is unset (tests, a laptop) a temporary one is made.
+session; only where it is unset on a local master (tests, a laptop) a temporary
+one is made.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _FALLBACK:
         _FALLBACK[app] = "file://" + tempfile.mkdtemp(prefix="cardfile-")

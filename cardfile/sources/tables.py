@@ -35,8 +35,8 @@ def read_contacts(spark: SparkSession, folder: str) -> DataFrame:
     """All contact files of a folder: file, ord, and the columns of every layout.
 
     Files are read per distinct header, so that columns are never matched by
-    position; a layout without any address column is left out. Empty values are
-    '', values are trimmed. The headers (a few layouts) and their paths are
+    position; a layout without any address column is left out. ord tells all
+    rows apart and follows their order within a file. Empty values are '', values are trimmed. The headers (a few layouts) and their paths are
     what reaches the driver.
     """
     layouts = list_contact_files(spark, folder).groupBy("header").agg(F.collect_list("path").alias("paths")).orderBy("header").collect()
@@ -46,11 +46,11 @@ def read_contacts(spark: SparkSession, folder: str) -> DataFrame:
         if not has_email_columns(rows.columns):
             continue
         values = [clean_value(F.col(f"`{c}`")).alias(c.strip()) for c in rows.columns]
-        frames.append(rows.select(F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("ord"), *values))
+        frames.append(rows.select(F.col("_metadata.file_name").alias("file"), *values))
     if not frames:
         return spark.createDataFrame([], "file string, ord long, `Contact Email` string")
     every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-    return every.na.fill("")
+    return every.na.fill("").select("file", F.monotonically_increasing_id().alias("ord"), *every.columns[1:])
 
 
 def _first_of(df: DataFrame, names: tuple[str, ...], default: str) -> Column:
