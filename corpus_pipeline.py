@@ -19,28 +19,43 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject; it learns from the labels outside the held-out fifth."""
+    """Documents that the quality classifier does not reject; it learns from the labels outside the held-out fifth.
+
+    Null, empty and very long texts are scored like any, repeated rows each; no rows give none.
+    """
     return quality.keep_good(docs, _table(spark, sf_dir, "labels"))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id."""
+    """Of each group of near-duplicates the document with the smallest id.
+
+    Texts without words are one group; rows with a null id stay; of rows that repeat the smallest id all stay.
+    """
     return simhash.keep_one(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth occurs in benchmark items."""
+    """Documents of which less than a twentieth occurs in benchmark items.
+
+    Null and empty texts stay; repeated rows are judged each; without items all stay.
+    """
     return decontaminate.keep_clean(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data and the terms that reveal it replaced; n_chars follows the text."""
+    """All documents, personal data and the terms that reveal it replaced; n_chars follows the text.
+
+    Null texts stay null with their n_chars; repeated rows are rewritten alike; no rows give none.
+    """
     own = pii.sanitise(docs)
     return own.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast("long"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in windows of 256 to 2048 tokens, with their ids."""
+    """Pieces of the documents in windows of 256 to 2048 tokens, with their ids.
+
+    A null text is packed as an empty one; very long texts are cut into windows; repeated rows are packed each.
+    """
     return pack.packed(docs)
 
 
@@ -52,7 +67,7 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: SQL can express neither the classifier nor the fingerprints nor the tokenizer; tests hold the stages against brute force.
+#: SQL can express neither the classifier nor the fingerprints nor the tokenizer; tests/llm/test_pipeline.py holds each stage against its own input.
 ORACLE_SQL = None
 
 
