@@ -98,9 +98,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     def counted(texts: pd.Series) -> pd.Series:
         return pd.Series([len(words(t)) for t in texts], dtype="int64")
 
-    bench = cut(bench.withColumn("item_words", counted("item_text")).where("item_words > 0").withColumn("hashes", hashed("item_text")), "benchmark")
+    # items go by number until their texts are needed
+    bench = cut(bench.withColumn("item_words", counted("item_text")).where("item_words > 0").withColumn("hashes", hashed("item_text")).withColumn("nth", F.monotonically_increasing_id()), "benchmark")
     short = sorted(r[0] for r in bench.where(F.col("item_words") < span).select("item_words").distinct().collect())
-    wanted = bench.select(F.explode("hashes").alias("h"), "item", "item_text")
+    wanted = bench.select(F.explode("hashes").alias("h"), "nth")
     few = wanted.select("h").distinct().limit(broadcast_hashes + 1)
     known = None
     if few.count() <= broadcast_hashes:
@@ -128,13 +129,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     rows = text_batches(docs).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("binary").alias("text"))
     schema = "row long, id string, n_words long, met array<long>, text binary"
     seen = cut(rows.mapInPandas(find, schema), "met")
-    pairs = seen.where(F.size("met") > 0).select("row", F.explode("met").alias("h")).join(wanted.select("h", "item", "item_text"), "h").groupBy("row", "item", "item_text").agg(F.count("*").alias("n"))
+    pairs = seen.where(F.size("met") > 0).select("row", F.explode("met").alias("h")).join(wanted, "h").select("row", "nth").distinct()
 
     @F.pandas_udf("array<long>")
     def extended(documents: pd.Series, items: pd.Series) -> pd.Series:
         return pd.Series([shared_spans(words(d), words(i), span) for d, i in zip(documents, items)])
 
-    hits = pairs.join(seen.where("text is not null").select("row", "text"), "row").select("row", "item", extended("text", "item_text").alias("runs")).where(F.size("runs") > 0)
+    both = pairs.join(seen.where("text is not null").select("row", "text"), "row").join(bench.select("nth", "item", "item_text"), "nth")
+    hits = both.select("row", "item", extended("text", "item_text").alias("runs")).where(F.size("runs") > 0)
     runs = hits.select("row", "item", F.explode(F.sequence(F.lit(0), F.size("runs") - 2, F.lit(2))).alias("i"), "runs").select("row", "item", F.get("runs", F.col("i")).alias("start"), F.get("runs", F.col("i") + 1).alias("end"))
     before = Window.partitionBy("row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     new = runs.withColumn("upto", F.coalesce(F.max("end").over(before), F.lit(0)))
