@@ -244,7 +244,7 @@ def run_all_locations(spark, sf_dir):
     """Contact rows of every location of the elements that has no output yet, from candidates and saved pages."""
     elements = _elements(spark, sf_dir)
     cities = elements.groupBy(F.col("location").alias("city")).agg(F.min("ord").alias("ord")).select("ord", "city")
-    outputs = D.on_spark(spark, sf_dir, "select distinct concat('city', cast(s_suppkey * 7 as string)) as location from {supplier}")
+    outputs = D.on_spark(spark, sf_dir, "select distinct concat('city', cast(s_suppkey * 7 + 3 as string)) as location from {supplier}")
     pages = _people_pages(spark, sf_dir).withColumns({"page_ord": F.regexp_extract("site", r"(\d+)", 1).cast("long"), "site": F.regexp_replace("site", "^site", "p")})
     founders = D.on_spark(spark, sf_dir, "select p_name as company_name, concat('Mia ', case when p_partkey % 2 = 0 then 'Stone' else 'Field' end) as person, 'Founder' as title from {part}")
     others = [D.on_spark(spark, sf_dir, text) for text in D.HITS.values()]
