@@ -233,11 +233,25 @@ def _harvest() -> str:
     phones as (select site, first(phone order by pos) as phone from norm where phone is not null and (not starts_with(phone, '+') or phone in (select phone from valid)) group by 1),
     best as (select * from people qualify row_number() over (partition by site order by score, name, title) = 1)
     select b.site, coalesce(l.emails, '') as emails, coalesce(phone, '') as phone_number, coalesce(name, '') as contact_person, coalesce(title, '') as contact_title, coalesce(contact_email, '') as contact_email,
-      case when name is not null then concat(replace(replace(pattern, '{{first}}', lower(split_part(name, ' ', 1))), '{{last}}', lower(split_part(name, ' ', -1))), '@', b.site) end as contact_email_inferred,
+      case when name is not null then replace(replace(pattern, '{{first}}', lower(split_part(name, ' ', 1))), '{{last}}', lower(split_part(name, ' ', -1))) || '@' || b.site end as contact_email_inferred,
       case when name is null then 'none' else 'website' end as founder_source
     from bodies b left join lists l using (site) left join phones using (site) left join best using (site) left join patterns using (site)"""
 
 
+def _all_locations() -> str:
+    sites = _harvest().replace("concat('site', cast(page_id as varchar), '.test') as site", "concat('p', cast(page_id as varchar), '.test') as site")
+    searched = "h.contact_person = '' and f.person is not null"
+    return f"""with founders as (select lower(trim(p_name)) as name, min(case when p_partkey % 2 = 0 then 'Mia Stone' else 'Mia Field' end) as person from part group by 1),
+    found as (select c.niche, c.location, c.id, c.priority, c.name as company_name, c.website, c.source, h.phone_number, case when {searched} then f.person else h.contact_person end as contact_person,
+      case when {searched} then 'Founder' else h.contact_title end as contact_title, h.contact_email, case when {searched} then 'search' else h.founder_source end as founder_source, h.emails as all_emails_found,
+      case when {searched} then lower(replace(f.person, ' ', '.')) || '@' || h.site else h.contact_email_inferred end as contact_email_inferred
+      from ({_candidates(12, 6, 8)}) c join ({sites}) h on h.site = {_HOST.format('c.website')} left join founders f on f.name = c.name
+      where h.emails <> '' and c.location not in (select concat('city', cast(s_suppkey * 7 + 3 as varchar)) from supplier)),
+    once as (select * from found qualify row_number() over (partition by niche, location, lower(trim(company_name)), lower(trim(website)) order by priority, id) = 1)
+    select niche, location, company_name, website, source, phone_number, contact_person, contact_title, contact_email, founder_source, all_emails_found, contact_email_inferred from once
+    qualify row_number() over (partition by niche, location order by priority, id) <= 20"""
+
+
 def all_sql() -> dict[str, str]:
     phone = r"regexp_replace(p, '[\s\-/().,]', '', 'g')"
     codes = "(values " + ", ".join(f"('{k}', {v})" for k, v in C.COUNTRY_DIGITS.items()) + ")"
@@ -314,6 +328,7 @@ def all_sql() -> dict[str, str]:
         "result_links": _result_links(),
         "place_rows": """select (p_partkey % 1000)::varchar as id, trim(p_name) as name, concat('https://p', cast(p_partkey as varchar), '.test') as website, cast(p_partkey as varchar) as phone from part
             where p_partkey % 9 <> 0 and trim(p_name) <> '' qualify row_number() over (partition by p_partkey % 1000 order by trim(p_name), website, phone) = 1""",
+        "run_all_locations": _all_locations(),
         "run_locations": f"""with {_CONTACTS}, cleaned as ({_clean(False).replace("with " + _CONTACTS + ",", "with")}),
             once as (select c.ord, c.niche, c.location, c.source, c.company_name, d.contact_email from cleaned d join contacts c on c.ord = d.ord qualify row_number() over (partition by lower(trim(c.company_name)), lower(trim(c.website)) order by c.ord) = 1)
             select niche, location, ord, company_name, contact_email from once where location not in (select location from ({D.as_sql(D.NATION_OUTPUTS)}) t) qualify row_number() over (partition by niche, location order by source, ord) <= 20""",
