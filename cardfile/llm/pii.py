@@ -214,6 +214,8 @@ def found_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         return found
 
+    spared = (1 + prior) * 2.0**generalise - prior
+
     def at_least(known) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
         def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             sums: Counter[bytes] = Counter()
@@ -225,11 +227,10 @@ def found_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                         counted.add(p)
                         sums.update(found(text))
                 if max(len(sums), len(counted)) > HELD:
-                    yield pd.DataFrame({"term": [t.decode() for t in sums], "n": list(sums.values())})
+                    yield pd.DataFrame([(t.decode(), n) for t, n in sums.items() if n > spared], columns=["term", "n"])
                     sums.clear()
                     counted.clear()
-            if sums:
-                yield pd.DataFrame({"term": [t.decode() for t in sums], "n": list(sums.values())})
+            yield pd.DataFrame([(t.decode(), n) for t, n in sums.items() if n > spared], columns=["term", "n"])
             give_back()
 
         return count
@@ -245,10 +246,10 @@ def found_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return list_terms
 
     # What a single task has counted is a lower bound of a term's texts, which already rules common terms out;
-    # only the rest are counted exactly, over distinct texts.
+    # only the rest are counted exactly, over distinct texts. No term is ruled out by `spared` texts or fewer.
     most = pairs.groupBy("term").agg(F.max("n_both").alias("most"))
     low = rows.select("text").mapInPandas(at_least(broadcast(most.select("term"))), "term string, n long").groupBy("term").agg(F.max("n").alias("low"))
-    rare = cut(most.join(low, "term").where(F.col("low") + prior <= (F.col("most") + prior) * F.pow(F.lit(2.0), F.lit(generalise))).select("term"), "rare")
+    rare = cut(most.join(low, "term", "left").where(F.coalesce("low", F.lit(1)) + prior <= (F.col("most") + prior) * F.pow(F.lit(2.0), F.lit(generalise))).select("term"), "rare")
     listed_terms = rows.select("text").mapInPandas(holders(broadcast(rare)), "print long, terms array<string>").dropDuplicates(["print"])
     corpus = listed_terms.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
     share = F.col("n_entity") / F.lit(float(max(total, 1)))
