@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardfile.llm import decontaminate, images, langid, pack, paragraphs, pii, quality, records, shards, simhash, sketch, sql
+from cardfile.llm import align, decontaminate, images, langid, pack, paragraphs, pii, quality, records, shards, simhash, sketch, sql
 from cardfile.sources.store import new_path
 
 SHARDS = 24
@@ -92,6 +92,11 @@ def op10_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.repeated_paragraphs(_table(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How two tokenizers' tokens of every document line up, and how common the linked pairs of ids are."""
+    return align.aligned(_table(spark, sf_dir, "documents"))
+
+
 def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sketch of every document and of its edited text, and how alike it, that and the next document are."""
     found = sketch.compared_with_next(_table(spark, sf_dir, "documents"))
@@ -101,7 +106,7 @@ def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_image_copies, op3_pii, op4_records, op5_hilbert_shards, op6_packing, op7_language, op8_decontaminate, op9_quality, op10_paragraphs, op12_fingerprints)}
+    return {f.__name__: f for f in (op1_simhash, op2_image_copies, op3_pii, op4_records, op5_hilbert_shards, op6_packing, op7_language, op8_decontaminate, op9_quality, op10_paragraphs, op11_alignment, op12_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
