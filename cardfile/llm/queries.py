@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardfile.llm import align, decontaminate, images, langid, pack, paragraphs, pii, quality, records, shards, simhash, sketch, sql
+from cardfile.llm import align, decontaminate, images, langid, pack, paragraphs, pii, quality, records, shards, simhash, sketch, sql, trie
 from cardfile.sources.store import new_path
 
 SHARDS = 24
@@ -105,11 +105,17 @@ def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of conversations that begin like others."""
+    turns = trie.ordered_turns(_table(spark, sf_dir, "conversations"))
+    return trie.prefix_trie(trie.with_common_starts(turns))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_image_copies, op3_pii, op4_records, op5_hilbert_shards, op6_packing, op7_language, op8_decontaminate, op9_quality, op10_paragraphs, op11_alignment, op12_fingerprints)}
+    return {f.__name__: f for f in (op1_simhash, op2_image_copies, op3_pii, op4_records, op5_hilbert_shards, op6_packing, op7_language, op8_decontaminate, op9_quality, op10_paragraphs, op11_alignment, op12_fingerprints, op13_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
     """The others need hashes, tokenizers or fitted models that SQL has not; tests hold them against brute force."""
     p = paragraphs
-    return {"op8_decontaminate": sql.decontaminate(decontaminate.SPAN), "op10_paragraphs": sql.repeated_paragraphs(p.MIN_WORDS, p.SPAN_WORDS, p.SHINGLE_WORDS, p.SIMILARITY, p.WINDOW, p.PRIME, p.CHARACTER_WEIGHTS, p.WORD_WEIGHTS)}
+    return {"op13_prefix_trie": sql.prefix_trie(), "op8_decontaminate": sql.decontaminate(decontaminate.SPAN), "op10_paragraphs": sql.repeated_paragraphs(p.MIN_WORDS, p.SPAN_WORDS, p.SHINGLE_WORDS, p.SIMILARITY, p.WINDOW, p.PRIME, p.CHARACTER_WEIGHTS, p.WORD_WEIGHTS)}

@@ -34,7 +34,7 @@ def sketch(text: str | None, fraction: float = FRACTION, shingle_words: int = SH
     fraction the least is kept alone, so only texts without words have none.
     """
     words = (text or "").encode().lower().split()
-    hashes = grams_of(word_hashes(words), min(shingle_words, len(words)))
+    hashes = grams_of(word_hashes(words), max(1, min(shingle_words, len(words))))
     return kept(hashes, fraction)
 
 
@@ -96,14 +96,12 @@ def sketch_rows(docs: DataFrame, id_col: str, text_col: str = "text", **settings
     def hashes(texts: pd.Series) -> pd.Series:
         return pd.Series([sketch(t, **settings).view(np.int64) for t in texts])
 
-    rows = text_batches(docs).select(F.col(id_col), F.explode(hashes(text_col)).alias("hash")).distinct()
-    # hashes are unsigned: the kept ones are non-negative longs at fractions up to a half
-    bound = min(int(fraction * 2**64), 2**64 - 1)
-    order = F.col("hash").bitwiseXOR(F.lit(-(2**63)))
-    low = order < F.lit(bound - 2**63)
-    least = rows.groupBy(id_col).agg(F.min(order).alias("_least"))
-    both = rows.join(least, rows[id_col].eqNullSafe(least[id_col])).select(rows[id_col], "hash", low.alias("_low"), (order == F.col("_least")).alias("_first"), (F.col("_least") < F.lit(bound - 2**63)).alias("_some"))
-    return both.where(F.col("_low") | (~F.col("_some") & F.col("_first"))).select(id_col, "hash")
+    rows = text_batches(docs).select(F.col(id_col).alias("id"), F.explode(hashes(text_col)).alias("hash")).distinct()
+    # hashes are unsigned: with the sign bit turned they are in order as longs
+    order, bound = F.col("hash").bitwiseXOR(F.lit(-(2**63))), F.lit(min(int(fraction * 2**64), 2**64 - 1) - 2**63)
+    least = rows.groupBy(F.col("id").alias("of")).agg(F.min(order).alias("least"))
+    both = rows.join(least, F.col("id").eqNullSafe(F.col("of"))).where((order < bound) | ((F.col("least") >= bound) & (order == F.col("least"))))
+    return both.select(F.col("id").alias(id_col), "hash")
 
 
 _SCHEMA = "part int, head boolean, id string, n_chars long, edited_sha256 binary, sketch binary, edited_sketch binary, near_edited double, near_next double, text string"

@@ -47,3 +47,29 @@ def repeated_paragraphs(min_words: int, span_words: int, shingle_words: int, sim
     spans as (select *, sum(n_words) over one as span, min(start) over one as span_start, max("end") over one as span_end from repeated window one as (partition by doc_id, island))
     select p.doc_id, p.paragraph::bigint as paragraph, p.start, p."end", p.n_words, p.span_start, p.span_end, f.doc_id as class_id, f.paragraph::bigint as class_paragraph, p.class_size::bigint as class_size, p.k <> p.c as removed
     from spans p join paras f on f.k = p.c where p.span >= {span_words}"""
+
+
+def prefix_trie(every: int = 20, most: int = 4) -> str:
+    """Every prefix of every rebuilt conversation as text; nodes by grouping, subtrees by what their members' prefixes share."""
+    return rf"""with recursive digits as (select c, cast(c as varchar) as s from (select distinct conv_id as c from conversations where conv_id is not null) t),
+    bits(c, s, i, j, x) as (select c, s, 1, 0, xor(4294967295::bigint, ascii(s[1])) from digits
+      union all select c, s, case when j = 7 then i + 1 else i end, case when j = 7 then 0 else j + 1 end,
+        xor(case when x % 2 = 1 then xor(x // 2, 3988292384::bigint) else x // 2 end, case when j = 7 and i < length(s) then ascii(s[i + 1]) else 0 end) from bits where i <= length(s)),
+    heads as (select c, xor(x, 4294967295::bigint) % {most} as h from bits where i > length(s)),
+    turns as (select conv_id as c, coalesce(role, '') as role, coalesce(text, '') as text, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), md5(coalesce(text, ''))) as pos
+      from conversations where conv_id is not null),
+    sizes as (select c, count(*) as n from turns group by c),
+    starts as (select h.c, h, h.c - h.c % {every} as other, least(h, coalesce(n, 0)) as taken from heads h left join sizes s on s.c = h.c - h.c % {every}),
+    rebuilt as (select t.c, pos - h + taken as d, role, text from turns t join starts s on s.c = t.c where pos > h
+      union all select s.c, pos, role, text from starts s join turns t on t.c = s.other where pos <= h),
+    hashed as (select c, d, md5(length(role) || ':' || role || text) as x, length(regexp_extract_all(text, '[^ 	-]+')) as w from rebuilt),
+    prefixes as (select c, d, w, string_agg(x, '') over (partition by c order by d) as k from hashed union all select c, 0, 0, '' from heads),
+    ends as (select c, max(d) as size from prefixes group by c),
+    nodes as (select k, min(c) as conv_id, d as depth, count(*) as n_convs, any_value(w) as w, (count(*) - 1) * any_value(w) as saved from prefixes group by k, d),
+    ended as (select k, string_agg(cast(p.c as varchar), ',' order by p.c) as ids from prefixes p join ends e on e.c = p.c and e.size = p.d group by k),
+    family as (select n.*, left(k, greatest(length(k) - 32, 0)) as above from nodes n),
+    children as (select above as k, count(*) as n from family where depth > 0 group by 1),
+    sums as (select p.k, sum(f.saved) as saved, sum(case when ch.n is null then 1 else 0 end) as leaves
+      from family f left join children ch on ch.k = f.k join prefixes p on p.c = f.conv_id and p.d <= f.depth group by p.k)
+    select f.conv_id, f.depth::bigint as depth, u.conv_id as parent_conv_id, f.n_convs::bigint as n_convs, coalesce(ch.n, 0)::bigint as n_children, s.leaves::bigint as n_leaves, s.saved::bigint as saved_tokens, sha256(coalesce(ids, '')) as ends_sha256
+    from family f join sums s on s.k = f.k left join children ch on ch.k = f.k left join ended e on e.k = f.k left join family u on u.k = f.above and f.depth > 0"""
