@@ -11,9 +11,12 @@ documents again and looks the counts of their links up.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import uuid
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -29,7 +32,7 @@ from cardfile.sources.store import cut, text_batches
 A_TOKENIZER = "byte_bpe_50k.json"
 B_TOKENIZER = "piece_bpe_32k.model"
 #: Words whose alignment a Python worker keeps at hand, and distinct pairs that it counts before it sends them on.
-MEMO = 200_000
+MEMO = 400_000
 HELD_PAIRS = 1 << 21
 #: Distinct pairs of one shard of the hash.
 SHARD_PAIRS = 1 << 15
@@ -91,6 +94,8 @@ class Aligner:
     Neither tokenizer joins signs across a lone space or line end: A cuts there
     before it merges, and no piece of B has a space sign within it or a line end. So a
     text's groups are its words' groups; texts with other white space are taken whole.
+    The words that are new in some texts are encoded together, as one text and as one
+    list, and cut into groups by array operations.
     """
 
     def __init__(self, a: str, b: str):
@@ -106,18 +111,52 @@ class Aligner:
         self.a_bytes = [bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode() for t in map(self.a.id_to_token, range(n))]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.a_sizes, self.b_sizes = (np.array([len(x) for x in of], np.int64) for of in (self.a_bytes, self.b_bytes))
         self.lone = self.b.piece_to_id("▁")
         self.by_word = not any(("▁" in p[1:] and p.strip("▁")) or "\n" in p for i, p in enumerate(pieces) if not self.b.is_byte(i))
         self.shift = (len(pieces) - 1).bit_length()
+        #: An id with what follows it: a comma or the end of a group's A side, a comma or the end of the group.
+        self.signs = np.array([f"{i}{sign}" for of, signs in ((self.a_bytes, ",|"), (self.b_bytes, ",;")) for sign in signs for i in range(len(of))], object)
+        self.ranked = self._ranked()
         self.forget()
 
+    def _ranked(self):
+        """The vocabulary of A for tiktoken, which merges by rank: only if ids are in the order of the merges and it cuts texts alike."""
+        spec = json.loads(self.a.to_str())
+        merges = [self.a.token_to_id("".join(m if isinstance(m, list) else m.split(" "))) for m in spec["model"].get("merges", [])]
+        before = spec["pre_tokenizer"] or {}
+        if merges != list(range(256, 256 + len(merges))) or spec["normalizer"] or before.get("type") != "ByteLevel" or not before.get("use_regex"):
+            return None
+        import public_tokenizers
+        import tiktoken
+
+        ranks = {self.a_bytes[i]: i for i in range(256 + len(merges))}
+        return tiktoken.Encoding("ranked", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def encode_a(self, text: str) -> list[int]:
+        return self.ranked.encode_ordinary(text) if self.ranked else self.a.encode(text, add_special_tokens=False).ids
+
     def forget(self) -> None:
         self.memo: dict[str, int] = {}
+        self.words: list[str] = []
         self.texts: list[str] = []
-        self.sizes: list[tuple[int, int, int, int]] = []
-        self.codes: list[np.ndarray] = []
-        self.times: list[np.ndarray] = []
-        self.sound: list[bool] = []
+        self.seen = np.empty(0, np.int64)  # texts that a word was in
+        self.sizes = np.empty((0, 4), np.int64)  # n_a, n_b, n_groups, n_links
+        self.codes, self.times = np.empty(0, np.int64), np.empty(0, np.int64)  # of all words, one after another
+        self.ends = np.zeros(1, np.int64)
+        self.counted, self.looked = None, np.empty((0, 2), np.int64)
+
+    def trim(self) -> None:
+        """Keeps the words that were in most texts, at most half of the memo, and none that was in one only."""
+        keep = np.sort(np.argsort(-self.seen, kind="stable")[: MEMO // 2])
+        keep = keep[self.seen[keep] > 1]
+        sizes = self.ends[keep + 1] - self.ends[keep]
+        at = self._places(keep)
+        self.codes, self.times, self.ends = self.codes[at], self.times[at], np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])
+        self.looked = self.looked[keep[keep < len(self.looked)]]
+        self.sizes, self.seen = self.sizes[keep], self.seen[keep] // 2
+        self.words, self.texts = [self.words[i] for i in keep.tolist()], [self.texts[i] for i in keep.tolist()]
+        self.memo = dict(zip(self.words, range(len(self.words))))
 
     def entry(self, text: str, a: list[int], b: list[int]) -> tuple:
         """(groups as text, (n_a, n_b, n_groups, n_links), distinct codes, their links, whether both stand for text's bytes)."""
@@ -128,45 +167,97 @@ class Aligner:
         found = groups(a, b, self.a_bytes, self.b_bytes)
         links: Counter[int] = Counter()
         for own, other in found:
-            if len(own) == len(other) == 1:
-                links[own[0] << self.shift | other[0]] += 1
-            else:
-                times = Counter(other).items()
-                for x, n in Counter(own).items():
-                    for y, m in times:
-                        links[x << self.shift | y] += n * m
+            times = Counter(other).items()
+            for x, n in Counter(own).items():
+                for y, m in times:
+                    links[x << self.shift | y] += n * m
         sizes = len(a), len(b), len(found), sum(links.values())
         return as_text(found), sizes, np.fromiter(links, np.int64, len(links)), np.fromiter(links.values(), np.int64, len(links)), True
 
-    def learn(self, new: list[str]) -> None:
-        """Puts words, with what stands before them, into the memo."""
-        own = [e.ids for e in self.a.encode_batch([w if w[0] == "\n" else " " + w for w in new], add_special_tokens=False)]
-        other = self.b.encode(new, num_threads=1)
-        for word, a, b in zip(new, own, other):
-            if word[0] == "\n":
-                text, b = word, b[1:] if b[:1] == [self.lone] else []
-            else:
-                text = " " + word
-            self.memo[word] = len(self.texts)
-            for kept, value in zip((self.texts, self.sizes, self.codes, self.times, self.sound), self.entry(text, a, b)):
-                kept.append(value)
-
     def whole(self, text: str) -> tuple:
         """The entry of a text that is not taken by words."""
-        return self.entry(" " + text, self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text))
+        return self.entry(" " + text, self.encode_a(" " + text), self.b.encode(text))
 
-    def known(self, texts: list[str]) -> list[list[str] | None]:
-        """The words of each text, all of them in the memo; None of one that is to be taken whole or is empty."""
+    def learn(self, new: list[str]) -> None:
+        """Puts words, with what stands before them, into the memo."""
+        shown = [w if w[0] == "\n" else " " + w for w in new]
+        joined = "".join(shown)
+        ends = np.cumsum(np.fromiter(map(len, map(str.encode, shown)), np.int64, len(shown)))
+        own = np.array(self.encode_a(joined), np.int64)
+        parts = [b[1:] if w[0] == "\n" else b for w, b in zip(new, self.b.encode(new, num_threads=1))]  # a line's space is not in the text
+        other = np.fromiter(chain.from_iterable(parts), np.int64, sum(map(len, parts)))
+        if b"".join(map(self.b_bytes.__getitem__, other.tolist())) != joined.encode():
+            raise ValueError("words that the piece model does not give back")
+        own_ends, other_ends = np.cumsum(self.a_sizes[own]), np.cumsum(self.b_sizes[other])
+        common = np.zeros(len(joined.encode()) + 1, bool)
+        common[own_ends] = True
+        other_last = common[other_ends]
+        cuts = other_ends[other_last]
+        common[:] = False
+        common[cuts] = True
+        own_last = common[own_ends]
+        own_group, other_group = np.cumsum(own_last) - own_last, np.cumsum(other_last) - other_last
+        n_own, n_other = np.bincount(own_group, minlength=len(cuts)), np.bincount(other_group, minlength=len(cuts))
+        word = np.searchsorted(ends, cuts)
+        per_word = lambda values: np.bincount(word, values, len(new)).astype(np.int64)
+        sizes = np.stack([per_word(n_own), per_word(n_other), per_word(None), per_word(n_own * n_other)], axis=1)
+        # all pairs of each group: every A token with the group's B tokens
+        many = n_other[own_group]
+        first = (np.cumsum(n_other) - n_other)[own_group]
+        at = np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())
+        codes = np.repeat(own, many) << self.shift | other[at]
+        keyed, times = np.unique(np.repeat(word[own_group], many) << 40 | codes, return_counts=True)
+        counts = np.bincount(keyed >> 40, minlength=len(new))
+        # a group's text: its A ids, then its B ids
+        before = np.cumsum(n_other) - n_other
+        place = np.empty(len(own) + len(other), np.int64)
+        place[np.arange(len(own)) + before[own_group]] = own + own_last * len(self.a_bytes)
+        place[np.arange(len(other)) + np.cumsum(n_own)[other_group]] = 2 * len(self.a_bytes) + other + other_last * len(self.b_bytes)
+        signs, stops = self.signs[place].tolist(), np.cumsum(sizes[:, 0] + sizes[:, 1]).tolist()
+        self.memo.update(zip(new, range(len(self.texts), len(self.texts) + len(new))))
+        self.words += new
+        self.seen = np.concatenate([self.seen, np.zeros(len(new), np.int64)])
+        self.texts += ["".join(signs[i:j]) for i, j in zip([0, *stops], stops)]
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.codes = np.concatenate([self.codes, keyed & ((1 << 40) - 1)])
+        self.times = np.concatenate([self.times, times])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(counts)])
+
+    def codes_of(self, which: np.ndarray) -> np.ndarray:
+        """The codes of these words, one after another."""
+        return self.codes[self._places(which)]
+
+    def _places(self, which: np.ndarray) -> np.ndarray:
+        sizes = self.ends[which + 1] - self.ends[which]
+        return np.repeat(self.ends[which] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+
+    def known(self, texts: list[str]) -> list[np.ndarray | None]:
+        """The numbers of each text's words, all of them in the memo; None of one that is to be taken whole or is empty."""
         split = [words(t) if self.by_word else None for t in texts]
         if len(self.memo) > MEMO:
-            self.forget()
+            self.trim()
         new = set().union(*(s for s in split if s)).difference(self.memo)
         if new:
-            self.learn(sorted(new))
-        return split
-
-
-def _parts(texts: pd.Series, size: int = 500) -> Iterator[list[str]]:
+            self.learn(list(new))
+        number = self.memo.__getitem__
+        found = [np.fromiter(map(number, s), np.int64, len(s)) if s else None for s in split]
+        for own in found:
+            if own is not None:
+                self.seen[own] += 1
+        return found
+
+    def links_of(self, counted: Counted) -> np.ndarray:
+        """(n_best, count_sum) of all words in the memo; those of words seen before are at hand."""
+        if self.counted != counted.name:
+            self.counted, self.looked = counted.name, np.empty((0, 2), np.int64)
+        have = len(self.looked)
+        if have < len(self.texts):
+            start = self.ends[have]
+            self.looked = np.concatenate([self.looked, counted.of(self.codes[start:], self.times[start:], self.ends[have:] - start)])
+        return self.looked
+
+
+def _parts(texts: pd.Series, size: int = 1000) -> Iterator[list[str]]:
     for at in range(0, len(texts), size):
         yield [t or "" for t in texts.iloc[at : at + size]]
 
@@ -175,50 +266,40 @@ def pair_counts(docs: DataFrame, text_col: str = "text", a: str = A_TOKENIZER, b
     """(codes, counts): of each task's documents, how many hold each linked pair; code = A id << shift | B id."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        aligner, seen = load(a, b), {}  # code -> place in counts
-        counts = np.zeros(1 << 12, np.int64)
-        places: dict[int, np.ndarray] = {}  # of a word's codes
-
-        def placed(codes: np.ndarray) -> np.ndarray:
-            nonlocal counts
-            out = np.fromiter((seen.setdefault(c, len(seen)) for c in codes.tolist()), np.int64, len(codes))
-            if len(seen) > len(counts):
-                counts = np.concatenate([counts, np.zeros(len(seen), np.int64)])
-            return out
-
-        def sent() -> pd.DataFrame:
-            codes = np.fromiter(seen, np.int64, len(seen))
-            order = np.argsort(codes)
-            out = pd.DataFrame({"codes": [codes[order]], "counts": [counts[: len(codes)][order]]})
-            seen.clear()
-            places.clear()
-            counts[:] = 0
-            return out
+        aligner = load(a, b)
+        codes, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        waiting, size = [], 0
+
+        def folded() -> None:
+            """Adds what waits to the counts."""
+            nonlocal codes, counts, size
+            new, n = np.unique(np.concatenate(waiting), return_counts=True)
+            both, at = np.unique(np.concatenate([codes, new]), return_inverse=True)
+            counts = np.bincount(at, np.concatenate([counts, n]), len(both)).astype(np.int64)
+            codes = both
+            waiting.clear()
+            size = 0
 
         for pdf in batches:
             for texts in _parts(pdf["text"]):
-                memo = aligner.memo
-                split = aligner.known(texts)
-                if aligner.memo is not memo:  # the memo began anew, and so do the words' numbers
-                    places.clear()
-                for text, found in zip(texts, split):
-                    if found:
-                        own = list(set(map(aligner.memo.__getitem__, found)))
-                        if not all(map(aligner.sound.__getitem__, own)):
-                            continue
-                        for i in own:
-                            if i not in places:
-                                places[i] = placed(aligner.codes[i])
-                        at = np.unique(np.concatenate([places[i] for i in own]))
+                for text, found in zip(texts, aligner.known(texts)):
+                    if found is not None:
+                        at = np.unique(aligner.codes_of(np.unique(found)))
                     elif text:
-                        at = placed(aligner.whole(text)[2])
+                        at = aligner.whole(text)[2]
                     else:
                         continue
-                    counts[at] += 1
-                if len(seen) > HELD_PAIRS:
-                    yield sent()
-        if seen:
-            yield sent()
+                    waiting.append(at)
+                    size += len(at)
+                if size > HELD_PAIRS:
+                    folded()
+                    if len(codes) > HELD_PAIRS:
+                        yield pd.DataFrame({"codes": [codes], "counts": [counts]})
+                        codes, counts = codes[:0], counts[:0]
+        if waiting:
+            folded()
+        if len(codes):
+            yield pd.DataFrame({"codes": [codes], "counts": [counts]})
         give_back()
 
     return text_batches(docs).select(F.col(text_col).alias("text")).mapInPandas(count, "codes array<long>, counts array<long>")
@@ -282,18 +363,20 @@ class Counted:
     """Document counts of pairs, in memory for a range of the hash's shards."""
 
     def __init__(self, table: MinimalHash, counts: np.ndarray, most: np.ndarray, shift: int):
-        self.table, self.counts = table, counts
+        self.table, self.counts, self.name = table, counts, uuid.uuid4().hex
         self.best = counts == most[(table.codes >> np.uint64(shift)).astype(np.int64)] if len(counts) else np.empty(0, bool)
 
-    def of(self, codes: list[np.ndarray], times: list[np.ndarray]) -> np.ndarray:
-        """Of each text's codes, a row: links whose count is the highest of their A id, sum of counts over links."""
-        at = self.table.index(np.concatenate(codes).astype(np.uint64))
-        links = np.concatenate(times) * (at >= 0)
-        ends = np.cumsum([0, *map(len, codes)])
+    def of(self, codes: np.ndarray, times: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """For the codes between each two ends a row: links whose count is the highest of their A id, sum of counts over links."""
+        if not len(self.counts):
+            return np.zeros((len(ends) - 1, 2), np.int64)
+        at = self.table.index(codes.astype(np.uint64))
+        links = times * (at >= 0)
         at[at < 0] = 0
-        values = np.stack([links * self.best[at], links * self.counts[at]]) if len(self.counts) else np.zeros((2, len(at)), np.int64)
-        sums = np.concatenate([np.zeros((2, 1), np.int64), np.cumsum(values, axis=1)], axis=1)
-        return (sums[:, ends[1:]] - sums[:, ends[:-1]]).T
+        sums = np.zeros((len(codes) + 1, 2), np.int64)
+        np.cumsum(links * self.best[at], out=sums[1:, 0])
+        np.cumsum(links * self.counts[at], out=sums[1:, 1])
+        return sums[ends[1:]] - sums[ends[:-1]]
 
 
 def aligned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", a: str = A_TOKENIZER, b: str = B_TOKENIZER, with_groups: bool = False, resident_pairs: int = RESIDENT_PAIRS, shard_pairs: int = SHARD_PAIRS, fan_in: int = FAN_IN) -> DataFrame:
@@ -355,26 +438,19 @@ def _looked_up(rows: DataFrame, counted, a: str, b: str, with_groups: bool) -> D
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         aligner, counts = load(a, b), counted.value
-        memo, table = None, np.empty((0, 6), np.int64)
         for pdf in batches:
             out = []
             for texts in _parts(pdf["text"]):
-                split = aligner.known(texts)
-                if aligner.memo is not memo:
-                    memo, table = aligner.memo, np.empty((0, 6), np.int64)
-                at = len(table)
-                if at < len(aligner.texts):
-                    more = np.concatenate([np.array(aligner.sizes[at:], np.int64), counts.of(aligner.codes[at:], aligner.times[at:])], axis=1)
-                    table = np.concatenate([table, more])
-                for text, found in zip(texts, split):
+                known = aligner.known(texts)
+                links, shown_of = aligner.links_of(counts), aligner.texts.__getitem__
+                for text, found in zip(texts, known):
                     numbers, shown = (0,) * 6, ""
-                    if found:
-                        own = list(map(memo.__getitem__, found))
-                        if all(map(aligner.sound.__getitem__, own)):
-                            numbers, shown = table[own].sum(axis=0).tolist(), ";".join(map(aligner.texts.__getitem__, own))
+                    if found is not None:
+                        numbers = (*aligner.sizes[found].sum(axis=0).tolist(), *links[found].sum(axis=0).tolist())
+                        shown = "".join(map(shown_of, found.tolist()))[:-1]
                     elif text:
                         shown, sizes, codes, times, _ = aligner.whole(text)
-                        numbers = (*sizes, *counts.of([codes], [times])[0].tolist())
+                        numbers = (*sizes, *counts.of(codes, times, np.array([0, len(codes)]))[0].tolist())
                     out.append((*numbers, hashlib.sha256(shown.encode()).hexdigest() if shown else "", shown if with_groups else None))
             made = pd.DataFrame(out, columns=names[2:])
             made.insert(0, "row", pdf["row"].to_numpy())

@@ -76,8 +76,8 @@ def shared_spans(document: list[bytes], item: list[bytes], span: int = SPAN) ->
     return out
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = SPAN, k: int = K, broadcast_hashes: int = BROADCAST_HASHES) -> DataFrame:
-    """Per row of docs: id_col, n_words, n_hit, items (array of strings, sorted), spans.
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = SPAN, k: int = K, broadcast_hashes: int = BROADCAST_HASHES, with_text_hash: bool = False) -> DataFrame:
+    """Per row of docs: id_col, n_words, n_hit, items (array of strings, sorted), spans; with_text_hash also text_hash, which tells rows of one id apart.
 
     A window is `span` words in a row of an item, or all words of a shorter
     item that has any. n_hit counts the document's words under windows that
@@ -110,7 +110,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         row = TaskContext.get().partitionId() << 40
         for pdf in batches:
-            out = {"row": range(row, row + len(pdf)), "id": pdf["id"], "n_words": [], "met": [], "text": []}
+            out = {"row": range(row, row + len(pdf)), "id": pdf["id"], "text_hash": pdf["text_hash"], "n_words": [], "met": [], "text": []}
             row += len(pdf)
             for text in pdf["text"]:
                 found = words(text)
@@ -126,8 +126,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         give_back()
 
     # ids pass through pandas as text: whole numbers with nulls would become floats
-    rows = text_batches(docs).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    schema = "row long, id string, n_words long, met array<long>, text binary"
+    rows = text_batches(docs).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("binary").alias("text"), _text_hash(text_col).alias("text_hash"))
+    schema = "row long, id string, text_hash long, n_words long, met array<long>, text binary"
     seen = cut(rows.mapInPandas(find, schema), "met")
     pairs = seen.where(F.size("met") > 0).select("row", F.explode("met").alias("h")).join(wanted, "h").select("row", "nth").distinct()
 
@@ -145,8 +145,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         F.sort_array(F.collect_set("item")).alias("items"),
         F.sort_array(F.collect_list(F.struct("item", "start", "end"))).alias("spans"),
     )
-    out = seen.select("row", "id", "n_words").join(hit, "row", "left")
-    return out.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), "spans")
+    more = ["text_hash"] if with_text_hash else []
+    out = seen.select("row", "id", "n_words", *more).join(hit, "row", "left")
+    return out.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), "spans", *more)
+
+
+def _text_hash(text_col: str):
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
 def contaminated(n_words: str = "n_words", n_hit: str = "n_hit"):
@@ -154,7 +159,8 @@ def contaminated(n_words: str = "n_words", n_hit: str = "n_hit"):
     return (F.col(n_hit) > 0) & (20 * F.col(n_hit) >= F.col(n_words))
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **settings) -> DataFrame:
-    """The rows of docs, with their own columns, whose id has no contaminated text. Rows with a null id are kept."""
-    bad = contamination(docs, benchmark, id_col, **settings).where(contaminated()).select(F.col(id_col).alias("_bad")).distinct()
-    return docs.join(bad, docs[id_col] == bad["_bad"], "left_anti")
+def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """The rows of docs, with their own columns, whose text is not contaminated, whatever another row with their id holds. Rows with a null id are kept."""
+    found = contamination(docs, benchmark, id_col, text_col, with_text_hash=True, **settings)
+    bad = found.where(contaminated()).select(F.col(id_col).alias("_bad"), F.col("text_hash").alias("_bad_text")).distinct()
+    return docs.join(bad, (docs[id_col] == bad["_bad"]) & (_text_hash(text_col) == bad["_bad_text"]), "left_anti")

@@ -139,8 +139,8 @@ def hamming_links(fingerprints: DataFrame, radius: int = RADIUS, segments: int =
     return links.unionByName(blocks.groupBy("k", "own_bq", "own_bt").applyInPandas(link, "a long, b long"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, radius: int = RADIUS, segments: int = SEGMENTS) -> DataFrame:
-    """(id_col, fingerprint long, component_id): every row with its component's smallest id.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, radius: int = RADIUS, segments: int = SEGMENTS, with_text_hash: bool = False) -> DataFrame:
+    """(id_col, fingerprint long, component_id): every row with its component's smallest id; with_text_hash also text_hash, which tells rows of one id apart.
 
     Null, empty and word-less texts have fingerprint 0 and link with each other
     like any others. Equal fingerprints are one entry in the search, so exact
@@ -148,20 +148,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     never a component's id unless its component has no other. Columns beyond
     the two named are not read. An empty table gives an empty table.
     """
-    prints = cut(text_batches(docs).select(F.col(id_col), fingerprint_column(text_col, shingle_words).alias("f")), "simhash")
+    prints = cut(text_batches(docs).select(F.col(id_col), fingerprint_column(text_col, shingle_words).alias("f"), *([_text_hash(text_col)] if with_text_hash else [])), "simhash")
     first = prints.groupBy("f").agg(F.min(id_col).alias("first_id"))
     linked = components(hamming_links(first.select("f"), radius, segments))
     named = first.join(linked, first.f == linked.node, "left").select("f", "first_id", F.coalesce("component", "f").alias("c"))
     lowest = named.groupBy("c").agg(F.min("first_id").alias("component_id"))
     ids = named.join(lowest, "c").select(F.col("f").alias("print"), "component_id")
-    return prints.join(ids, prints.f == ids.print).select(id_col, F.col("f").alias("fingerprint"), "component_id")
+    return prints.join(ids, prints.f == ids.print).select(id_col, F.col("f").alias("fingerprint"), "component_id", *(["text_hash"] if with_text_hash else []))
+
+
+def _text_hash(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """The rows of docs, with their own columns, whose id is their component's smallest.
 
-    Rows with a null id are kept. Of rows that repeat that id too, all are kept.
+    Each row is judged by its own text, so a row stays whatever another with its
+    id is like. Rows with a null id are kept. Of rows that repeat the smallest id
+    all are kept.
     """
-    found = near_duplicates(docs, id_col, text_col, **settings)
-    gone = found.where(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    found = near_duplicates(docs, id_col, text_col, with_text_hash=True, **settings)
+    gone = found.where(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("_gone"), F.col("text_hash").alias("_gone_text")).distinct()
+    return docs.join(gone, (docs[id_col] == gone["_gone"]) & (_text_hash(text_col) == gone["_gone_text"]), "left_anti")

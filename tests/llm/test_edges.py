@@ -135,3 +135,22 @@ def test_stages_keep_columns(spark, docs, labels, benchmark, tmp_path):
     own = docs.select("doc_id", "text", "lang", "source", "n_chars")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, own, f"file://{tmp_path}").columns == own.columns
+
+
+def test_rows_and_not_ids_are_judged(spark):
+    """Another row with the same id decides nothing, in either filter."""
+    a, b = "these words are said here and again in just this order every time " * 2, "nothing of the other text stands in this one at all, not even a bit of it"
+    docs = spark.createDataFrame([(2, a, 1), (4, a, 2), (4, b, 3), (None, a, 4)], "doc_id long, text string, row int")
+    assert {(r.doc_id, r.row) for r in simhash.keep_one(docs).collect()} == {(2, 1), (4, 3), (None, 4)}
+    benchmark = spark.createDataFrame([("1", a)], "item_id string, text string")
+    assert {(r.doc_id, r.row) for r in decontaminate.keep_clean(docs, benchmark).collect()} == {(4, 3), (None, 4)}
+
+
+def test_stages_keep_clashing_columns(spark, docs, labels, benchmark, tmp_path):
+    labels.write.parquet(f"file://{tmp_path}/labels.parquet")
+    benchmark.write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    names = ["row", "id", "h", "f", "hash", "text_hash", "component_id", "fingerprint", "quality", "score", "spans", "base", "items", "n_words", "n_hit", "term", "kind", "print", "label", "item_id"]
+    own = docs.select("doc_id", "text", "lang", "source", "n_chars").withColumns({n: F.lit(n) for n in names})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, own, f"file://{tmp_path}")
+        assert kept.columns == own.columns and all(r[n] == n for r in kept.collect() for n in names)
