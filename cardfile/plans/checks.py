@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from cardfile.functions import constants as C
 from cardfile.plans import derived as D
 
@@ -114,7 +116,7 @@ def _keyword_rules(name: str) -> tuple[str, str]:
 
 _RELEVANT, _RELAXED = _keyword_rules("lower(name)")
 _ELEMENTS = "elements as (" + D.as_sql(D.ELEMENTS) + ")"
-_TAGGED = "((niche = 'it' and office = 'it') or (niche = 'bakery' and shop = 'bakery'))"
+_TAGGED = "((niche in ('it', 'data, cloud') and office = 'it') or (niche = 'bakery' and shop = 'bakery'))"
 _KEYWORDS = "(case niche when 'it' then ['it'] when 'bakery' then ['bakery'] when 'data, cloud' then ['data', 'cloud'] else ['fitness gym', 'fitness', 'gym'] end)"
 
 
@@ -126,8 +128,8 @@ def _merge() -> str:
     """Sources a, b and c in turn; within a source an earlier id wins."""
     parts = []
     for k, priority in (("a", 0), ("b", 1), ("c", 2)):
-        parts.append(f"src_{k} as (select id, lower(trim(name)) as name, website, source, {priority} as priority, {_HOST.format('website')} as host from ({D.as_sql(D.NAMES[k])}) t)")
-    like = "(x.name = y.name or contains(x.name, y.name) or contains(y.name, x.name))"
+        parts.append(f"src_{k} as (select id, name, lower(trim(name)) as key, website, source, {priority} as priority, {_HOST.format('website')} as host from ({D.as_sql(D.NAMES[k])}) t)")
+    like = "(contains(x.key, y.key) or contains(y.key, x.key))"
     own = lambda t: f"select * from {t} x where not exists (select 1 from {t} y where y.id < x.id and {like})"
     parts.append(f"kept_a as ({own('src_a')})")
     parts.append(f"new_b as (select * from src_b x where not exists (select 1 from kept_a y where {like})), kept_b as ({own('new_b')})")
@@ -138,13 +140,57 @@ def _merge() -> str:
     return "with " + ", ".join(parts) + " select id, name, source, priority from (select * from both_ab union all select * from kept_c) t"
 
 
+def _merge_greedy() -> str:
+    """One pass over sources a, b and c in the order of their ids: a name counts once a source, and a row is skipped if a kept one has its host (in c) or a like name."""
+    parts = [f"src_{k} as (select id, name, lower(trim(name)) as key, source, {n} as priority, {_HOST.format('website')} as host from ({D.as_sql(D.NAMES[k])}) t qualify row_number() over (partition by lower(trim(name)) order by id) = 1)" for n, k in enumerate("abc")]
+    return f"""with recursive {", ".join(parts)},
+    every as materialized (select *, row_number() over (order by priority, id) as n from (select * from src_a union all select * from src_b union all select * from src_c) t),
+    links as materialized (select x.n, list(y.n) as earlier from every x join every y on y.n < x.n and (contains(x.key, y.key) or contains(y.key, x.key) or (x.priority = 2 and x.host <> '' and x.host = y.host)) group by 1),
+    pass as (select 0::bigint as n, []::bigint[] as kept union all
+      select p.n + 1, case when list_has_any(coalesce(l.earlier, []), p.kept) then p.kept else list_append(p.kept, p.n + 1) end from pass p left join links l on l.n = p.n + 1 where p.n < (select max(n) from every)),
+    ended as (select kept from pass order by n desc limit 1)
+    select id, name, source, priority from every where n in (select unnest(kept) from ended)"""
+
+
+_REGIONS = f"""with places as ({D.as_sql(D.GAZETTEER)}), judged as (select *, osm_type in ({_list(C.POI_TYPES)}) or (north - south < 0.02 and east - west < 0.02) as poi from places),
+            tries as (select j.name as location, 0 as turn, concat(trim(split_part(display_name, ',', -2)), ', ', trim(split_part(display_name, ',', -1))) as candidate from judged j where poi and split_part(display_name, ',', 2) <> ''
+              union all select name, 1, trim(split_part(display_name, ',', -1)) from judged where poi union all select name, 2, trim(split_part(name, ',', -1)) from judged where poi),
+            wider as (select location, w.name, w.south, w.north, w.west, w.east from tries join judged w on w.name = candidate and not w.poi qualify row_number() over (partition by location order by turn, w.name) = 1)
+            select j.name as location, coalesce(w.name, j.name) as region, coalesce(w.south, j.south) as south, coalesce(w.north, j.north) as north, coalesce(w.west, j.west) as west, coalesce(w.east, j.east) as east from judged j left join wider w on w.location = j.name"""
+
+
+def _located() -> str:
+    """Points within the resolved boxes, by comparing all with all."""
+    return f"""with regions as ({_REGIONS}), points as ({D.as_sql(D.POINTS)})
+    select p.type, p.id, p.ord, r.location from points p join regions r on p.lat between r.south and r.north and p.lon between r.west and r.east"""
+
+
+def _niche_matches() -> str:
+    """Every element with every niche of the tables."""
+    quoted = lambda words: "[" + ", ".join("'" + w + "'" for w in words) + "]"
+    rows = []
+    for niche in C.NICHE_TAGS:
+        phrases = [p.strip() for p in re.split("[,/&]+", niche.lower()) if p.strip()]
+        keywords = list(dict.fromkeys(w for p in phrases for w in [p, *[x for x in p.split() if len(x) > 1]]))
+        tags = [t for k in [niche, *keywords] for t in C.NICHE_TAGS.get(k, ()) if t != "office=company"]
+        terms = list(C.NICHE_TERMS.get(niche, ()))
+        whole = [k for k in keywords if len(k) > 2] + terms
+        start = [k for k in keywords if len(k) <= 2]
+        pattern = "|".join([*(rf"^{re.escape(k)}([\s\-]|$)" for k in start), *([rf"\b({'|'.join(map(re.escape, whole))})\b"] if whole else [])])
+        rows.append(f"('{niche}', {quoted(tags)}, '{pattern}', {quoted([w for w in keywords + terms if len(w) >= 3])})")
+    return f"""with {_ELEMENTS}, niches(niche, tags, pattern, loose) as (values {", ".join(rows)}),
+    judged as (select e.ord, n.niche, list_contains(n.tags, 'office=' || lower(e.office)) or list_contains(n.tags, 'shop=' || lower(e.shop)) or (e.name <> '' and regexp_matches(lower(e.name), n.pattern)) as relevant,
+      len(list_filter(n.loose, lambda w: contains(lower(e.name), w))) > 0 as relaxed from elements e, niches n)
+    select ord, niche, relevant, relaxed from judged where relevant or relaxed"""
+
+
 _FOUND = f"(((office <> '' or shop <> '') and {_has('name')}) or (office <> '' and {_has('industry')}) or {_has('office')} or {_has('shop')} or office = 'company' or {_TAGGED})"
 
 
 def _candidates(target: int, relaxed_min: int, catch_all_min: int) -> str:
     same = "x.niche = y.niche and x.location = y.location"
-    like = f"{same} and (x.name = y.name or contains(x.name, y.name) or contains(y.name, x.name))"
-    source = lambda k: f"select id, lower(trim(name)) as name, website, source, niche, location, {_HOST.format('website')} as host from ({D.as_sql(D.HITS[k])}) t"
+    like = f"{same} and (contains(lower(trim(x.name)), lower(trim(y.name))) or contains(lower(trim(y.name)), lower(trim(x.name))))"
+    source = lambda k: f"select id, name, website, source, niche, location, {_HOST.format('website')} as host from ({D.as_sql(D.HITS[k])}) t"
     own = lambda t: f"select * from {t} x where not exists (select 1 from {t} y where y.id < x.id and {like})"
     return f"""with {_ELEMENTS}, hit as (select * from elements where {_FOUND}),
     counted as (select niche, location, count(distinct (type, id)) as n from hit group by 1, 2),
@@ -156,8 +202,8 @@ def _candidates(target: int, relaxed_min: int, catch_all_min: int) -> str:
     chosen as (select * from judged where relevant or (relaxed and n < {relaxed_min})),
     fresh as (select * from judged j where ord not in (select ord from chosen) and not exists (select 1 from chosen c where c.niche = j.niche and c.location = j.location and c.host = j.host) qualify row_number() over (partition by niche, location, host order by ord) = 1),
     ranked as (select *, row_number() over (partition by niche, location order by ord) as nth from fresh),
-    first as (select niche, location, concat('e', cast(ord as varchar)) as id, lower(name) as name, site as website, 'OSM' as source, host from chosen union all
-      select niche, location, concat('e', cast(ord as varchar)), lower(name), site, 'OSM (fill)', host from ranked r where nth <= {target} - (select count(*) from chosen c where c.niche = r.niche and c.location = r.location)),
+    first as (select niche, location, concat('e', cast(ord as varchar)) as id, name, site as website, 'OSM' as source, host from chosen union all
+      select niche, location, concat('e', cast(ord as varchar)), name, site, 'OSM (fill)', host from ranked r where nth <= {target} - (select count(*) from chosen c where c.niche = r.niche and c.location = r.location)),
     src_h as ({source("HERE")}), new_h as (select * from src_h x where not exists (select 1 from first y where {like})), kept_h as ({own("new_h")}),
     both_h as (select niche, location, id, name, website, source, host from first union all select niche, location, id, name, website, source, host from kept_h),
     src_g as ({source("Google")}), new_g as (select * from src_g x where not exists (select 1 from both_h y where {like}) and not exists (select 1 from both_h y where {same} and x.host <> '' and x.host = y.host)),
@@ -305,12 +351,11 @@ def all_sql() -> dict[str, str]:
             select type, id, ord, phase from found where lat between 5 and 80 and lon between 10 and 170 qualify row_number() over (partition by type, id order by phase, ord) = 1""",
         "candidate_skips": f"""with {_ELEMENTS} select case when trim(name) = '' then 'no name' when website = '' or website = 'https://www.facebook.com/x' then 'no website' when not ({_TAGGED} or {_RELEVANT}) then 'not relevant' else 'none' end as skip_reason, count(*) as n from elements group by 1""",
         "merge_sources": _merge(),
+        "merge_sources_greedy": _merge_greedy(),
+        "located_elements": _located(),
+        "niche_matches": _niche_matches(),
         "build_candidates": _candidates(12, 6, 8),
-        "resolve_region": f"""with places as ({D.as_sql(D.GAZETTEER)}), judged as (select *, osm_type in ({_list(C.POI_TYPES)}) or (north - south < 0.02 and east - west < 0.02) as poi from places),
-            tries as (select j.name as location, 0 as turn, concat(trim(split_part(display_name, ',', -2)), ', ', trim(split_part(display_name, ',', -1))) as candidate from judged j where poi and split_part(display_name, ',', 2) <> ''
-              union all select name, 1, trim(split_part(display_name, ',', -1)) from judged where poi union all select name, 2, trim(split_part(name, ',', -1)) from judged where poi),
-            wider as (select location, w.name, w.south, w.north, w.west, w.east from tries join judged w on w.name = candidate and not w.poi qualify row_number() over (partition by location order by turn, w.name) = 1)
-            select j.name as location, coalesce(w.name, j.name) as region, coalesce(w.south, j.south) as south, coalesce(w.north, j.north) as north, coalesce(w.west, j.west) as west, coalesce(w.east, j.east) as east from judged j left join wider w on w.location = j.name""",
+        "resolve_region": _REGIONS,
         "infer_pattern": f"""with {_CONTACTS}, spread as (select {_HOST.format('website')} as domain, lower(unnest({_cells('all_emails_found')})) as email from contacts),
             own as (select domain, email, split_part(email, '@', 1) as local from spread where {_domain('email')} = domain), said as (select *, {pattern} as pattern from own)
             select domain, coalesce(first(pattern order by not {_preferred('email')}, email) filter (pattern is not null), '{{first}}.{{last}}') as pattern from said group by domain""",

@@ -65,6 +65,13 @@ select case when p_partkey % 3 = 0 then 'way' else 'node' end as type, p_partkey
 from {part}
 """
 
+#: Elements by their place alone, some without one.
+POINTS = """
+select case when p_partkey % 3 = 0 then 'way' else 'node' end as type, p_partkey as id, p_partkey as ord,
+  case when p_partkey % 50 = 0 then null else cast(p_partkey * 37 % 3000 as double) / 100 - 2 end as lat, cast(p_partkey * 53 % 5600 as double) / 100 - 3 as lon
+from {part}
+"""
+
 #: Companies of other sources, in the niches and locations of the elements.
 HITS = {
     "HERE": """select concat('h', cast(p_partkey as string)) as id, case p_partkey % 3 when 0 then p_name when 1 then concat(p_name, ' Ltd') else concat(p_brand, ' ', cast(p_size as string)) end as name,

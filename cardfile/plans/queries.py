@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cardfile.functions import scalars as S
-from cardfile.operators import candidates, clean, dedup, harvest, locations, selection, verify
+from cardfile.operators import candidates, clean, dedup, harvest, locations, niches, selection, spatial, verify
 from cardfile.plans import derived as D
 from cardfile.sources import tables as sources
 from cardfile.sources.store import new_path
@@ -156,6 +156,24 @@ def merge_sources(spark, sf_dir):
     return candidates.merge_sources(parts, [False, False, True]).select("id", "name", "source", "priority")
 
 
+def merge_sources_greedy(spark, sf_dir):
+    """The same sources merged as in one pass over their rows."""
+    parts = [D.on_spark(spark, sf_dir, D.NAMES[k]) for k in "abc"]
+    return candidates.merge_sources(parts, [False, False, True], greedy=True).select("id", "name", "source", "priority")
+
+
+def located_elements(spark, sf_dir):
+    """Elements with every place whose region, or the wider one that stands for it, holds them."""
+    places = D.on_spark(spark, sf_dir, D.GAZETTEER)
+    regions = candidates.resolve_region(places.select(F.col("name").alias("location")), places)
+    return spatial.located(D.on_spark(spark, sf_dir, D.POINTS), regions).select("type", "id", "ord", "location")
+
+
+def niche_matches(spark, sf_dir):
+    """The niches of the tables that each element belongs to."""
+    return niches.niche_matches(_elements(spark, sf_dir), niches.all_niches(spark)).select("ord", "niche", "relevant", "relaxed")
+
+
 def build_candidates(spark, sf_dir):
     """Companies of each niche and location from elements and two more sources, with small thresholds for the small groups."""
     others = [D.on_spark(spark, sf_dir, text) for text in D.HITS.values()]
@@ -274,7 +292,7 @@ def suppress_stream(spark, sf_dir):
 QUERIES = (
     email_domains, extract_emails, email_validity, extract_phones, html_text, page_links, url_normalise, rank_emails, collect_row_emails, clean_contacts,
     clean_contacts_strict, clean_summary, removed_emails, dedup_companies, mx_summary, verify_contacts, verify_counts, select_contacts, chunk_locations,
-    plan_locations, limit_per_group, fill_to_quota, threshold_fallback, niche_relevance, element_search, candidate_skips, merge_sources, build_candidates, resolve_region,
+    plan_locations, limit_per_group, fill_to_quota, threshold_fallback, niche_relevance, element_search, candidate_skips, merge_sources, merge_sources_greedy, located_elements, niche_matches, build_candidates, resolve_region,
     infer_pattern, address_from_pattern, render_text, run_summary, location_slugs, contact_preview, people_extract, harvest_pages, page_plan, result_links, place_rows,
     run_locations, run_all_locations, clean_stream, suppress_stream,
 )
