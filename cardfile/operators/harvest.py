@@ -32,14 +32,22 @@ def scraped(pages: DataFrame) -> DataFrame:
 def harvest_pages(pages: DataFrame, junk=C.JUNK_PATTERNS) -> DataFrame:
     """One row per site: emails in order of relevance, phone, person, contact address, and a guess for the person.
 
-    Repeats are removed before anything is gathered; each array is a site's
-    own. Observed addresses are never replaced by guessed ones.
+    Pages are scraped once: what they give becomes tagged rows, of which each
+    task keeps a site's distinct addresses, first phone and best person before
+    anything is shuffled. Observed addresses are never replaced by guessed ones.
     """
-    rows = scraped(pages)
-    emails = rows.select("site", F.explode("emails").alias("email")).where(S.is_valid_target_email("email", junk=junk)).distinct().groupBy("site").agg(S.sort_emails(F.collect_list("email")).alias("emails"))
-    phones = rows.select("site", "page_ord", F.posexplode("phones").alias("pos", "phone")).groupBy("site").agg(F.min_by("phone", F.struct("page_ord", "pos", "phone")).alias("phone_number"))
-    people = rows.select("site", F.explode("people").alias("p")).groupBy("site").agg(F.min("p").alias("person"))
-    sites = rows.select("site").distinct().join(emails, "site", "left").join(phones, "site", "left").join(people, "site", "left")
+    none = lambda kind: F.lit(None).cast(kind)
+    place, person_of = "struct<page_ord:long,pos:int,phone:string>", "struct<score:int,name:string,title:string>"
+    found = lambda email, phone, person: F.struct(email.alias("email"), phone.alias("phone"), person.alias("person"))
+    tagged = F.concat(
+        F.array(found(none("string"), none(place), none(person_of))),  # a site that gives nothing has a row too
+        F.transform("emails", lambda e: found(e, none(place), none(person_of))),
+        F.transform("phones", lambda p, i: found(none("string"), F.struct(F.col("page_ord").cast("long").alias("page_ord"), i.alias("pos"), p.alias("phone")), none(person_of))),
+        F.transform("people", lambda p: found(none("string"), none(place), F.struct(p["score"].cast("int").alias("score"), p["name"].alias("name"), p["title"].alias("title")))),
+    )
+    rows = scraped(pages).select("site", F.explode(tagged).alias("x")).select("site", "x.*")
+    kept = rows.where(F.col("email").isNull() | S.is_valid_target_email("email", junk=junk))
+    sites = kept.groupBy("site").agg(S.sort_emails(F.collect_set("email")).alias("emails"), F.min("phone").alias("phone"), F.min("person").alias("person")).withColumn("phone_number", F.col("phone.phone"))
     pattern = F.when(F.exists("emails", lambda e: S.email_domain(e) == F.col("site")), F.coalesce(F.get(F.filter(F.transform(F.filter("emails", lambda e: (S.email_domain(e) == F.col("site")) & ~S.email_local(e).isin(*C.GENERIC_LOCALS)), lambda e: S.email_pattern(S.email_local(e))), lambda p: p.isNotNull()), F.lit(0)), F.lit("{first}.{last}")))
     person = F.coalesce(F.col("person.name"), F.lit(""))
     return sites.select(
@@ -49,6 +57,45 @@ def harvest_pages(pages: DataFrame, junk=C.JUNK_PATTERNS) -> DataFrame:
     )
 
 
+def page_key(url):
+    """What two addresses of one page have in common: no scheme, fragment or trailing slash, the host in lower case."""
+    plain = F.regexp_replace(F.regexp_replace(S.normalize_url(url), "#.*$", ""), "/+$", "")
+    return F.concat(S.url_host(plain), F.regexp_extract(plain, "^https?://[^/?#]+(.*)$", 1))
+
+
+def planned_pages(homes: DataFrame, store: DataFrame, hops: int = 1, max_pages: int = MAX_PAGES, hints=C.CONTACT_HINTS) -> DataFrame:
+    """(site, page_ord, html): the stored pages that each site's plan takes, home first.
+
+    homes: site and url; store: url and html of any pages. The plan is the home,
+    its hinted links, then the fixed paths, max_pages + 1 addresses at most,
+    whether stored or not; each further hop adds the hinted links of the pages that the
+    one before brought, as far as there is room. Plans and pages are joined by
+    page_key, so nothing but planned pages is ever read for more than its address; of pages
+    stored under one key the first by address counts.
+    """
+    first = store.where(F.col("url").isNotNull()).groupBy(page_key("url").alias("key")).agg(F.min_by("html", "url").alias("html"))
+    asked = homes.select("site", F.concat(F.regexp_replace(S.normalize_url("url"), "/+$", ""), F.lit("/")).alias("url")).where("url <> '/'")
+    start = asked.groupBy("site").agg(F.min("url").alias("url")).withColumn("key", page_key("url")).join(first, "key", "left")
+    plan = page_plan(start.select(F.col("site").alias("page_id"), "url", "html"), max_pages, hints).select(F.col("page_id").alias("site"), page_key("url").alias("key"), F.col("rank").cast("long").alias("rank"), "url")
+    once = lambda df: df.groupBy("site", "key").agg(F.min(F.struct("rank", "url")).alias("x")).select("site", "key", "x.*")
+    plan = once(plan)
+    got = plan.join(first, "key")
+    for _ in range(1, hops):
+        links = got.select("site", F.col("url").alias("base"), "rank", F.posexplode(S.hinted_anchors("html", hints)).alias("pos", "a"))
+        links = links.select("site", F.regexp_replace(S.url_join("base", "a.href"), "/+$", "").alias("url"), "base", F.struct("rank", "pos").alias("at")).where(S.url_host("url") == S.url_host("base"))
+        new = links.withColumn("key", page_key("url")).groupBy("site", "key").agg(F.min(F.struct("at", "url")).alias("x")).join(plan.select("site", "key"), ["site", "key"], "left_anti")
+        have = plan.groupBy("site").agg(F.max("rank").alias("most"))
+        ranked = new.join(have, "site").withColumn("rank", F.col("most") + F.row_number().over(Window.partitionBy("site").orderBy("x"))).where(F.col("rank") <= max_pages + 1)
+        more = ranked.select("site", "key", "rank", F.col("x.url").alias("url"))
+        plan, got = plan.unionByName(more), got.unionByName(more.join(first, "key"))
+    return got.select("site", (F.col("rank") - 1).alias("page_ord"), "html")
+
+
+def harvest_planned(homes: DataFrame, store: DataFrame, hops: int = 1, max_pages: int = MAX_PAGES, hints=C.CONTACT_HINTS, junk=C.JUNK_PATTERNS) -> DataFrame:
+    """harvest_pages over the stored pages that each site's plan takes."""
+    return harvest_pages(planned_pages(homes, store, hops, max_pages, hints), junk)
+
+
 def infer_patterns(emails: DataFrame) -> DataFrame:
     """(domain, pattern) of (domain, email) rows: the first personal address in order of relevance that shows one decides."""
     own = emails.where(S.email_domain("email") == F.lower("domain")).withColumn("local", S.email_local("email"))

@@ -224,11 +224,12 @@ def _result_links() -> str:
     qualify row_number() over (partition by location, host order by pos, url, name) = 1"""
 
 
-def _page_plan(most: int) -> str:
+def _page_plan(most: int, hints=()) -> str:
     host = "lower(regexp_extract({}, '^https?://([^/?#]+)', 1))"
     paths = ", ".join(f"'{p}'" for p in C.CONTACT_PATHS)
-    return rf"""with links as (select page_id, url, unnest(range(len(h))) as pos, unnest(h) as href from (select page_id, url, regexp_extract_all(html, '<a[^>]+href=["'']([^"'']+)["''][^>]*>.*?</a>', 1, 'is') as h from pages) t),
-    kept as (select page_id, url, trim(href) as href, row_number() over (partition by page_id order by pos) - 1 as pos from links where trim(href) <> '' and not regexp_matches(trim(href), '^(#|mailto:|tel:|javascript:|data:)')),
+    anchor, hinted = r"""'<a[^>]+href=["'']([^"'']+)["''][^>]*>(.*?)</a>'""", f"and regexp_matches(lower(href) || ' ' || lower(regexp_replace(said, '<[^>]+>', ' ', 'g')), '{'|'.join(hints)}')"
+    return rf"""with links as (select page_id, url, unnest(range(len(h))) as pos, unnest(h) as href, unnest(t) as said from (select page_id, url, regexp_extract_all(html, {anchor}, 1, 'is') as h, regexp_extract_all(html, {anchor}, 2, 'is') as t from pages) t),
+    kept as (select page_id, url, trim(href) as href, row_number() over (partition by page_id order by pos) - 1 as pos from links where trim(href) <> '' and not regexp_matches(trim(href), '^(#|mailto:|tel:|javascript:|data:)') {hinted if hints else ""}),
     whole as (select page_id, url as base, pos, regexp_replace(case when starts_with(href, 'http') then href else concat(regexp_extract(url, '^https?://[^/?#]+'), href) end, '/+$', '') as url from kept),
     every as (select page_id, regexp_replace(url, '/+$', '') as url, 0 as kind, 0 as pos from pages
       union all select page_id, url, 1, pos from whole where {host.format('url')} = {host.format('base')}
@@ -242,46 +243,60 @@ _PEOPLE_PAGES = r"""bodies as (select page_id, concat('site', cast(page_id as va
   '<a href="mailto:x">info [at] site', cast(page_id as varchar), ' [dot] test</a> eva.klein@site', cast(page_id as varchar), '.test +49 (0)30 1234567') as html from pages)"""
 
 
-def _people() -> str:
-    """CTEs up to people (site, score, name, title): names in the 60 characters before and after each title, and headings; the first of a name stays."""
+def _people(key: str = "site") -> str:
+    """CTEs up to people (key, score, name, title): names in the 60 characters before and after each title, and headings; the first of a name stays."""
     title = "(?:" + "|".join(p for _, p in C.TITLES) + ")"
     name = C.PERSON_NAME
     heading = "<h[2-6][^>]*>([^<]{2,50})</h[2-6]>[^<]*(?:<p[^>]*>[^<]{0,150}</p>|<div[^>]*>[^<]{0,150}</div>)"
     rank = "case " + " ".join(f"when regexp_matches(lower(trim(title)), '{p}') then {r}" for r, p in C.TITLES) + " else 999 end"
     text = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<script[^>]*>.*?</script>', '', 'gis'), '<style[^>]*>.*?</style>', '', 'gis'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))"
-    return rf"""texts as (select site, string_split(regexp_replace({text}, '({title})', chr(1) || '\1' || chr(2), 'gi'), chr(1)) as pieces from bodies),
-    titled as (select site, unnest(range(len(pieces) - 1)) as k, pieces from texts),
-    windows as (select site, k, split_part(pieces[k + 2], chr(2), 1) as title, right(replace(array_to_string(pieces[1:k + 1], ''), chr(2), ''), 60) as before,
+    return rf"""texts as (select {key}, string_split(regexp_replace({text}, '({title})', chr(1) || '\1' || chr(2), 'gi'), chr(1)) as pieces from bodies),
+    titled as (select {key}, unnest(range(len(pieces) - 1)) as k, pieces from texts),
+    windows as (select {key}, k, split_part(pieces[k + 2], chr(2), 1) as title, right(replace(array_to_string(pieces[1:k + 1], ''), chr(2), ''), 60) as before,
       left(split_part(pieces[k + 2], chr(2), 2) || replace(array_to_string(pieces[k + 3:], ''), chr(2), ''), 60) as after from titled),
-    headings as (select site, regexp_extract_all(html, '{heading}', 1, 'is') as h, regexp_extract_all(html, '{heading}', 0, 'is') as w from bodies),
-    heads as (select site, unnest(range(len(h))) as k, unnest(h) as h, unnest(w) as w from headings),
-    named as (select site, 0 as kind, k, regexp_extract_all(before, '{name}')[-1] as name, title from windows union all select site, 1, k, regexp_extract(after, '{name}'), title from windows
-      union all select site, 2, k, regexp_extract(trim(h), '^{name}'), coalesce(nullif(regexp_extract(substr(w, length(h) + 5), '{title}', 0, 'i'), ''), 'Team Member') from heads),
+    headings as (select {key}, regexp_extract_all(html, '{heading}', 1, 'is') as h, regexp_extract_all(html, '{heading}', 0, 'is') as w from bodies),
+    heads as (select {key}, unnest(range(len(h))) as k, unnest(h) as h, unnest(w) as w from headings),
+    named as (select {key}, 0 as kind, k, regexp_extract_all(before, '{name}')[-1] as name, title from windows union all select {key}, 1, k, regexp_extract(after, '{name}'), title from windows
+      union all select {key}, 2, k, regexp_extract(trim(h), '^{name}'), coalesce(nullif(regexp_extract(substr(w, length(h) + 5), '{title}', 0, 'i'), ''), 'Team Member') from heads),
     persons as (select *, string_split(regexp_replace(lower(name), '\s+', ' ', 'g'), ' ') as words from named where coalesce(name, '') <> '' and lower(name) not in ({_list(C.NON_NAMES)})),
-    people as (select site, {rank} as score, name, trim(title) as title from persons where len(words) <= 3 and not list_has_any(words, [{_list(C.NON_NAME_WORDS)}]) qualify row_number() over (partition by site, lower(name) order by kind, k) = 1)"""
+    people as (select {key}, {rank} as score, name, trim(title) as title from persons where len(words) <= 3 and not list_has_any(words, [{_list(C.NON_NAME_WORDS)}]) qualify row_number() over (partition by {key}, lower(name) order by kind, k) = 1)"""
 
 
-def _harvest() -> str:
+def _harvest(bodies: str = _PEOPLE_PAGES, key: str = "site") -> str:
+    """bodies: a CTE with the columns of key, among them site, and html; a site's first phone is by them."""
     phone = r"regexp_replace(p, '[\s\-/().,]', '', 'g')"
     codes = "(values " + ", ".join(f"('{k}', {v})" for k, v in C.COUNTRY_DIGITS.items()) + ")"
     local = "split_part(email, '@', 1)"
-    return rf"""with {_PEOPLE_PAGES}, {_people()},
+    return rf"""with {bodies}, {_people(key)},
     plain as (select site, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '\s*(\[at\]|\(at\))\s*', '@', 'gi'), '\s*(\[dot\]|\(dot\))\s*', '.', 'gi'), '\s+@\s+', '@', 'g'), '\s+\.\s+', '.', 'g') as text from bodies),
     raw_mails as (select distinct site, lower(unnest(regexp_extract_all(text, '{C.EMAIL}'))) as email from plain),
     mails as (select site, email, row_number() over (partition by site order by not {_preferred('email')}, email) as nth from raw_mails where not {_spam('email')} and {_target('email')}),
     said as (select *, case when not lower({local}) in ({_list(C.GENERIC_LOCALS)}) then case when regexp_matches({local}, '^\pL+\.\pL+$') then '{{first}}.{{last}}' when regexp_matches({local}, '^\pL+$') and length({local}) > 2 then '{{first}}' when regexp_matches({local}, '^\pL+_\pL+$') then '{{first}}_{{last}}' end end as pattern from mails where {_domain('email')} = site),
     patterns as (select site, coalesce(first(pattern order by nth) filter (pattern is not null), '{{first}}.{{last}}') as pattern from said group by 1),
     lists as (select site, string_agg(email, '; ' order by nth) as emails, coalesce(first(email order by nth) filter (lower({local}) not in ({_list(C.GENERIC_LOCALS)})), first(email order by nth)) as contact_email from mails group by 1),
-    numbers as (select site, unnest(range(len(n))) as pos, unnest(n) as p from (select site, regexp_extract_all(html, '{C.PHONE}') as n from bodies) t),
-    norm as (select site, pos, case when starts_with({phone}, '+') then {phone} when starts_with({phone}, '00') then concat('+', substr({phone}, 3)) when starts_with({phone}, '0') then {phone} end as phone from numbers),
+    numbers as (select {key}, unnest(range(len(n))) as pos, unnest(n) as p from (select {key}, regexp_extract_all(html, '{C.PHONE}') as n from bodies) t),
+    norm as (select {key}, pos, case when starts_with({phone}, '+') then {phone} when starts_with({phone}, '00') then concat('+', substr({phone}, 3)) when starts_with({phone}, '0') then {phone} end as phone from numbers),
     longest as (select phone, digits, code, least from (select distinct phone, regexp_replace(phone, '\D', '', 'g') as digits from norm where starts_with(phone, '+')) n join (select * from {codes} v(code, least)) c on starts_with(digits, code) qualify row_number() over (partition by phone order by length(code) desc) = 1),
     valid as (select phone from longest where length(digits) between 8 and 16 and case when code = '1' then length(digits) - 1 = least else length(digits) - length(code) between least and least + 1 end),
-    phones as (select site, first(phone order by pos) as phone from norm where phone is not null and (not starts_with(phone, '+') or phone in (select phone from valid)) group by 1),
+    phones as (select site, first(phone order by {key}, pos) as phone from norm where phone is not null and (not starts_with(phone, '+') or phone in (select phone from valid)) group by 1),
     best as (select * from people qualify row_number() over (partition by site order by score, name, title) = 1)
     select b.site, coalesce(l.emails, '') as emails, coalesce(phone, '') as phone_number, coalesce(name, '') as contact_person, coalesce(title, '') as contact_title, coalesce(contact_email, '') as contact_email,
       case when name is not null then replace(replace(pattern, '{{first}}', lower(split_part(name, ' ', 1))), '{{last}}', lower(split_part(name, ' ', -1))) || '@' || b.site end as contact_email_inferred,
       case when name is null then 'none' else 'website' end as founder_source
-    from bodies b left join lists l using (site) left join phones using (site) left join best using (site) left join patterns using (site)"""
+    from (select distinct site from bodies) b left join lists l using (site) left join phones using (site) left join best using (site) left join patterns using (site)"""
+
+
+_PAGE_KEY = "lower(regexp_extract({0}, '^https?://([^/?#]+)', 1)) || regexp_replace(regexp_extract({0}, '^https?://[^/?#]+([^#]*)', 1), '/+$', '')"
+
+
+def _planned() -> str:
+    """The stored pages of each site's plan, from its home's links."""
+    plan = _page_plan(16, C.CONTACT_HINTS).replace("from pages", "from homes").replace("with links", "links", 1)
+    head, last = plan.rsplit("\n    select page_id", 1)
+    return f"""store as ({D.as_sql(D.STORE)}), homes as (select site as page_id, concat('https://', site, '/') as url, html from store where page_id % 4 = 0), {head},
+    planned as (select page_id{last}),
+    keyed as (select page_id as site, {_PAGE_KEY.format('url')} as key, min(rank) as rank from planned group by 1, 2),
+    bodies as (select k.site, k.rank - 1 as page_ord, s.html from keyed k join store s on {_PAGE_KEY.format('s.url')} = k.key)"""
 
 
 def _all_locations() -> str:
@@ -369,6 +384,8 @@ def all_sql() -> dict[str, str]:
         "suppress_stream": f"select distinct concat('info@co', cast(user_id * 3 as varchar), '.test') as email from events where concat('info@co', cast(user_id * 3 as varchar), '.test') not in (select lower(recipient_email) from ({D.as_sql(D.LOG)}) t)",
         "people_extract": f"with {_PEOPLE_PAGES}, {_people()} select site, (row_number() over (partition by site order by score, name, title) - 1)::int as pos, score::int as score, name, title from people",
         "harvest_pages": _harvest(),
+        "harvest_planned": _harvest(_planned(), "site, page_ord"),
+        "page_plan_hinted": _page_plan(16, C.CONTACT_HINTS),
         "page_plan": _page_plan(16),
         "result_links": _result_links(),
         "place_rows": """select (p_partkey % 1000)::varchar as id, trim(p_name) as name, concat('https://p', cast(p_partkey as varchar), '.test') as website, cast(p_partkey as varchar) as phone from part

@@ -105,7 +105,18 @@ NAMES = {
     "c": "select concat('c', cast(p_partkey as string)) as id, case when p_partkey % 2 = 0 then p_name else concat(p_name, ' ', cast(p_partkey as string)) end as name, concat('https://', case when p_partkey % 3 = 0 then 'f' else 'w' end, cast(cast(floor(p_partkey / 3) as bigint) as string), '.test') as website, 'Google' as source from {part}",
 }
 
-_TABLES = ("customer", "nation", "region", "supplier", "part", "orders")
+#: Pages of sites: a home, a page at a usual path, one that the home links, and one that nothing leads to.
+STORE = """
+select page_id, concat('s', k, '.test') as site,
+  case page_id % 4 when 0 then concat('https://S', k, '.test/') when 1 then concat('http://s', k, '.test/contact/') when 2 then concat('https://s', k, '.test/who/people-', k, '#top') else concat('https://s', k, '.test/private') end as url,
+  concat(case when page_id % 4 = 0 then concat('<a href="/who/people-', k, '">Our <b>Team</b></a><a href="https://else.test/team">Team</a>') else '' end, html,
+    case page_id % 7 when 0 then '<p>Ann Lee, CEO of the firm</p>' when 1 then '<p>Managing Director John Doe</p>' when 2 then '<h3>Eva Klein</h3><p>Head of Sales</p>' when 3 then '<p>Bo Field, Manager</p>' else '<p>Our Team, founder</p>' end,
+    case when page_id % 5 = 0 then '' else concat('<a href="mailto:x">info [at] s', k, ' [dot] test</a> p', cast(page_id as string), '.klein@s', k, '.test') end,
+    case page_id % 3 when 0 then '' when 1 then ' +49 (0)30 1234567' else ' +1 415 555 0100' end) as html
+from (select page_id, html, cast(cast(floor(page_id / 4) as bigint) as string) as k from {pages}) t
+"""
+
+_TABLES = ("customer", "nation", "region", "supplier", "part", "orders", "pages", "events")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

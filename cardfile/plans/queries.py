@@ -232,6 +232,16 @@ def harvest_pages(spark, sf_dir):
     return harvest.harvest_pages(_people_pages(spark, sf_dir)).withColumn("emails", S.join_emails("emails"))
 
 
+def harvest_planned(spark, sf_dir):
+    """Sites of several pages, of which their homes and usual paths lead to some."""
+    store = D.on_spark(spark, sf_dir, D.STORE)
+    return harvest.harvest_planned(store.select("site", F.col("site").alias("url")).distinct(), store).withColumn("emails", S.join_emails("emails"))
+
+
+def page_plan_hinted(spark, sf_dir):
+    return harvest.page_plan(D.table(spark, sf_dir, "pages"))
+
+
 def page_plan(spark, sf_dir):
     return harvest.page_plan(D.table(spark, sf_dir, "pages"), hints=())
 
@@ -293,6 +303,6 @@ QUERIES = (
     email_domains, extract_emails, email_validity, extract_phones, html_text, page_links, url_normalise, rank_emails, collect_row_emails, clean_contacts,
     clean_contacts_strict, clean_summary, removed_emails, dedup_companies, mx_summary, verify_contacts, verify_counts, select_contacts, chunk_locations,
     plan_locations, limit_per_group, fill_to_quota, threshold_fallback, niche_relevance, element_search, candidate_skips, merge_sources, merge_sources_greedy, located_elements, niche_matches, build_candidates, resolve_region,
-    infer_pattern, address_from_pattern, render_text, run_summary, location_slugs, contact_preview, people_extract, harvest_pages, page_plan, result_links, place_rows,
+    infer_pattern, address_from_pattern, render_text, run_summary, location_slugs, contact_preview, people_extract, harvest_pages, harvest_planned, page_plan, page_plan_hinted, result_links, place_rows,
     run_locations, run_all_locations, clean_stream, suppress_stream,
 )
