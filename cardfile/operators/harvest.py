@@ -104,6 +104,32 @@ def infer_patterns(emails: DataFrame) -> DataFrame:
     return said.groupBy(F.lower("domain").alias("domain")).agg(F.coalesce(F.min_by("pattern", order), F.lit("{first}.{last}")).alias("pattern"))
 
 
+def _letters(text):
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), 0)
+
+
+def founders_of_pages(pages: DataFrame, companies: DataFrame, reach: int = 200) -> DataFrame:
+    """(company_name, score, person, title): the person of the best rank named near a company's first mention in any page.
+
+    pages: html; companies: company_name, repeats and case ignored, no letter or digit beside a mention.
+    A page and a company meet on the word of its name that fewest pages hold, and the whole
+    name decides. People are looked for in the `reach` characters on either side.
+    """
+    texts = pages.select(S.html_to_text("html").alias("text")).where("text <> ''").distinct()
+    words = texts.select("text", F.explode(F.array_distinct(_letters(F.col("text")))).alias("word"))
+    names = companies.select(F.lower(S.trimmed("company_name")).alias("company_name")).where("company_name <> ''").distinct()
+    asked = names.select("company_name", F.explode(F.array_distinct(_letters(F.col("company_name")))).alias("word"))
+    counts = words.join(asked.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
+    rarest = asked.join(counts, "word", "left").groupBy("company_name").agg(F.min_by("word", F.struct(F.coalesce("n", F.lit(0)), "word")).alias("word"))
+    near = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])"), F.regexp_replace("company_name", r"([^\p{L}\p{N}\s])", r"\\$1"), F.lit(r"(?![\p{L}\p{N}])"))
+    met = words.join(rarest, "word").withColumn("at", F.regexp_instr("text", near)).where("at > 0")
+    start = F.greatest(F.col("at") - reach, F.lit(1))
+    window = F.substr("text", start, F.col("at") - start + F.length("company_name") + reach)
+    people = met.select("company_name", F.explode(S.extract_people(window)).alias("p"))
+    best = people.groupBy("company_name").agg(F.min("p").alias("p"))
+    return best.select("company_name", "p.score", F.col("p.name").alias("person"), "p.title")
+
+
 def result_links(pages: DataFrame, hosts=C.SEARCH_HOSTS) -> DataFrame:
     """(query, location, pos, host, url, name) of saved result pages, one row a host: its least place in a page, then url and name."""
     pairs = [F.arrays_zip(F.regexp_extract_all("html", F.lit(f"(?is){p}"), 1).alias("href"), F.regexp_extract_all("html", F.lit(f"(?is){p}"), 2).alias("title")) for p in (C.RESULT_HEADING, C.RESULT_LINK)]

@@ -2,36 +2,78 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from cardfile.functions import constants as C
 from cardfile.functions import scalars as S
-from cardfile.operators.candidates import build_candidates
-from cardfile.operators.dedup import dedup_companies, limit_per_group
-from cardfile.operators.harvest import harvest_pages
+from cardfile.operators.candidates import build_candidates, resolve_region
+from cardfile.operators.dedup import first_of_each, limit_per_group
+from cardfile.operators.harvest import founders_of_pages, harvest_pages, harvest_planned
+from cardfile.operators.niches import niche_matches
 from cardfile.operators.selection import plan_locations
+from cardfile.operators.spatial import located
+from cardfile.sources.store import cut
+from cardfile.sources.tables import write_contacts
 
 
-def run_all_locations(cities: DataFrame, outputs: DataFrame, elements: DataFrame, others: list[DataFrame], by_host: list[bool], pages: DataFrame, founders: DataFrame | None = None, per_group: int = 500, slices: dict | None = None, **settings) -> DataFrame:
+def placed_elements(elements: DataFrame, due: DataFrame, gazetteer: DataFrame | None = None, niches: DataFrame | None = None, **tables) -> DataFrame:
+    """elements with location and niche: as they have them, or by the region of each due location and the niches that they match.
+
+    due: location. With a gazetteer, elements have lat and lon, and one in several
+    regions is a row of each. With niches, an element is a row of each niche that
+    it matches, strictly or loosely.
+    """
+    rows = elements
+    if gazetteer is not None:
+        rows = located(rows.drop("location"), resolve_region(due, gazetteer))
+    else:
+        rows = rows.join(due, "location", "left_semi")
+    if niches is not None:
+        rows = cut(rows.drop("niche"), "placed")
+        once = rows.dropDuplicates(["ord"]).withColumn("_name", F.try_element_at("tags", F.lit("name")))
+        rows = rows.join(niche_matches(once, niches, name="_name", **tables).select("ord", "niche"), "ord")
+    return rows
+
+
+def run_all_locations(
+    cities: DataFrame, outputs: DataFrame, elements: DataFrame, others: list[DataFrame], by_host: list[bool], pages: DataFrame, founders: DataFrame | None = None, per_group: int = 500, slices: dict | None = None,
+    gazetteer: DataFrame | None = None, niches: DataFrame | None = None, founder_pages: DataFrame | None = None, hops: int = 1, watch: dict[str, Observation] | None = None, **settings,
+) -> DataFrame:
     """(niche, location, the contact columns) of the locations that are due.
 
     cities and outputs: as in plan_locations, slices its skip, limit, k and n.
     elements, others, by_host and settings: as in build_candidates, with niche
-    and location. pages: site, page_ord and html. founders: company_name, person and
-    title found by search; used where a site names nobody. Companies without a
-    valid address are left out, a name and website counts once a location, and
-    a niche and location gives at most per_group rows, those of elements first.
+    and location, or as placed_elements finds these by gazetteer and niches. pages: site,
+    page_ord and html of pages to harvest, or url and html of a store, of which each
+    company's plan takes some (hops as in planned_pages); either way only found companies' pages are read for more than their
+    address. founders: company_name, person and title found by search, or founder_pages:
+    saved result pages (html) to find them in; used where a site names nobody. Companies without a
+    valid address are left out, a name and website counts once a niche and location, and
+    such a group gives at most per_group rows, those of elements first. watch:
+    observations for "found" and "harvested", as run_to_folder sets them.
     """
+    watch = watch or {}
     due = plan_locations(cities, outputs, **(slices or {})).select(F.col("city").alias("location"))
-    here = lambda df: df.join(due, "location", "left_semi")
-    found = build_candidates(here(elements), [here(df) for df in others], by_host, **settings)
-    sites = harvest_pages(pages).where(F.size("emails") > 0)
-    rows = found.withColumn("site", S.url_domain("website")).join(sites, "site")
+    tables = {k: settings[k] for k in ("tags", "terms") if k in settings}
+    here = placed_elements(elements, due, gazetteer, niches, **tables)
+    found = build_candidates(here, [df.join(due, "location", "left_semi") for df in others], by_host, watch=watch.get("found"), **settings)
+    found = cut(found.withColumn("site", S.url_domain("website")), "found")
+    if "page_ord" in pages.columns:
+        sites = harvest_pages(pages.join(found.select("site").distinct(), "site", "left_semi"))
+    else:
+        homes = found.where("site <> ''").groupBy("site").agg(F.min("website").alias("url"))
+        sites = harvest_planned(homes, pages, hops)
+    rows = found.join(sites, "site", "left")
+    if "harvested" in watch:
+        rows = rows.observe(watch["harvested"], F.count("*").alias("companies"), F.count_if(F.coalesce(F.size("emails"), F.lit(0)) <= 0).alias("no_valid_email"))
+    rows = rows.where(F.size("emails") > 0)
+    if founders is None and founder_pages is not None:
+        founders = founders_of_pages(founder_pages, found.select(F.col("name").alias("company_name")))
     if founders is not None:
         person = F.struct(S.title_rank("title").alias("rank"), "person", "title")
-        best = founders.groupBy(F.lower(S.trimmed("company_name")).alias("name")).agg(F.min(person).alias("searched"))
-        rows = rows.join(best, "name", "left")
+        best = founders.groupBy(F.lower(S.trimmed("company_name")).alias("_name")).agg(F.min(person).alias("searched"))
+        rows = rows.join(best, F.lower(S.trimmed("name")) == F.col("_name"), "left")
     else:
         rows = rows.withColumn("searched", F.lit(None).cast("struct<rank:int,person:string,title:string>"))
     own = F.col("contact_person") != ""
@@ -43,6 +85,23 @@ def run_all_locations(cities: DataFrame, outputs: DataFrame, elements: DataFrame
         F.when(by_search, F.col("searched.person")).otherwise(F.col("contact_person")).alias("contact_person"), F.when(by_search, F.col("searched.title")).otherwise(F.col("contact_title")).alias("contact_title"),
         "contact_email", S.founder_source(own | by_search, own).alias("founder_source"), S.join_emails("emails").alias("all_emails_found"), guess.alias("contact_email_inferred"),
     )
-    once = dedup_companies(rows.withColumn("company_name", F.concat_ws("\x01", "niche", "location", "company_name")), ["priority", "ord"])
-    once = once.withColumn("company_name", F.substring_index("company_name", "\x01", -1))
+    keys = ["niche", "location", F.lower(S.trimmed("company_name")).alias("_name"), F.lower(S.trimmed("website")).alias("_site")]
+    once = first_of_each(rows, keys, ["priority", "ord"])
     return limit_per_group(once, ["niche", "location"], per_group, ["priority", "ord"]).select("niche", "location", *C.CONTACT_COLUMNS, "contact_email_inferred")
+
+
+def run_to_folder(path: str, *inputs, **settings) -> dict:
+    """Writes what run_all_locations gives for these inputs, a folder for each niche and location, and returns the run's summary.
+
+    rows, with_emails and total_emails of what is written, and skipped: elements
+    without a name, without a website or not relevant, and companies without a valid address. All
+    are observed in the passes that write, none by a count of its own. Other
+    folders under path stay as they are.
+    """
+    watch = {k: Observation(k) for k in ("found", "harvested", "written")}
+    rows = run_all_locations(*inputs, watch=watch, **settings)
+    listed = F.when(F.col("all_emails_found") == "", 0).otherwise(F.size(F.split("all_emails_found", "; ")))
+    watched = rows.observe(watch["written"], F.count("*").alias("rows"), F.count_if(F.col("all_emails_found") != "").alias("with_emails"), F.coalesce(F.sum(listed), F.lit(0)).alias("total_emails"))
+    write_contacts(watched, path)
+    found, harvested = watch["found"].get, watch["harvested"].get
+    return watch["written"].get | {"skipped": {"no name": found["no_name"], "no website": found["no_website"], "not relevant": found["not_relevant"], "no valid email": harvested["no_valid_email"]}}

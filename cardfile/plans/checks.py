@@ -211,17 +211,39 @@ def _candidates(target: int, relaxed_min: int, catch_all_min: int) -> str:
     select niche, location, id, name, website, source, case source when 'HERE' then 1 when 'Google' then 2 else 0 end as priority from (select * from both_h union all select niche, location, id, name, website, source, host from kept_g) t"""
 
 
-def _result_links() -> str:
+def _links_of(saved: str) -> str:
+    """CTEs up to links (query, location, pos, host, url, name) of saved, a CTE with query, location and html."""
     quoted = lambda p: "'" + p.replace("'", "''") + "'"
     found = lambda p, n: f"regexp_extract_all(html, {quoted(p)}, {n}, 'is')"
+    return rf"""{saved},
+    lists as (select query, location, {found(C.RESULT_HEADING, 1)} || {found(C.RESULT_LINK, 1)} as h, {found(C.RESULT_HEADING, 2)} || {found(C.RESULT_LINK, 2)} as t from saved),
+    spread as (select query, location, unnest(range(len(h))) as pos, unnest(h) as href, unnest(t) as title from lists),
+    named as (select query, location, pos, case when contains(href, 'uddg=') then url_decode(regexp_extract(href, 'uddg=([^&#]*)', 1)) else href end as url, trim(replace(regexp_replace(title, '<[^>]+>', '', 'g'), '&amp;', '&')) as name from spread),
+    hosted as (select *, {_HOST.format('url')} as host from named),
+    links as (select query, location, pos::int as pos, host, url, name from hosted where host <> '' and not regexp_matches(host, '(^|\.)({'|'.join(C.SEARCH_HOSTS).replace('.', '[.]')})$')
+    qualify row_number() over (partition by query, location, host order by pos, url, name) = 1)"""
+
+
+def _result_links() -> str:
     page = "concat('<h3><a href=\"', url, '\">A &amp; B ', cast(page_id as varchar), '</a></h3><h3><a href=\"https://www.yelp.com/x\">no</a></h3><a class=\"result__a\" href=\"//r.test/?uddg=https%3A%2F%2Fother', cast(page_id % 50 as varchar), '.test%2Fp\">Other</a>', html)"
-    return rf"""with saved as (select cast(page_id % 20 as varchar) as location, {page} as html from pages),
-    lists as (select location, {found(C.RESULT_HEADING, 1)} || {found(C.RESULT_LINK, 1)} as h, {found(C.RESULT_HEADING, 2)} || {found(C.RESULT_LINK, 2)} as t from saved),
-    spread as (select location, unnest(range(len(h))) as pos, unnest(h) as href, unnest(t) as title from lists),
-    named as (select location, pos, case when contains(href, 'uddg=') then url_decode(regexp_extract(href, 'uddg=([^&#]*)', 1)) else href end as url, trim(replace(regexp_replace(title, '<[^>]+>', '', 'g'), '&amp;', '&')) as name from spread),
-    hosted as (select *, {_HOST.format('url')} as host from named)
-    select 'it' as query, location, pos::int as pos, host, url, name from hosted where host <> '' and not regexp_matches(host, '(^|\.)({'|'.join(C.SEARCH_HOSTS).replace('.', '[.]')})$')
-    qualify row_number() over (partition by location, host order by pos, url, name) = 1"""
+    return f"with {_links_of(f'saved as (select {chr(39)}it{chr(39)} as query, cast(page_id % 20 as varchar) as location, {page} as html from pages)')} select * from links"
+
+
+def _second_search(least: int) -> str:
+    rows = lambda text, source, mark: f"(with {_links_of(f'saved as ({D.as_sql(text)})')} select query as niche, location, '{mark}|' || lpad(pos::varchar, 6, '0') || '|' || host as id, name, url as website, '{source}' as source from links)"
+    return f"""with first as {rows(D.RESULT_PAGES, "Google", "g")}, second as {rows(D.SECOND_PAGES, "DuckDuckGo", "d")}
+    select * from first union all select * from second s where (select count(*) from first f where f.niche = s.niche and f.location = s.location) < {least}"""
+
+
+def _founders(mentions: str, firms: str, reach: int = 200) -> str:
+    """The best person in the characters around each company's first mention in a page, all pages with all companies."""
+    text = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<script[^>]*>.*?</script>', '', 'gis'), '<style[^>]*>.*?</style>', '', 'gis'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))"
+    return rf"""with firms as (select distinct lower(trim(company_name)) as company_name from ({D.as_sql(firms)}) t), told as (select distinct {text} as text from ({D.as_sql(mentions)}) t),
+    met as (select company_name, text, regexp_extract(lower(text), '^(.*?(?:^|[^\pL\pN]))' || company_name || '($|[^\pL\pN])', 1) as x from told join firms on regexp_matches(lower(text), '(^|[^\pL\pN])' || company_name || '($|[^\pL\pN])')),
+    placed as (select company_name, text, length(x) + 1 as place from met),
+    bodies as (select company_name as site, row_number() over () as n, substr(text, greatest(place - {reach}, 1), place - greatest(place - {reach}, 1) + length(company_name) + {reach}) as html from placed),
+    {_people("site, n")}
+    select site as company_name, score::int as score, name as person, title from people qualify row_number() over (partition by site order by score, name, title) = 1"""
 
 
 def _page_plan(most: int, hints=()) -> str:
@@ -289,30 +311,51 @@ def _harvest(bodies: str = _PEOPLE_PAGES, key: str = "site") -> str:
 _PAGE_KEY = "lower(regexp_extract({0}, '^https?://([^/?#]+)', 1)) || regexp_replace(regexp_extract({0}, '^https?://[^/?#]+([^#]*)', 1), '/+$', '')"
 
 
-def _planned() -> str:
+def _planned(store: str = D.STORE) -> str:
     """The stored pages of each site's plan, from its home's links."""
     plan = _page_plan(16, C.CONTACT_HINTS).replace("from pages", "from homes").replace("with links", "links", 1)
     head, last = plan.rsplit("\n    select page_id", 1)
-    return f"""store as ({D.as_sql(D.STORE)}), homes as (select site as page_id, concat('https://', site, '/') as url, html from store where page_id % 4 = 0), {head},
+    return f"""store as ({D.as_sql(store)}), homes as (select site as page_id, concat('https://', site, '/') as url, html from store where page_id % 4 = 0), {head},
     planned as (select page_id{last}),
     keyed as (select page_id as site, {_PAGE_KEY.format('url')} as key, min(rank) as rank from planned group by 1, 2),
     bodies as (select k.site, k.rank - 1 as page_ord, s.html from keyed k join store s on {_PAGE_KEY.format('s.url')} = k.key)"""
 
 
-def _all_locations() -> str:
-    sites = _harvest().replace("concat('site', cast(page_id as varchar), '.test') as site", "concat('p', cast(page_id as varchar), '.test') as site")
+def _contact_rows(candidates: str, sites: str, founders: str, due: str) -> str:
+    """Contact rows of candidates in the locations for which `due` holds; founders: name, person and title."""
     searched = "h.contact_person = '' and f.person is not null"
-    return f"""with founders as (select lower(trim(p_name)) as name, min(case when p_partkey % 2 = 0 then 'Mia Stone' else 'Mia Field' end) as person from part group by 1),
+    return f"""with founders as ({founders}),
     found as (select c.niche, c.location, c.id, c.priority, c.name as company_name, c.website, c.source, h.phone_number, case when {searched} then f.person else h.contact_person end as contact_person,
-      case when {searched} then 'Founder' else h.contact_title end as contact_title, h.contact_email, case when {searched} then 'search' else h.founder_source end as founder_source, h.emails as all_emails_found,
+      case when {searched} then f.title else h.contact_title end as contact_title, h.contact_email, case when {searched} then 'search' else h.founder_source end as founder_source, h.emails as all_emails_found,
       case when {searched} then lower(replace(f.person, ' ', '.')) || '@' || h.site else h.contact_email_inferred end as contact_email_inferred
-      from ({_candidates(12, 6, 8)}) c join ({sites}) h on h.site = {_HOST.format('c.website')} left join founders f on f.name = c.name
-      where h.emails <> '' and c.location not in (select concat('city', cast(s_suppkey * 7 + 3 as varchar)) from supplier)),
+      from ({candidates}) c join ({sites}) h on h.site = {_HOST.format('c.website')} left join founders f on f.name = lower(trim(c.name)) where h.emails <> '' and {due}),
     once as (select * from found qualify row_number() over (partition by niche, location, lower(trim(company_name)), lower(trim(website)) order by priority, id) = 1)
     select niche, location, company_name, website, source, phone_number, contact_person, contact_title, contact_email, founder_source, all_emails_found, contact_email_inferred from once
     qualify row_number() over (partition by niche, location order by priority, id) <= 20"""
 
 
+def _all_locations() -> str:
+    sites = _harvest().replace("concat('site', cast(page_id as varchar), '.test') as site", "concat('p', cast(page_id as varchar), '.test') as site")
+    founders = "select lower(trim(p_name)) as name, min(case when p_partkey % 2 = 0 then 'Mia Stone' else 'Mia Field' end) as person, 'Founder' as title from part group by 1"
+    return _contact_rows(_candidates(12, 6, 8), sites, founders, "c.location not in (select concat('city', cast(s_suppkey * 7 + 3 as varchar)) from supplier)")
+
+
+def _all_located() -> str:
+    """As above, with elements by all points, boxes and niches, pages by plan, and founders by all pages and names."""
+    due = """(select city from (select concat('Place ', cast(c_custkey as varchar)) as city, row_number() over (order by c_custkey) - 1 as nth from customer) t
+      where nth % 20 = 0 and city not in (select concat('Place ', cast(s_suppkey * 40 as varchar)) from supplier))"""
+    placed = f"""elements as (with base as ({D.as_sql(D.ELEMENTS)}), regions as ({_REGIONS}), points as ({D.as_sql(D.POINTS)}),
+      every as (select b.* exclude (niche, location, lat, lon), r.location, n.niche from base b join points p using (ord) join regions r on p.lat between r.south and r.north and p.lon between r.west and r.east,
+        (values ('it'), ('bakery'), ('data, cloud'), ('fitness gym')) n(niche) where r.location in {due})
+      select * from every where {_TAGGED} or {_RELEVANT} or {_RELAXED})"""
+    candidates = _candidates(12, 6, 8).replace(_ELEMENTS, placed)
+    for k, text in D.HITS.items():
+        candidates = candidates.replace(D.as_sql(text), D.as_sql(D.PLACE_HITS[k]))
+    names = f"select name as company_name from ({D.as_sql(D.ELEMENTS)}) e union all " + " union all ".join(f"select name from ({D.as_sql(text)}) t" for text in D.HITS.values())
+    founders = f"select company_name as name, person, title from ({_founders(D.NAME_MENTIONS, names)}) t"
+    return _contact_rows(candidates, "with " + _harvest(_planned(D.ELEMENT_STORE), "site, page_ord").removeprefix("with "), founders, f"c.location in {due}")
+
+
 def all_sql() -> dict[str, str]:
     phone = r"regexp_replace(p, '[\s\-/().,]', '', 'g')"
     codes = "(values " + ", ".join(f"('{k}', {v})" for k, v in C.COUNTRY_DIGITS.items()) + ")"
@@ -391,6 +434,9 @@ def all_sql() -> dict[str, str]:
         "place_rows": """select (p_partkey % 1000)::varchar as id, trim(p_name) as name, concat('https://p', cast(p_partkey as varchar), '.test') as website, cast(p_partkey as varchar) as phone from part
             where p_partkey % 9 <> 0 and trim(p_name) <> '' qualify row_number() over (partition by p_partkey % 1000 order by trim(p_name), website, phone) = 1""",
         "run_all_locations": _all_locations(),
+        "run_all_located": _all_located(),
+        "founders_of_pages": _founders(D.MENTIONS, D.FIRMS),
+        "second_search": _second_search(6),
         "run_locations": f"""with {_CONTACTS}, cleaned as ({_clean(False).replace("with " + _CONTACTS + ",", "with")}),
             once as (select c.ord, c.niche, c.location, c.source, c.company_name, d.contact_email from cleaned d join contacts c on c.ord = d.ord qualify row_number() over (partition by lower(trim(c.company_name)), lower(trim(c.website)) order by c.ord) = 1)
             select niche, location, ord, company_name, contact_email from once where location not in (select location from ({D.as_sql(D.NATION_OUTPUTS)}) t) qualify row_number() over (partition by niche, location order by source, ord) <= 20""",

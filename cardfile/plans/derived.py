@@ -116,6 +116,35 @@ select page_id, concat('s', k, '.test') as site,
 from (select page_id, html, cast(cast(floor(page_id / 4) as bigint) as string) as k from {pages}) t
 """
 
+#: Saved result pages that name a company and people near it, or none.
+MENTIONS = """
+select page_id, concat('<p>', case page_id % 4 when 0 then concat('News: firm ', k, ' LTD (founder Mia Stone, Founder) grows.') when 1 then concat('Bo Field, CEO of Firm ', k, ' Ltd, and Ann Lee, Manager')
+  when 2 then concat('XFirm ', k, ' Ltd, John Doe, CEO') else concat('Firm ', k, ' Ltd opens. ', 'Nobody is named.') end, '</p>', html) as html
+from (select page_id, html, cast(cast(floor(page_id / 3) as bigint) as string) as k from {pages}) t
+"""
+NAME_MENTIONS = """
+select page_id, concat('<p>', case page_id % 3 when 0 then concat('Mia Stone, Founder of Data ', p_name, ' Systems') when 1 then concat('it ', p_name, ': Bo Field, CEO') else concat(p_name, ' BAKERY. Ann Lee, Manager') end, '</p>', html) as html
+from {pages} join {part} on page_id = p_partkey
+"""
+FIRMS = "select concat('Firm ', cast(s_suppkey as string), ' Ltd') as company_name from {supplier}"
+
+#: The stored pages of the elements' own sites.
+ELEMENT_STORE = STORE.replace("concat('s', k", "concat('p', k").replace("//S'", "//P'").replace("//s'", "//p'").replace("[at] s'", "[at] p'").replace(".klein@s'", ".klein@p'")
+#: Elements of other sources, by the places of the gazetteer.
+PLACE_HITS = {k: text.replace("concat('city'", "concat('Place '") for k, text in HITS.items()}
+
+#: Two searches' result pages, by niche and location.
+RESULT_PAGES = """
+select case page_id % 2 when 0 then 'it' else 'bakery' end as query, concat('city', cast(cast(floor(page_id / 8) as bigint) as string)) as location, page_id,
+  concat('<h3><a href="https://a', cast(page_id as string), '.test/x">A &amp; B ', cast(page_id as string), '</a></h3>', case when page_id % 8 < 4 then concat('<h3><a href="https://more', cast(page_id as string), '.test">More</a></h3>') else '' end, html) as html
+from {pages}
+"""
+SECOND_PAGES = """
+select case page_id % 2 when 0 then 'it' else 'bakery' end as query, concat('city', cast(cast(floor(page_id / 8) as bigint) as string)) as location, page_id,
+  concat('<a class="result__a" href="//r.test/?uddg=https%3A%2F%2Fother', cast(page_id as string), '.test%2Fp">Other ', cast(page_id as string), '</a>', html) as html
+from {pages}
+"""
+
 _TABLES = ("customer", "nation", "region", "supplier", "part", "orders", "pages", "events")
 
 

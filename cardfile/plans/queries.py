@@ -279,6 +279,30 @@ def run_all_locations(spark, sf_dir):
     return locations.run_all_locations(cities, outputs, elements, others, [False, True], pages, founders, per_group=20, target=12, relaxed_min=6, catch_all_min=8)
 
 
+def run_all_located(spark, sf_dir):
+    """Contact rows of every twentieth place: elements by their coordinates and what they are, pages by each company's plan, founders from saved result pages."""
+    places, points = D.on_spark(spark, sf_dir, D.GAZETTEER), D.on_spark(spark, sf_dir, D.POINTS).select("ord", "lat", "lon")
+    elements = _elements(spark, sf_dir).drop("niche", "location", "lat", "lon").join(points, "ord")
+    cities = D.on_spark(spark, sf_dir, "select c_custkey as ord, concat('Place ', cast(c_custkey as string)) as city from {customer}")
+    outputs = D.on_spark(spark, sf_dir, "select distinct concat('Place ', cast(s_suppkey * 40 as string)) as location from {supplier}")
+    asked = spark.createDataFrame([("it",), ("bakery",), ("data, cloud",), ("fitness gym",)], "niche string")
+    others, mentions = [D.on_spark(spark, sf_dir, text) for text in D.PLACE_HITS.values()], D.on_spark(spark, sf_dir, D.NAME_MENTIONS)
+    return locations.run_all_locations(
+        cities, outputs, elements, others, [False, True], D.on_spark(spark, sf_dir, D.ELEMENT_STORE), per_group=20, slices={"k": 1, "n": 20}, gazetteer=places, niches=asked, founder_pages=mentions,
+        target=12, relaxed_min=6, catch_all_min=8,
+    )
+
+
+def founders_of_pages(spark, sf_dir):
+    return harvest.founders_of_pages(D.on_spark(spark, sf_dir, D.MENTIONS), D.on_spark(spark, sf_dir, D.FIRMS))
+
+
+def second_search(spark, sf_dir):
+    """Companies of a first search's pages, and of a second one's where the first gives few."""
+    first, second = (candidates.linked_source(harvest.result_links(D.on_spark(spark, sf_dir, text)), name, mark) for text, name, mark in ((D.RESULT_PAGES, "Google", "g"), (D.SECOND_PAGES, "DuckDuckGo", "d")))
+    return first.unionByName(candidates.second_search(first, second, least=6)).select("niche", "location", "id", "name", "website", "source")
+
+
 def clean_stream(spark, sf_dir):
     """Contacts written as files, cleaned by the stream, and read again."""
     at = new_path(spark, "clean")
@@ -304,5 +328,5 @@ QUERIES = (
     clean_contacts_strict, clean_summary, removed_emails, dedup_companies, mx_summary, verify_contacts, verify_counts, select_contacts, chunk_locations,
     plan_locations, limit_per_group, fill_to_quota, threshold_fallback, niche_relevance, element_search, candidate_skips, merge_sources, merge_sources_greedy, located_elements, niche_matches, build_candidates, resolve_region,
     infer_pattern, address_from_pattern, render_text, run_summary, location_slugs, contact_preview, people_extract, harvest_pages, harvest_planned, page_plan, page_plan_hinted, result_links, place_rows,
-    run_locations, run_all_locations, clean_stream, suppress_stream,
+    run_locations, run_all_locations, run_all_located, founders_of_pages, second_search, clean_stream, suppress_stream,
 )

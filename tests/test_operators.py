@@ -84,8 +84,8 @@ def test_all_locations_give_contact_rows(spark):
     pages = spark.createDataFrame(pages, "site string, page_ord int, html string")
     founders = spark.createDataFrame([("IT Two", "Mia Stone", "Founder"), ("IT Two", "Bo Field", "Manager"), ("IT One", "No One", "CEO")], "company_name string, person string, title string")
     rows = {r.company_name: r for r in run_all_locations(cities, outputs, elements, [hits], [False], pages, founders).collect()}
-    assert set(rows) == {"it one", "it two", "other"} and {r.location for r in rows.values()} == {"A"}
-    one, two, other = rows["it one"], rows["it two"], rows["other"]
+    assert set(rows) == {"IT One", "IT Two", "Other"} and {r.location for r in rows.values()} == {"A"}
+    one, two, other = rows["IT One"], rows["IT Two"], rows["Other"]
     assert (one.contact_person, one.founder_source, one.source, one.contact_email) == ("Ann Lee", "website", "OSM", "info@one.test")
     assert (two.contact_person, two.contact_title, two.founder_source, two.contact_email_inferred) == ("Mia Stone", "Founder", "search", "mia.stone@two.test")
     assert (other.source, other.founder_source, other.all_emails_found) == ("HERE", "none", "x@o.test")
