@@ -239,7 +239,8 @@ def _founders(mentions: str, firms: str, reach: int = 200) -> str:
     """The best person in the characters around each company's first mention in a page, all pages with all companies."""
     text = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<script[^>]*>.*?</script>', '', 'gis'), '<style[^>]*>.*?</style>', '', 'gis'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))"
     return rf"""with firms as (select distinct lower(trim(company_name)) as company_name from ({D.as_sql(firms)}) t), told as (select distinct {text} as text from ({D.as_sql(mentions)}) t),
-    met as (select company_name, text, regexp_extract(lower(text), '^(.*?(?:^|[^\pL\pN]))' || company_name || '($|[^\pL\pN])', 1) as x from told join firms on regexp_matches(lower(text), '(^|[^\pL\pN])' || company_name || '($|[^\pL\pN])')),
+    lowered as materialized (select text, lower(text) as low from told), held as materialized (select company_name, text, low from lowered join firms on contains(low, company_name)),
+    met as (select company_name, text, regexp_extract(low, '^(.*?(?:^|[^\pL\pN]))' || company_name || '($|[^\pL\pN])', 1) as x from held where regexp_matches(low, '(^|[^\pL\pN])' || company_name || '($|[^\pL\pN])')),
     placed as (select company_name, text, length(x) + 1 as place from met),
     bodies as (select company_name as site, row_number() over () as n, substr(text, greatest(place - {reach}, 1), place - greatest(place - {reach}, 1) + length(company_name) + {reach}) as html from placed),
     {_people("site, n")}
