@@ -8,9 +8,10 @@ once a nearby term t is known is, in bits over the distinct texts of the corpus,
     left(e | t) = -log2 p(e | t),   p(e | t) = (n(e, t) + PRIOR * n(e) / N) / (n(t) + PRIOR)
 
 n(e, t) counts texts where t stands within REACH terms of e, n(t) all texts that
-hold t, N all texts. The term tells e's own information less that. Terms that
-leave at most `REMOVE` bits are removed from the documents where they stand near
-e, those that leave at most `GENERALISE` bits are replaced by their kind.
+hold t, N all texts. The term tells e's own information less that. Of terms that
+stand near e in `TEXTS` distinct texts at least, those that leave at most `REMOVE`
+bits are removed from the documents where they do, and those that leave at most
+`GENERALISE` bits are replaced by what kind of word they are.
 """
 
 from __future__ import annotations
@@ -32,8 +33,10 @@ from cardfile.sources.store import cut, text_batches
 KINDS = ("email", "ip", "card", "phone")
 #: The method's own kinds of span, after those of the patterns.
 TERM_KINDS = ("remove", "generalise")
-#: Bits left, at most: with PRIOR 1, one text with both and no other with the term leaves 1, three leave 0.42.
-REMOVE = 0.5
+#: Distinct texts that must have a term near an entity: a word of a single text says nothing of a habit.
+TEXTS = 2
+#: Bits left, at most: with PRIOR 1, two texts with both and no other with the term leave 0.58, two of three leave 1.
+REMOVE = 0.6
 GENERALISE = 1.0
 #: A term must also tell so many bits: of an entity that most texts hold little is left in any case.
 TELLS = 2.0
@@ -153,7 +156,7 @@ def near_terms(text: str, spans: list[Span], reach: int = REACH) -> set[tuple[st
     return out
 
 
-def found_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", remove: float = REMOVE, generalise: float = GENERALISE, tells: float = TELLS, prior: float = PRIOR, reach: int = REACH, row_col: str | None = None, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
+def found_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", remove: float = REMOVE, generalise: float = GENERALISE, tells: float = TELLS, prior: float = PRIOR, texts: int = TEXTS, reach: int = REACH, row_col: str | None = None, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
     """Per row of docs: id_col, base and spans (arrays of struct kind, start, end), and row_col if given.
 
     base has the patterns' spans; spans has those and then the method's, of
@@ -195,7 +198,7 @@ def found_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     met = cut(held.dropDuplicates(["print"]).select("print", "text", "flat").mapInPandas(meet, "print long, entity string, term string"), "met")
     often = met.where("term is null").groupBy("entity").agg(F.count("*").alias("n_entity"))
-    pairs = cut(met.where("term is not null").groupBy("entity", "term").agg(F.count("*").alias("n_both")), "pairs")
+    pairs = cut(met.where("term is not null").groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= texts), "pairs")
 
     def broadcast(terms: DataFrame):
         """The hashes of the terms in order, 8 bytes each, as a broadcast; None if there are too many."""
@@ -214,7 +217,7 @@ def found_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         return found
 
-    spared = (1 + prior) * 2.0**generalise - prior
+    spared = (texts + prior) * 2.0**generalise - prior
 
     def at_least(known) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
         def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -288,6 +291,13 @@ def listed(spans: str) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def word_kind(term: str) -> str:
+    """What stands for a term that is generalised: a number, a code of letters and digits, a name (with a capital) or a word."""
+    if any(c.isdigit() for c in term):
+        return "[NUMBER]" if term.isdigit() else "[CODE]"
+    return "[NAME]" if term[:1].isupper() else "[WORD]"
+
+
 def redacted(text: str | None, spans: list[Span]) -> str | None:
     """The text without its spans; of overlapping ones the first, then the longest, decides what stands there."""
     if not spans:
@@ -297,7 +307,7 @@ def redacted(text: str | None, spans: list[Span]) -> str | None:
         if b <= done:
             continue
         if a >= done:
-            out += [text[done:a], {"remove": "", "generalise": "[TERM]"}.get(kind, f"[{kind.upper()}]")]
+            out += [text[done:a], "" if kind == "remove" else word_kind(text[a:b]) if kind == "generalise" else f"[{kind.upper()}]"]
         done = b
     return "".join(out) + text[done:]
 
@@ -306,7 +316,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """docs, every row and column kept, with the spans of each text replaced.
 
     Patterns become [EMAIL], [IP], [CARD] or [PHONE]; disclosing terms are
-    removed or become [TERM]. Null texts stay null, whole texts are rewritten
+    removed or become [NUMBER], [CODE], [NAME] or [WORD]. Null texts stay null, whole texts are rewritten
     however long, equal texts alike, and columns may have any names.
     """
     kept = cut(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "rows")

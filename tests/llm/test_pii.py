@@ -28,26 +28,30 @@ def disclosing(texts):
         for e, t in met:
             share = n_entity[e] / len(texts)
             p = (both[e, t] + share) / (n_term[t] + 1)
-            if -math.log2(p) <= 1 and math.log2(p / share) >= 2:
-                own[t] = own.get(t, False) or -math.log2(p) <= 0.5
+            if both[e, t] >= 2 and -math.log2(p) <= 1 + 1e-9 and math.log2(p / share) >= 2:
+                own[t] = own.get(t, False) or -math.log2(p) <= 0.6
         found[text] = own
     return found
 
 
+PLANTED = ["Plan A1 of Zor met boss@firm.test", "plan a1 by zor met boss@firm.test", "a1 met nobody", "zor zor boss@firm.test", "Ulm 77 x77 +1 555 1234567 Ulm", "ulm 77 x77 Ulm +1 555 1239999", "x77 77 ulm stands elsewhere"]
+
+
 @pytest.mark.parametrize("broadcast_terms", [pii.BROADCAST_TERMS, 0])
 def test_method_is_exact(spark, sf_dir, broadcast_terms):
-    rows = pq.read_table(f"{sf_dir}/documents.parquet").to_pandas()
-    want = disclosing(rows.text)
-    got = pii.found_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"), broadcast_terms=broadcast_terms).toPandas().set_index("doc_id")
-    n = 0
-    for i, text in zip(rows.doc_id, rows.text):
+    texts = [*pq.read_table(f"{sf_dir}/documents.parquet").to_pandas().text, *PLANTED, *PLANTED[:2]]
+    want = disclosing(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = pii.found_spans(docs, broadcast_terms=broadcast_terms).toPandas().set_index("doc_id")
+    kinds = Counter()
+    for i, text in enumerate(texts):
         base = pii.base_spans(text)
         own = want.get(text or "", {})
         spans = sorted((not own[t], a, b) for t, a, b in pii.term_spans(text or "", base) if t in own)
-        n += len(spans)
+        kinds.update("generalise" if late else "remove" for late, _, _ in spans)
         assert [tuple(s) for s in got.spans[i]] == base + [("generalise" if late else "remove", a, b) for late, a, b in spans]
         assert base or not spans
-    assert n > 10
+    assert kinds["remove"] and kinds["generalise"]
 
 
 def texts(n):
@@ -62,7 +66,7 @@ def test_more_evidence_removes_and_less_generalises(spark, broadcast_terms):
     rows = list(enumerate([*texts(4), *OTHERS, "a rareword me@other.test", *texts(1) * 1000]))
     clean = pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string"), broadcast_terms=broadcast_terms)
     found = {r.doc_id: r.text for r in clean.collect()}
-    assert all(found[i] == t for i, t in rows[4:204]) and found[204] == "a [TERM] [EMAIL]"
+    assert all(found[i] == t for i, t in rows[4:204]) and found[204] == "a rareword [EMAIL]"
     assert sum("[EMAIL]" in t and "zorblax" not in t and "about" in t for t in found.values()) == 1004
 
 
@@ -72,3 +76,9 @@ def test_a_long_list_of_contacts_gives_bounded_pairs(spark):
     assert len(pii.near_terms(text, spans)) <= 4 * pii.REACH * len(spans)
     found = pii.found_spans(spark.createDataFrame([(1, text), (2, "person1 of office1")], "doc_id long, text string")).collect()
     assert len(next(r for r in found if r.doc_id == 1).base) == 10_000
+
+
+def test_a_generalised_term_keeps_its_kind():
+    text = "Zorba sold 1987 units of a5b to zorba"
+    spans = [("generalise", 0, 5), ("generalise", 11, 15), ("generalise", 25, 28), ("generalise", 32, 37)]
+    assert pii.redacted(text, spans) == "[NAME] sold [NUMBER] units of [CODE] to [WORD]"
