@@ -426,6 +426,14 @@ def all_sql() -> dict[str, str]:
         "contact_preview": f"with {_CONTACTS} select ord, case when length(company_name) > 24 then concat(left(company_name, 22), '..') else company_name end as company_name, case when length(all_emails_found) > 24 then concat(left(all_emails_found, 22), '..') else all_emails_found end as all_emails_found from contacts order by ord limit 10",
         "clean_stream": _clean(False),
         "suppress_stream": f"select distinct concat('info@co', cast(user_id * 3 as varchar), '.test') as email from events where concat('info@co', cast(user_id * 3 as varchar), '.test') not in (select lower(recipient_email) from ({D.as_sql(D.LOG)}) t)",
+        "clean_file_stream": "select company_name, contact_email, all_emails_found from ("
+        + _clean(False).replace(_CONTACTS, _CONTACTS.replace("contacts as (", "rows_of as (", 1) + ", contacts as (select * replace (case when ord % 2 = 0 then contact_email else '' end as contact_email) from rows_of)", 1)
+        + ") t",
+        "suppress_expiring": """with recursive told as (select distinct 'info@co' || user_id || '.test' as email_key, ts, event_id % 10 = 3 and day(ts) // 8 < 2 as late from events),
+            chain as (select email_key, min(ts) as ts from told where not late group by 1 union all
+              select c.email_key, min(t.ts) from chain c join told t on t.email_key = c.email_key and not t.late and t.ts >= c.ts + interval 1 day group by c.email_key, c.ts)
+            select email_key, epoch_us(ts) as at, false as late from chain union all select email_key, epoch_us(ts), true from told where late""",
+        "processed_log_stream": "select concat('info@co', cast(o_custkey as varchar), '.test') as recipient_email, count(*) as n from orders group by 1",
         "people_extract": f"with {_PEOPLE_PAGES}, {_people()} select site, (row_number() over (partition by site order by score, name, title) - 1)::int as pos, score::int as score, name, title from people",
         "harvest_pages": _harvest(),
         "harvest_planned": _harvest(_planned(), "site, page_ord"),

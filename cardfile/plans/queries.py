@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cardfile.functions import constants as C
 from cardfile.functions import scalars as S
 from cardfile.operators import candidates, clean, dedup, harvest, locations, niches, selection, spatial, verify
 from cardfile.plans import derived as D
@@ -323,10 +324,44 @@ def suppress_stream(spark, sf_dir):
     return spark.read.schema(T.StructType([T.StructField("email", T.StringType())])).parquet(f"{at}/out")
 
 
+def clean_file_stream(spark, sf_dir):
+    """Contacts as CSV files of two layouts, arriving one after the other, cleaned by the stream and read again."""
+    at, rows = new_path(spark, "layouts"), _contacts(spark, sf_dir)
+    new = rows.where("ord % 2 = 0").select(*[F.col(n).alias(h) for n, h in C.CONTACT_COLUMNS.items() if n in rows.columns])
+    old = rows.where("ord % 2 = 1").select(F.col("company_name").alias("name"), "website", F.col("all_emails_found").alias("emails"))
+    for part in (new, old):
+        part.write.mode("append").option("header", True).option("escape", '"').csv(f"{at}/in")
+        streams.contact_file_stream(spark, f"{at}/in", f"{at}/out", f"{at}/state").awaitTermination()
+    return spark.read.parquet(f"{at}/out").select("company_name", "contact_email", "all_emails_found")
+
+
+def suppress_expiring(spark, sf_dir):
+    """Addresses of events by the week and then some old ones: kept once a day of event time, the old ones apart."""
+    at = new_path(spark, "expiring")
+    events = D.table(spark, sf_dir, "events").select("ts", "event_id", F.concat(F.lit("Info@co"), F.col("user_id").cast("string"), F.lit(".test ")).alias("email"), F.expr("dayofmonth(ts) div 8").alias("week"))
+    delayed = F.expr("event_id % 10 = 3 and week < 2")
+    for part in [~delayed & (F.col("week") == i) for i in range(4)] + [delayed]:
+        events.where(part).select("ts", "email").write.mode("append").parquet(f"{at}/in")
+        stream = streams.contact_stream(spark, f"{at}/in", "ts timestamp, email string", files_per_trigger=10_000)
+        streams.suppress_with_expiry_stream(stream, f"{at}/out", f"{at}/state").awaitTermination()
+    both = [spark.read.parquet(f"{at}/out/{kind}").select("email_key", F.unix_micros("at").alias("at"), F.lit(kind == "late").alias("late")) for kind in ("kept", "late")]
+    return both[0].unionByName(both[1])
+
+
+def processed_log_stream(spark, sf_dir):
+    """Orders' customers appended to a processed log by a stream."""
+    at = new_path(spark, "log")
+    orders = D.table(spark, sf_dir, "orders").select(F.col("o_orderdate").alias("ts"), F.concat(F.lit("info@co"), F.col("o_custkey").cast("string"), F.lit(".test")).alias("recipient_email"))
+    orders.write.parquet(f"{at}/in")
+    stream = streams.contact_stream(spark, f"{at}/in", orders.schema, files_per_trigger=2)
+    streams.log_stream(stream, f"{at}/log", f"{at}/state").awaitTermination()
+    return spark.read.parquet(f"{at}/log").groupBy("recipient_email").agg(F.count("*").alias("n"))
+
+
 QUERIES = (
     email_domains, extract_emails, email_validity, extract_phones, html_text, page_links, url_normalise, rank_emails, collect_row_emails, clean_contacts,
     clean_contacts_strict, clean_summary, removed_emails, dedup_companies, mx_summary, verify_contacts, verify_counts, select_contacts, chunk_locations,
     plan_locations, limit_per_group, fill_to_quota, threshold_fallback, niche_relevance, element_search, candidate_skips, merge_sources, merge_sources_greedy, located_elements, niche_matches, build_candidates, resolve_region,
     infer_pattern, address_from_pattern, render_text, run_summary, location_slugs, contact_preview, people_extract, harvest_pages, harvest_planned, page_plan, page_plan_hinted, result_links, place_rows,
-    run_locations, run_all_locations, run_all_located, founders_of_pages, second_search, clean_stream, suppress_stream,
+    run_locations, run_all_locations, run_all_located, founders_of_pages, second_search, clean_stream, suppress_stream, clean_file_stream, suppress_expiring, processed_log_stream,
 )

@@ -61,6 +61,53 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def _file_system(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder of that URI."""
+    system, target = _file_system(spark, path)
+    return system.exists(target)
+
+
+def move(spark: SparkSession, old: str, new: str) -> None:
+    """Renames a folder of one file system; fails if it could not."""
+    system, source = _file_system(spark, old)
+    if not system.rename(source, _file_system(spark, new)[1]):
+        raise OSError(f"could not rename {old} to {new}")
+
+
+def replace_folder(df: DataFrame, path: str, form: str = "parquet", **options) -> None:
+    """Writes df in place of what path holds, which df itself may read.
+
+    The rows are written beside it first, so a write that fails leaves the old
+    folder as it was. Then the old one is renamed away and the new one takes its
+    name; if that fails the old one gets its name back.
+    """
+    spark, mark = df.sparkSession, uuid.uuid4().hex
+    path = path.rstrip("/")
+    new, old = f"{path}.new-{mark}", f"{path}.old-{mark}"
+    try:
+        df.write.format(form).options(**options).save(new)
+    except Exception:
+        remove(spark, new)
+        raise
+    there = exists(spark, path)
+    if there:
+        move(spark, path, old)
+    try:
+        move(spark, new, path)
+    except Exception:
+        if there:
+            move(spark, old, path)
+        remove(spark, new)
+        raise
+    if there:
+        remove(spark, old)
+
+
 #: Rows that Spark hands to Python at once when they hold whole texts.
 TEXT_ROWS = 1_000
 

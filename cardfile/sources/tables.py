@@ -20,11 +20,15 @@ def _csv(spark: SparkSession):
     return spark.read.option("header", True).option("multiLine", True).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).option("escape", '"')
 
 
-def list_contact_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, file, header): CSV files whose name does not hold "sent", with their header line."""
-    lines = spark.read.text(f"{folder}", pathGlobFilter="*.csv").select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"), "value")
+def list_contact_files(spark: SparkSession, folder: str | list[str]) -> DataFrame:
+    """(path, file, header): CSV files whose name does not hold "sent", with their header line.
+
+    A file's first line is that of its first block, which one task reads in
+    order; each task keeps the first line it meets of a file, so that is all that is shuffled.
+    """
+    lines = spark.read.text(folder, pathGlobFilter="*.csv").select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"), "value")
     first = lines.where(~F.contains(F.lower("file"), F.lit("sent")) & (F.col("block") == 0)).groupBy("path", "file").agg(F.min_by("value", "n").alias("header"))
-    return first.withColumn("header", F.regexp_replace("header", "^﻿|\r$", ""))
+    return first.withColumn("header", F.regexp_replace("header", "^\ufeff|\r$", ""))
 
 
 def has_email_columns(columns: list[str]) -> bool:
@@ -39,7 +43,16 @@ def read_contacts(spark: SparkSession, folder: str) -> DataFrame:
     rows apart and follows their order within a file. Empty values are '', values are trimmed. The headers (a few layouts) and their paths are
     what reaches the driver.
     """
-    layouts = list_contact_files(spark, folder).groupBy("header").agg(F.collect_list("path").alias("paths")).orderBy("header").collect()
+    return _by_layout(spark, list_contact_files(spark, folder))
+
+
+def read_contact_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """read_contacts of these files."""
+    return _by_layout(spark, list_contact_files(spark, paths))
+
+
+def _by_layout(spark: SparkSession, files: DataFrame) -> DataFrame:
+    layouts = files.groupBy("header").agg(F.collect_list("path").alias("paths")).orderBy("header").collect()
     frames = []
     for layout in layouts:
         rows = _csv(spark).csv(layout["paths"])
@@ -117,7 +130,12 @@ def processed_emails(log: DataFrame) -> DataFrame:
     return log.select(F.lower(_first_of(log, ("Recipient Email", "recipient_email", "Email", "email"), "")).alias("email")).select(trimmed("email").alias("email")).where("email <> ''").distinct()
 
 
-def append_processed_log(df: DataFrame, path: str) -> None:
-    df.withColumn("timestamp", F.current_timestamp()).write.mode("append").parquet(path)
+def append_processed_log(df: DataFrame, path: str, batch: int | None = None) -> None:
+    """Appends rows, with the time, to a log. Those of a numbered batch replace what an earlier try of it has written, so a batch that is tried again is there once."""
+    rows = df.withColumn("timestamp", F.current_timestamp())
+    if batch is None:
+        rows.write.mode("append").parquet(path)
+    else:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
