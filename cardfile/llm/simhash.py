@@ -8,6 +8,7 @@ own segment, and the complete distance is verified for what it meets there.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -23,7 +24,8 @@ from cardfile.sources.store import cut, text_batches
 
 SHINGLE_WORDS = 4
 RADIUS = 4
-SEGMENTS = 3
+#: Numbers of segments to choose from; fewer are longer, which takes more probes and meets fewer others by chance.
+SEGMENTS = (2, 3, 4)
 SEED = 42
 #: Entries of one segment value above which it is dealt out in blocks of about this size.
 BLOCK = 1024
@@ -74,6 +76,20 @@ def segment_plan(radius: int, segments: int, bits: int = 64) -> list[tuple[int,
     return [(lo, hi - lo, q if i <= r else q - 1) for i, (lo, hi) in enumerate(zip(edges, edges[1:]))]
 
 
+def chosen_segments(n: int, radius: int = RADIUS, among: tuple[int, ...] = SEGMENTS) -> int:
+    """The number of segments with the fewest probes and chance meetings together for n fingerprints.
+
+    A probe of a segment of w bits meets n / 2**w others by chance. So meetings, which
+    grow as the square of n, are kept to about the probes by longer segments.
+    """
+
+    def cost(segments: int) -> float:
+        probes = [(sum(math.comb(width, k) for k in range(ball + 1)), width) for _, width, ball in segment_plan(radius, segments) if ball >= 0]
+        return sum(count * (1 + n / 2**width) for count, width in probes)
+
+    return min(among, key=cost)
+
+
 def _keys(radius: int, segments: int, balls: bool) -> Column:
     """Array of longs: the table's keys of a fingerprint `f`, or its probes' keys."""
     keys = []
@@ -109,15 +125,18 @@ def forest(q: np.ndarray, t: np.ndarray, radius: int) -> tuple[np.ndarray, np.nd
     return a[a != b], b[a != b]
 
 
-def hamming_links(fingerprints: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, block: int = BLOCK) -> DataFrame:
+def hamming_links(fingerprints: DataFrame, radius: int = RADIUS, segments: int | None = None, block: int = BLOCK) -> DataFrame:
     """Links (a, b) between distinct fingerprints, enough for exact components.
 
-    fingerprints: one column `f` (long), each value once, no nulls. Segment
+    fingerprints: one column `f` (long), each value once, no nulls; segments: as
+    chosen_segments, unless given. Segment
     values with up to `block` entries give every pair within `radius`. The
     others are cut into blocks of entries and of probes; each pair of blocks is
     one bounded group that returns a spanning forest of its links, so rows
     grow with the entries and not with the pairs.
     """
+    if segments is None:
+        segments = chosen_segments(fingerprints.count(), radius)
     table = fingerprints.select(F.explode(_keys(radius, segments, False)).alias("k"), F.col("f").alias("t"))
     probes = fingerprints.select(F.explode(_keys(radius, segments, True)).alias("k"), "f")
     hot = cut(table.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > block), "hot")
@@ -139,7 +158,7 @@ def hamming_links(fingerprints: DataFrame, radius: int = RADIUS, segments: int =
     return links.unionByName(blocks.groupBy("k", "own_bq", "own_bt").applyInPandas(link, "a long, b long"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, radius: int = RADIUS, segments: int = SEGMENTS, with_text_hash: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, radius: int = RADIUS, segments: int | None = None, with_text_hash: bool = False) -> DataFrame:
     """(id_col, fingerprint long, component_id): every row with its component's smallest id; with_text_hash also text_hash, which tells rows of one id apart.
 
     Null, empty and word-less texts have fingerprint 0 and link with each other
@@ -149,7 +168,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the two named are not read. An empty table gives an empty table.
     """
     prints = cut(text_batches(docs).select(F.col(id_col), fingerprint_column(text_col, shingle_words).alias("f"), *([_text_hash(text_col)] if with_text_hash else [])), "simhash")
-    first = prints.groupBy("f").agg(F.min(id_col).alias("first_id"))
+    first = cut(prints.groupBy("f").agg(F.min(id_col).alias("first_id")), "distinct")
     linked = components(hamming_links(first.select("f"), radius, segments))
     named = first.join(linked, first.f == linked.node, "left").select("f", "first_id", F.coalesce("component", "f").alias("c"))
     lowest = named.groupBy("c").agg(F.min("first_id").alias("component_id"))

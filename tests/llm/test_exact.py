@@ -8,10 +8,12 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import public_tokenizers
-from cardfile.llm import components, images, langid, pack, paragraphs, pii, queries, records, shards, simhash, tokens
+from cardfile.llm import components, decontaminate, images, langid, pack, paragraphs, pii, quality, queries, records, shards, simhash, tokens
+from cardfile.sources.store import new_path
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -64,24 +66,29 @@ def test_simhash_is_exact(spark, sf_dir, texts):
     assert [df.component_id[i] for i in ids] == [ids[r] for r in roots(len(ids), near)]
 
 
-def test_hot_tables_link_as_all_pairs(spark):
+@pytest.mark.parametrize("segments", [None, 2, 3, 4])
+def test_hot_tables_link_as_all_pairs(spark, segments):
     rng = np.random.default_rng(2)
     base = rng.integers(0, 1 << 62)
     values = sorted({int(base) ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 6), replace=False)) for _ in range(250)})
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
-    links = simhash.hamming_links(spark.createDataFrame([(v,) for v in signed], "f long"), block=20).collect()
+    links = simhash.hamming_links(spark.createDataFrame([(v,) for v in signed], "f long"), segments=segments, block=20).collect()
     at = {v: i for i, v in enumerate(signed)}
     assert all((values[at[x.a]] ^ values[at[x.b]]).bit_count() <= 4 for x in links)
     near = [(a, b) for a in range(len(values)) for b in range(a) if (values[a] ^ values[b]).bit_count() <= 4]
     assert roots(len(values), [(at[x.a], at[x.b]) for x in links]) == roots(len(values), near)
 
 
-@pytest.mark.parametrize(("radius", "segments"), [(4, 3), (4, 4), (3, 2), (6, 4)])
+@pytest.mark.parametrize(("radius", "segments"), [(4, 2), (4, 3), (4, 4), (3, 2), (6, 4)])
 def test_balls_cover_the_radius(radius, segments):
     plan = simhash.segment_plan(radius, segments)
     assert sum(w for _, w, _ in plan) == 64 and sum(b + 1 for _, _, b in plan) == radius + 1
 
 
+def test_segments_follow_the_count():
+    assert [simhash.chosen_segments(10**k) for k in (2, 6, 9)] == [4, 3, 2]
+
+
 def test_pii_base_is_exact(spark, sf_dir, texts):
     df = result(spark, sf_dir, "op3_pii").set_index("doc_id")
     kinds = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -253,3 +260,83 @@ def test_numerals_are_no_letters():
 def test_langid_counts_each_gram_once():
     grams = langid.ngrams("ab", (2,), 1 << 15)
     assert len(grams) == 3 and len(set(grams.tolist())) == 3
+
+
+def test_language_is_naive_bayes(spark, sf_dir):
+    """Predictions against counts and probabilities worked out gram by gram in plain Python."""
+    import math
+    from collections import Counter
+
+    rows = pq.read_table(f"{sf_dir}/documents.parquet").to_pandas()
+    learned = [(t, lang) for i, t, lang in zip(rows.doc_id, rows.text, rows.lang) if zlib.crc32(str(i).encode()) % 5 and lang is not None and t is not None]
+
+    def grams(text):
+        folded = re.sub(rb"[^a-z\x80-\xff]+", b" ", text.lower().encode())
+        folded = b" " + folded.strip() + b" " if folded.strip() else b"  "
+        out = []
+        for n in (2, 3, 4):
+            for i in range(len(folded) - n + 1):
+                code = folded[i]
+                for b in folded[i + 1 : i + n]:
+                    code = (code * 257 + b) % 2**32
+                out.append(((code + n) * 2654435761 % 2**32) >> 17)
+        return out
+
+    counts, texts = {}, Counter(lang for _, lang in learned)
+    for text, lang in learned:
+        counts.setdefault(lang, Counter()).update(grams(text))
+    whole = {lang: sum(c.values()) + 0.5 * (1 << 15) for lang, c in counts.items()}
+    found = result(spark, sf_dir, "op7_language").set_index("doc_id")
+    for i, text in zip(rows.doc_id, rows.text):
+        if text is None or not any(c.isalpha() for c in text):
+            assert found.lang_pred[i] == "und"
+            continue
+        own = Counter(grams(text))
+        total = {lang: math.log(texts[lang]) + sum(n * math.log((counts[lang][g] + 0.5) / whole[lang]) for g, n in own.items()) for lang in counts}
+        best = max(sorted(total), key=total.get)
+        assert found.lang_pred[i] == best
+        assert abs(found.score[i] - 1 / sum(math.exp(x - total[best]) for x in total.values())) < 1e-3
+
+
+def test_rules_as_columns_are_the_rules(spark, sf_dir):
+    """The compiled column against each rule evaluated row by row, and how the score ranks held-out labels."""
+    import math
+
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality.fit(docs, labels.where(~quality.held_out()))
+    assert model.rules
+    scored = {r.doc_id: r.score for r in quality.score(docs.select("doc_id", "text"), model).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for i, text in texts.items():
+        stats = dict(zip(quality.STATISTICS, quality.statistics((text or "").encode() if text is not None else None)))
+        total = model.prior + sum(w for rule, w in zip(model.rules, model.weights) if all(stats[n] > b if above else stats[n] <= b for n, above, b in rule.terms))
+        assert abs(scored[i] - 1 / (1 + math.exp(-total))) < 1e-9
+    held = [(scored[r.doc_id], r.quality) for r in labels.where(quality.held_out()).collect() if r.quality is not None]
+    good, bad = [s for s, q in held if q == 1], [s for s, q in held if q == 0]
+    if good and bad:
+        auc = sum((g > b) + 0.5 * (g == b) for g in good for b in bad) / (len(good) * len(bad))
+        assert auc > 0.9 and sum(b < quality.THRESHOLD for b in bad) >= 0.6 * len(bad)
+
+
+def test_shards_on_disk_prune(spark, tmp_path):
+    """All rows come back, and a file holds few of the values of each dimension."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", "source", "n_chars")
+    path = f"file://{tmp_path}/shards"
+    shards.write_shards(docs, path, 24)
+    back = spark.read.parquet(path)
+    assert back.select("doc_id").exceptAll(docs.select("doc_id")).isEmpty() and back.count() == docs.count()
+    files = back.groupBy("shard").agg(F.collect_set("lang"), F.collect_set("source")).collect()
+    mean = lambda i: sum(len(r[i]) for r in files) / len(files)
+    assert len(files) == 24 and mean(1) < 0.6 * docs.select("lang").distinct().count() and mean(2) < 0.6 * docs.select("source").distinct().count()
+
+
+def test_index_joins_do_not_depend_on_broadcasts(spark, sf_dir, monkeypatch):
+    docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    shown = lambda **s: sorted((r.doc_id, r.n_hit, r["items"]) for r in decontaminate.contamination(docs, bench, **s).collect())
+    assert shown() == shown(broadcast_hashes=0)
+    path = new_path(spark, "records")
+    records.write_records(docs, path)
+    ids = lambda: [(r.id, r.start, bytes(r.ids)) for r in sorted(records.read_records(spark, path).collect(), key=lambda r: r.start)]
+    first = ids()
+    monkeypatch.setattr(records, "BROADCAST_FILES", 0)
+    assert first == ids()
