@@ -225,8 +225,8 @@ def _links_of(saved: str) -> str:
 
 
 def _result_links() -> str:
-    page = "concat('<h3><a href=\"', url, '\">A &amp; B ', cast(page_id as varchar), '</a></h3><h3><a href=\"https://www.yelp.com/x\">no</a></h3><a class=\"result__a\" href=\"//r.test/?uddg=https%3A%2F%2Fother', cast(page_id % 50 as varchar), '.test%2Fp\">Other</a>', html)"
-    return f"with {_links_of(f'saved as (select {chr(39)}it{chr(39)} as query, cast(page_id % 20 as varchar) as location, {page} as html from pages)')} select * from links"
+    page = "concat('<h3><a href=\"', url, '\">A &amp; B ', cast(page_id as varchar), '</a></h3><h3><a href=\"https://www.yelp.com/x\">no</a></h3><a class=\"result__a\" href=\"//r.test/?uddg=https%3A%2F%2Fother', cast(page_id // 5 as varchar), '.test%2Fp\">Other</a>', html)"
+    return f"with {_links_of(f'saved as (select {chr(39)}it{chr(39)} as query, cast(page_id // 10 as varchar) as location, {page} as html from pages)')} select * from links"
 
 
 def _second_search(least: int) -> str:
@@ -440,8 +440,8 @@ def all_sql() -> dict[str, str]:
         "page_plan_hinted": _page_plan(16, C.CONTACT_HINTS),
         "page_plan": _page_plan(16),
         "result_links": _result_links(),
-        "place_rows": """select (p_partkey % 1000)::varchar as id, trim(p_name) as name, concat('https://p', cast(p_partkey as varchar), '.test') as website, cast(p_partkey as varchar) as phone from part
-            where p_partkey % 9 <> 0 and trim(p_name) <> '' qualify row_number() over (partition by p_partkey % 1000 order by trim(p_name), website, phone) = 1""",
+        "place_rows": """select (p_partkey // 2)::varchar as id, trim(p_name) as name, concat('https://p', cast(p_partkey as varchar), '.test') as website, cast(p_partkey as varchar) as phone from part
+            where p_partkey % 9 <> 0 and trim(p_name) <> '' qualify row_number() over (partition by p_partkey // 2 order by trim(p_name), website, phone) = 1""",
         "run_all_locations": _all_locations(),
         "run_all_located": _all_located(),
         "founders_of_pages": _founders(D.MENTIONS, D.FIRMS),

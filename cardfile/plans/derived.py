@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 CONTACTS = """
-select c_custkey as ord, n_name as location, c_mktsegment as niche,
+select c_custkey as ord, concat(n_name, ' ', cast(cast(floor(c_custkey / 200) as bigint) as string)) as location, c_mktsegment as niche,
   concat(case when c_custkey % 3 = 0 then 'ACME ' else 'Acme ' end, cast(cast(floor(c_custkey / 7) as bigint) as string)) as company_name,
   concat(case when c_custkey % 4 = 0 then 'https://www.CO' else 'https://www.co' end, cast(cast(floor(c_custkey / 7) as bigint) as string), '.test') as website,
   case c_custkey % 4 when 0 then 'OSM' when 1 then 'OSM (fill)' when 2 then 'HERE' else 'DuckDuckGo' end as source,
@@ -53,14 +53,14 @@ from {orders} where o_totalprice > 400000
 """
 
 ELEMENTS = """
-select case when p_partkey % 3 = 0 then 'way' else 'node' end as type, p_partkey % 5000 as id, p_partkey as ord,
+select case when p_partkey % 3 = 0 then 'way' else 'node' end as type, cast(floor(p_partkey / 2) as bigint) as id, p_partkey as ord,
   cast(p_partkey % 90 as double) as lat, cast(p_partkey % 180 as double) as lon,
   case p_partkey % 4 when 0 then 'it' when 1 then 'bakery' when 2 then 'data, cloud' else 'fitness gym' end as niche,
   case p_partkey % 6 when 0 then concat('IT ', p_name) when 1 then concat('Data ', p_name, ' Systems') when 2 then concat(p_name, ' Bakery') when 3 then '' when 4 then concat('Techno', p_name) else p_name end as name,
   case p_partkey % 5 when 0 then 'it' when 1 then 'company' else '' end as office,
   case when p_partkey % 7 = 0 then 'bakery' else '' end as shop,
   case when p_partkey % 8 = 0 then 'Cloud software' else '' end as industry,
-  case p_partkey % 9 when 0 then '' when 1 then 'https://www.facebook.com/x' when 2 then 'fedex.com' else concat('https://p', cast(p_partkey % 997 as string), '.test/') end as website,
+  case p_partkey % 9 when 0 then '' when 1 then 'https://www.facebook.com/x' when 2 then 'fedex.com' else concat('https://p', cast(cast(floor(p_partkey / 8) as bigint) as string), '.test/') end as website,
   concat('city', cast(cast(floor(p_partkey / 80) as bigint) as string)) as location
 from {part}
 """
@@ -75,18 +75,18 @@ from {part}
 #: Companies of other sources, in the niches and locations of the elements.
 HITS = {
     "HERE": """select concat('h', cast(p_partkey as string)) as id, case p_partkey % 3 when 0 then p_name when 1 then concat(p_name, ' Ltd') else concat(p_brand, ' ', cast(p_size as string)) end as name,
-  concat('https://h', cast(p_partkey % 1200 as string), '.test') as website, 'HERE' as source,
+  concat('https://h', cast(cast(floor(p_partkey / 3) as bigint) as string), '.test') as website, 'HERE' as source,
   case p_partkey % 4 when 1 then 'it' when 2 then 'bakery' when 3 then 'data, cloud' else 'fitness gym' end as niche, concat('city', cast(cast(floor(p_partkey / 80) as bigint) as string)) as location from {part}""",
     "Google": """select concat('i', cast(p_partkey as string)) as id, concat(p_type, case when p_partkey % 2 = 0 then ' Works' else '' end) as name,
-  concat('https://', case when p_partkey % 5 = 0 then 'p' else 'g' end, cast(p_partkey % 997 as string), '.test') as website, 'Google' as source,
+  concat('https://', case when p_partkey % 5 = 0 then 'p' else 'g' end, cast(cast(floor(p_partkey / 8) as bigint) as string), '.test') as website, 'Google' as source,
   case p_partkey % 4 when 0 then 'it' when 1 then 'bakery' when 2 then 'data, cloud' else 'fitness gym' end as niche, concat('city', cast(cast(floor(p_partkey / 80) as bigint) as string)) as location from {part}""",
 }
 
 CITIES = "select c_custkey as ord, concat('City ', cast(c_custkey as string)) as city from {customer}"
 OUTPUTS = "select distinct concat('City ', cast(o_custkey as string)) as location from {orders} where o_totalprice > 400000"
 #: The locations of the contacts.
-NATION_CITIES = "select n_nationkey as ord, n_name as city from {nation}"
-NATION_OUTPUTS = "select distinct n_name as location from {supplier} join {nation} on s_nationkey = n_nationkey where s_acctbal < -900"
+NATION_CITIES = "select min(c_custkey) as ord, city from (select c_custkey, concat(n_name, ' ', cast(cast(floor(c_custkey / 200) as bigint) as string)) as city from {customer} join {nation} on c_nationkey = n_nationkey) t group by city"
+NATION_OUTPUTS = "select distinct concat(n_name, ' ', cast(cast(floor(s_suppkey / 200) as bigint) as string)) as location from {supplier} join {nation} on s_nationkey = n_nationkey where s_acctbal < -900"
 
 GAZETTEER = """
 select concat('Place ', cast(c_custkey as string)) as name, concat('Place ', cast(c_custkey as string), ' Hotel, ', n_name, ', ', r_name) as display_name, case when c_custkey % 4 = 0 then 'hotel' else 'city' end as osm_type,

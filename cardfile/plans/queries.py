@@ -248,17 +248,17 @@ def page_plan(spark, sf_dir):
 
 
 #: Result links set before a page's own content.
-RESULT_PAGE = "concat('<h3><a href=\"', url, '\">A &amp; B ', cast(page_id as string), '</a></h3><h3><a href=\"https://www.yelp.com/x\">no</a></h3><a class=\"result__a\" href=\"//r.test/?uddg=https%3A%2F%2Fother', cast(page_id % 50 as string), '.test%2Fp\">Other</a>', html)"
+RESULT_PAGE = "concat('<h3><a href=\"', url, '\">A &amp; B ', cast(page_id as string), '</a></h3><h3><a href=\"https://www.yelp.com/x\">no</a></h3><a class=\"result__a\" href=\"//r.test/?uddg=https%3A%2F%2Fother', cast(page_id div 5 as string), '.test%2Fp\">Other</a>', html)"
 
 
 def result_links(spark, sf_dir):
-    pages = D.table(spark, sf_dir, "pages").select(F.lit("it").alias("query"), (F.col("page_id") % 20).cast("string").alias("location"), F.expr(RESULT_PAGE).alias("html"))
+    pages = D.table(spark, sf_dir, "pages").select(F.lit("it").alias("query"), F.expr("cast(page_id div 10 as string)").alias("location"), F.expr(RESULT_PAGE).alias("html"))
     return harvest.result_links(pages)
 
 
 def place_rows(spark, sf_dir):
     part = "named_struct('www', array(named_struct('value', 'ftp://x'), named_struct('value', concat('https://p', cast(p_partkey as string), '.test'))), 'phone', array(named_struct('value', ''), named_struct('value', cast(p_partkey as string))))"
-    rows = D.table(spark, sf_dir, "part").select((F.col("p_partkey") % 1000).cast("string").alias("id"), F.when(F.col("p_partkey") % 9 == 0, "").otherwise(F.col("p_name")).alias("title"), F.expr(f"array({part})").alias("contacts"))
+    rows = D.table(spark, sf_dir, "part").select(F.expr("cast(p_partkey div 2 as string)").alias("id"), F.when(F.col("p_partkey") % 9 == 0, "").otherwise(F.col("p_name")).alias("title"), F.expr(f"array({part})").alias("contacts"))
     return sources.place_rows(rows)
 
 
