@@ -200,7 +200,7 @@ def _candidates(target: int, relaxed_min: int, catch_all_min: int) -> str:
       ({_TAGGED} or {_RELEVANT}) as relevant, {_RELAXED} as relaxed from every where trim(name) <> '' and website <> '' and website <> 'https://www.facebook.com/x'),
     judged as (select *, {_HOST.format('site')} as host, count(*) filter (relevant) over (partition by niche, location) as n from usable),
     chosen as (select * from judged where relevant or (relaxed and n < {relaxed_min})),
-    fresh as (select * from judged j where ord not in (select ord from chosen) and not exists (select 1 from chosen c where c.niche = j.niche and c.location = j.location and c.host = j.host) qualify row_number() over (partition by niche, location, host order by ord) = 1),
+    fresh as (select * from judged j where not exists (select 1 from chosen c where c.niche = j.niche and c.location = j.location and (c.ord = j.ord or c.host = j.host)) qualify row_number() over (partition by niche, location, host order by ord) = 1),
     ranked as (select *, row_number() over (partition by niche, location order by ord) as nth from fresh),
     first as (select niche, location, concat('e', cast(ord as varchar)) as id, name, site as website, 'OSM' as source, host from chosen union all
       select niche, location, concat('e', cast(ord as varchar)), name, site, 'OSM (fill)', host from ranked r where nth <= {target} - (select count(*) from chosen c where c.niche = r.niche and c.location = r.location)),
