@@ -88,6 +88,16 @@ def test_founders_near_a_mention(spark):
     assert [(r.company_name, r.person, r.title) for r in found] == [("acme ltd", "Mia Stone", "Founder")]
 
 
+def test_texts_meet_companies_once(spark):
+    rng = random.Random(4)
+    pages = spark.createDataFrame([(f"<p>Acme {i} Ltd: Bo Field, Manager</p>" + " ".join(f"w{rng.randrange(10**9)}" for _ in range(300)),) for i in range(30)] * 2, "html string")
+    found = harvest.founders_of_pages(pages, spark.createDataFrame([(f"Acme {i} Ltd",) for i in range(0, 60, 2)], "company_name string"))
+    assert {r.company_name for r in found.collect()} == {f"acme {i} ltd" for i in range(0, 30, 2)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    exploded = [line for line in plan.splitlines() if "Generate explode(array_distinct(regexp_extract_all(lower(text" in line]
+    assert exploded and all("[0], false" in line for line in exploded)  # the text itself is not repeated for each word
+
+
 def test_second_search_fills_small_groups(spark):
     rows = lambda mark, groups: spark.createDataFrame([("it", g, f"{mark}{i}") for g, n in groups for i in range(n)], "niche string, location string, id string")
     found = candidates.second_search(rows("g", [("A", 5), ("B", 2)]), rows("d", [("A", 1), ("B", 1), ("C", 1)]), least=5)
