@@ -39,7 +39,7 @@ def fill_to_quota(chosen: DataFrame, spare: DataFrame, groups: list[str], target
     Hosts are made distinct before rows are ranked, so no group is under-filled.
     """
     taken = chosen.select(*groups, host).distinct()
-    fresh = first_of_each(spare.join(taken, [*groups, host], "left_anti"), [*groups, host], order)
+    fresh = first_of_each(spare.join(taken.hint("merge"), [*groups, host], "left_anti"), [*groups, host], order)
     ranked = fresh.withColumn("_nth", F.row_number().over(Window.partitionBy(*groups).orderBy(*order))).where(F.col("_nth") <= target)
     have = chosen.groupBy(*groups).agg(F.count("*").alias("_have"))
     added = ranked.join(have, groups, "left").where(F.col("_nth") <= target - F.coalesce("_have", F.lit(0))).drop("_nth", "_have")

@@ -54,6 +54,20 @@ def test_greedy_merge_is_one_pass(spark, seed):
     assert {r.name for r in found.collect()} <= {name for rows in sources for _, _, name, _, _ in rows}
 
 
+def test_names_within_names(spark):
+    rng = random.Random(5)
+    names = sorted({"".join(rng.choice("ab ") for _ in range(rng.choice([1, 2, 3, 4, 7, 8, 9, 15, 16, 17, 40]))) for _ in range(150)} | {"", "\u00e4\U0001f600b", "x\u00e4\U0001f600bx", "shop 1", "shop 12", "shop 123"})
+    rows = [(g, f"{g}{i}", n) for g in "uv" for i, n in enumerate(names) if g == "u" or i % 3]
+    table = spark.createDataFrame(rows, "g string, id string, name string")
+    want = {(i, j) for g, i, n in rows for h, j, o in rows if g == h and (n in o or o in n)}
+    other = spark.createDataFrame(rows, "g string, id string, name string")
+    for old in (table, other):
+        assert {tuple(r) for r in candidates.same_names(table, old, ("g",)).collect()} == want
+    # names are never sent to all executors, and meet on pieces of half their length or more
+    assert "BroadcastHashJoin" not in candidates.same_names(table, table, ("g",))._jdf.queryExecution().executedPlan().toString()
+    assert {r.n for r in table.where("length(name) = 40").select(candidates._gram_length("name").alias("n")).collect()} == {32}
+
+
 def test_names_are_kept_as_given(spark):
     rows = [("1", " ACME Ltd ", "https://a.test", "OSM"), ("2", "acme ltd", "https://b.test", "OSM"), ("3", "McBee", None, "OSM")]
     for greedy in (False, True):
