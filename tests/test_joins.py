@@ -95,6 +95,17 @@ def test_planned_pages(spark):
     assert sites["a.test"].contact_person == "Ann Lee" and sites["a.test"].phone_number == "+14155550100" and "desk@a.test" in sites["a.test"].emails
 
 
+def test_pages_go_to_python_in_small_batches(spark):
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows)
+    spark.conf.set(rows, "10000")
+    try:
+        harvest.harvest_planned(spark.createDataFrame([("a.test", "a.test")], "site string, url string"), _store(spark))
+        assert int(spark.conf.get(rows)) <= 1_000
+    finally:
+        spark.conf.set(rows, before)
+
+
 def test_founders_near_a_mention(spark):
     pages = [("<p>The ACME Ltd. was founded by Mia Stone, Founder.</p>",), ("<p>Acme Ltd: Bo Field, Manager</p>",), ("<p>XAcme Ltd, John Doe, CEO</p>",), (None,), ("<p>Acme Ltd</p>" + "<p>filler words</p>" * 60 + "<p>Eva Klein, CEO</p>",)]
     companies = spark.createDataFrame([("acme ltd",), ("Acme Ltd",), ("Nobody Inc",), ("",), (None,)], "company_name string")
