@@ -146,3 +146,16 @@ def test_a_run_to_folders_tells_what_it_wrote(spark, tmp_path):
     assert rows["Data Beta"]["Founder Source"] == "search" and rows["Data Beta"]["Contact Person"] == "Mia Stone"
     again = run_all_locations(*inputs, **settings)
     assert {r.company_name for r in again.collect()} == set(rows)
+
+
+@pytest.mark.parametrize("listed, given", [(1, 1), (3, 20), (1_000, 1 << 26)])
+def test_places_of_one_box_are_listed_after_the_last_shuffle(spark, listed, given):
+    points = [(i, float(i % 7), float(i % 5)) for i in range(60)] + [(0, 0.0, 0.0)] * 2
+    boxes = [(f"a{i}", 0.0, 3.0, -0.0 if i % 2 else 0.0, 2.0) for i in range(25)] + [(f"b{i}", 2.0, 6.0, 1.0, 4.0) for i in range(10)] + [("a0", 5.0, 6.0, 0.0, 4.0), ("a0", 0.0, 3.0, 0.0, 2.0)]
+    table = spark.createDataFrame(points, "ord long, lat double, lon double")
+    regions = spark.createDataFrame(boxes, "location string, south double, north double, west double, east double")
+    found = spatial.located(table, regions, dense=10, listed=listed, given=given)
+    distinct = {(n, s, t, w + 0.0, e) for n, s, t, w, e in boxes}
+    assert sorted((r.ord, r.location) for r in found.collect()) == sorted((i, n) for i, lat, lon in points for n, s, t, w, e in distinct if s <= lat <= t and w <= lon <= e)
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert any("explode(_locations" in line for line in plan[:2])  # nothing of the size of the result is shuffled
