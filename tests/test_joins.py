@@ -159,3 +159,17 @@ def test_places_of_one_box_are_listed_after_the_last_shuffle(spark, listed, give
     assert sorted((r.ord, r.location) for r in found.collect()) == sorted((i, n) for i, lat, lon in points for n, s, t, w, e in distinct if s <= lat <= t and w <= lon <= e)
     plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
     assert any("explode(_locations" in line for line in plan[:2])  # nothing of the size of the result is shuffled
+
+
+def test_niches_of_elements_equal_the_rules_of_each_pair(spark):
+    rows = [(i, f"{p} {i}", {"office": "IT"} if i % 3 == 0 else {"a=b": "c", "shop": None}) for i, p in enumerate(["Acme Software", "x c# z", "IT", "it-haus", "", "Web  Design", "web design", "ab", "Bäckerei & Café", None] * 3)]
+    table = spark.createDataFrame(rows, "ord long, name string, tags map<string,string>")
+    asked = spark.createDataFrame([("it",), ("web design",), ("b2",), ("coffee shop",)], "niche string")
+    tables = {"terms": {"b2": ("c#", "ab", "cloud", "software"), "it": ("software",)}}
+    found = niches.niche_matches(table, asked, **tables)
+    every = candidates.judged(table.crossJoin(asked), name="name", **tables).where("relevant or relaxed")
+    key = lambda r: (r.ord, r.niche, r.relevant, r.relaxed)
+    assert sorted(map(key, found.collect())) == sorted(map(key, every.collect())) and not found.isEmpty()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_COL" in plan  # rows are dealt once, before their keys are listed, and what is found is not shuffled
+    assert not any("hashpartitioning" in line and "relevant#" in line for line in plan.splitlines())
