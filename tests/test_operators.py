@@ -89,3 +89,11 @@ def test_all_locations_give_contact_rows(spark):
     assert (one.contact_person, one.founder_source, one.source, one.contact_email) == ("Ann Lee", "website", "OSM", "info@one.test")
     assert (two.contact_person, two.contact_title, two.founder_source, two.contact_email_inferred) == ("Mia Stone", "Founder", "search", "mia.stone@two.test")
     assert (other.source, other.founder_source, other.all_emails_found) == ("HERE", "none", "x@o.test")
+
+
+def test_each_address_is_judged_once(spark):
+    rows = [(1, "a@b.test", "A@b.test; no"), (2, "", "no"), (3, None, "c@d.test, e@f.test"), (4, "", None), (1, "a@b.test", "A@b.test; no")]
+    df = clean.clean_contacts(spark.createDataFrame(rows, "ord long, contact_email string, all_emails_found string"))
+    assert sorted(map(tuple, df.collect())) == [(1, "a@b.test", "a@b.test")] * 2 + [(3, "c@d.test", "c@d.test; e@f.test")]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"@.*\d+\.\d+\.\d+") == 1
