@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cardfile.functions import constants as C
 from cardfile.functions import scalars as S
-from cardfile.operators.candidates import build_candidates, resolve_region
+from cardfile.operators.candidates import element_candidates, merge_sources, resolve_region
 from cardfile.operators.dedup import first_of_each, limit_per_group
 from cardfile.operators.harvest import founders_of_pages, harvest_pages, harvest_planned
 from cardfile.operators.niches import niche_matches
@@ -17,18 +17,35 @@ from cardfile.sources.store import cut
 from cardfile.sources.tables import write_contacts
 
 
-def placed_elements(elements: DataFrame, due: DataFrame, gazetteer: DataFrame | None = None, niches: DataFrame | None = None, **tables) -> DataFrame:
-    """elements with location and niche: as they have them, or by the region of each due location and the niches that they match.
+def areas_of(due: DataFrame, gazetteer: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(location, area) of each due location, and (area, south, north, west, east) of the areas' boxes.
 
-    due: location. With a gazetteer, elements have lat and lon, and one in several
-    regions is a row of each. With niches, an element is a row of each niche that
+    Locations of the same boxes have one area, those without a box have none. Without a gazetteer
+    each location is its own area, and areas have no boxes.
+    """
+    places = due.select("location").distinct()
+    if gazetteer is None:
+        return cut(places.withColumn("area", F.col("location")), "places"), None
+    sides = ["south", "north", "west", "east"]
+    boxes = resolve_region(places, gazetteer).select("location", *[(F.col(c) + 0.0).alias(c) for c in sides]).where("south <= north and west <= east")
+    named = boxes.groupBy("location").agg(F.sort_array(F.collect_set(F.array(*sides))).alias("boxes"))
+    named = named.withColumn("area", F.concat_ws(";", F.transform("boxes", lambda b: F.array_join(b.cast("array<string>"), " "))))
+    found = cut(places.join(named, "location", "left"), "places")
+    each = found.select("area", "boxes").where("area is not null").distinct().select("area", F.explode("boxes").alias("b"))
+    return found.select("location", "area"), each.select("area", *[F.col("b")[i].alias(c) for i, c in enumerate(sides)])
+
+
+def placed_elements(elements: DataFrame, places: DataFrame, boxes: DataFrame | None = None, niches: DataFrame | None = None, **tables) -> DataFrame:
+    """elements with area and niche: of their own location and niche, or by the areas' boxes that hold them and the niches that they match.
+
+    places and boxes: as areas_of gives them. With boxes, elements have lat and lon, and one in several
+    areas is a row of each. With niches, an element is a row of each niche that
     it matches, strictly or loosely.
     """
-    rows = elements
-    if gazetteer is not None:
-        rows = located(rows.drop("location"), resolve_region(due, gazetteer))
+    if boxes is not None:
+        rows = located(elements.drop("location"), boxes.withColumnRenamed("area", "location")).withColumnRenamed("location", "area")
     else:
-        rows = rows.join(due, "location", "left_semi")
+        rows = elements.join(places, "location")
     if niches is not None:
         rows = cut(rows.drop("niche"), "placed")
         once = rows.dropDuplicates(["ord"]).withColumn("_name", F.try_element_at("tags", F.lit("name")))
@@ -44,7 +61,8 @@ def run_all_locations(
 
     cities and outputs: as in plan_locations, slices its skip, limit, k and n.
     elements, others, by_host and settings: as in build_candidates, with niche
-    and location, or as placed_elements finds these by gazetteer and niches. pages: site,
+    and location, or as placed_elements finds these by gazetteer and niches; locations of one
+    box share their elements' candidates, of which the best per_group are listed for each at the end. pages: site,
     page_ord and html of pages to harvest, or url and html of a store, of which each
     company's plan takes some (hops as in planned_pages); either way only found companies' pages are read for more than their
     address. founders: company_name, person and title found by search, or founder_pages:
@@ -56,8 +74,17 @@ def run_all_locations(
     watch = watch or {}
     due = plan_locations(cities, outputs, **(slices or {})).select(F.col("city").alias("location"))
     tables = {k: settings[k] for k in ("tags", "terms") if k in settings}
-    here = placed_elements(elements, due, gazetteer, niches, **tables)
-    found = build_candidates(here, [df.join(due, "location", "left_semi") for df in others], by_host, watch=watch.get("found"), **settings)
+    places, boxes = areas_of(due, gazetteer)
+    here = placed_elements(elements.drop("area", "times"), places, boxes, niches, **tables)
+    greedy = settings.pop("greedy", False)
+    times = places.groupBy("area").agg(F.count("*").alias("times"))
+    shared = ["niche", "area"]
+    own = cut(element_candidates(here.join(times, "area"), tuple(shared), watch=watch.get("found"), times="times", **settings), "own")
+    later = merge_sources([df.drop("area").join(places, "location") for df in others], by_host, ("niche", "location"), greedy=greedy, base=own, base_groups=tuple(shared)) if others else None
+    # a row has an area, for all its locations, or a location of its own
+    found = own.join(times, "area").withColumns({"location": F.lit(None).cast("string"), "priority": F.lit(0)})
+    if later is not None:
+        found = found.unionByName(later.withColumns({"area": F.lit(None).cast("string"), "times": F.lit(1).cast("long")}))
     found = cut(found.withColumn("site", S.url_domain("website")), "found")
     if "page_ord" in pages.columns:
         sites = harvest_pages(pages.join(found.select("site").distinct(), "site", "left_semi"))
@@ -66,7 +93,7 @@ def run_all_locations(
         sites = harvest_planned(homes, pages, hops)
     rows = found.join(sites, "site", "left")
     if "harvested" in watch:
-        rows = rows.observe(watch["harvested"], F.count("*").alias("companies"), F.count_if(F.coalesce(F.size("emails"), F.lit(0)) <= 0).alias("no_valid_email"))
+        rows = rows.observe(watch["harvested"], F.coalesce(F.sum("times"), F.lit(0)).alias("companies"), F.coalesce(F.sum(F.when(F.coalesce(F.size("emails"), F.lit(0)) <= 0, F.col("times"))), F.lit(0)).alias("no_valid_email"))
     rows = rows.where(F.size("emails") > 0)
     if founders is None and founder_pages is not None:
         founders = founders_of_pages(founder_pages, found.select(F.col("name").alias("company_name")))
@@ -81,13 +108,16 @@ def run_all_locations(
     pattern = F.coalesce(F.get(F.filter(F.transform("emails", lambda e: F.when((S.email_domain(e) == F.col("site")) & ~S.email_local(e).isin(*C.GENERIC_LOCALS), S.email_pattern(S.email_local(e)))), lambda p: p.isNotNull()), F.lit(0)), F.lit("{first}.{last}"))
     guess = F.when(by_search, S.address_from_pattern("searched.person", "site", pattern)).otherwise(F.col("contact_email_inferred"))
     rows = rows.select(
-        "niche", "location", F.col("id").alias("ord"), "priority", F.col("name").alias("company_name"), "website", "source", "phone_number",
+        "niche", "area", "location", F.col("id").alias("ord"), "priority", F.col("name").alias("company_name"), "website", "source", "phone_number",
         F.when(by_search, F.col("searched.person")).otherwise(F.col("contact_person")).alias("contact_person"), F.when(by_search, F.col("searched.title")).otherwise(F.col("contact_title")).alias("contact_title"),
         "contact_email", S.founder_source(own | by_search, own).alias("founder_source"), S.join_emails("emails").alias("all_emails_found"), guess.alias("contact_email_inferred"),
     )
-    keys = ["niche", "location", F.lower(S.trimmed("company_name")).alias("_name"), F.lower(S.trimmed("website")).alias("_site")]
-    once = first_of_each(rows, keys, ["priority", "ord"])
-    return limit_per_group(once, ["niche", "location"], per_group, ["priority", "ord"]).select("niche", "location", *C.CONTACT_COLUMNS, "contact_email_inferred")
+    order, listed = ["priority", "ord"], [F.lower(S.trimmed("company_name")).alias("_name"), F.lower(S.trimmed("website")).alias("_site")]
+    # an area's best rows are those of each of its locations, so no more of them are listed
+    best = limit_per_group(first_of_each(rows, ["niche", "area", "location", *listed], order), ["niche", "area", "location"], per_group, order)
+    every = best.withColumnRenamed("location", "_own").join(places, "area", "left").withColumn("location", F.coalesce("_own", "location")).drop("_own", "area")
+    once = first_of_each(every, ["niche", "location", *listed], order)
+    return limit_per_group(once, ["niche", "location"], per_group, order).select("niche", "location", *C.CONTACT_COLUMNS, "contact_email_inferred")
 
 
 def run_to_folder(path: str, *inputs, **settings) -> dict:

@@ -173,3 +173,29 @@ def test_niches_of_elements_equal_the_rules_of_each_pair(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_COL" in plan  # rows are dealt once, before their keys are listed, and what is found is not shuffled
     assert not any("hashpartitioning" in line and "relevant#" in line for line in plan.splitlines())
+
+
+def test_places_of_one_box_share_their_candidates(spark, monkeypatch):
+    from pyspark.sql import Observation
+
+    from cardfile.operators import locations
+
+    near, small, far = (0.0, 1.0, 0.0, 1.0), (0.5, 1.0, 0.0, 1.0), (50.0, 51.0, 0.0, 1.0)
+    boxes = [("A", near), ("B", near), ("C", near), ("D", small), ("E", small), ("E", far)]
+    gazetteer = spark.createDataFrame([(n, f"{n}, Land", "city", *b) for n, b in boxes], "name string, display_name string, osm_type string, south double, north double, west double, east double")
+    cities, outputs = spark.createDataFrame(list(enumerate("ABCDEF")), "ord long, city string"), spark.createDataFrame([], "location string")
+    points = [("IT Alpha", "a.test", 0.1), ("IT Beta", "b.test", 0.2), ("IT Gamma", "g.test", 0.7), ("IT Delta", "d.test", 50.5)]
+    elements = spark.createDataFrame([("node", i, i, lat, 0.5, {"name": n, "website": s, "office": "it"}) for i, (n, s, lat) in enumerate(points)], "type string, id long, ord long, lat double, lon double, tags map<string,string>")
+    hits = [("A", "it alpha", "x.test"), ("B", "New One", "n.test"), ("D", "IT Alpha", "a.test"), ("D", "Host Twin", "g.test"), ("F", "IT Alpha", "a.test"), ("F", "IT Alpha Ltd", "l.test")]
+    hits = spark.createDataFrame([("it", p, f"h{i}", n, f"https://{s}", "HERE") for i, (p, n, s) in enumerate(hits)], "niche string, location string, id string, name string, website string, source string")
+    pages = spark.createDataFrame([(f"{k}.test", 0, f"info@{k}.test") for k in "abgdnlx"], "site string, page_ord int, html string")
+    placed, once = [], locations.element_candidates
+    monkeypatch.setattr(locations, "element_candidates", lambda rows, *more, **named: placed.append(rows.count()) or once(rows, *more, **named))
+    watch = {k: Observation(k) for k in ("found", "harvested")}
+    found = locations.run_all_locations(cities, outputs, elements, [hits], [True], pages, per_group=3, gazetteer=gazetteer, niches=spark.createDataFrame([("it",)], "niche string"), watch=watch)
+    rows = sorted((r.location, r.company_name, r.source) for r in found.collect())
+    own = lambda place, *names: [(place, f"IT {n}", "OSM") for n in names]
+    want = [x for p in "ABC" for x in own(p, "Alpha", "Beta", "Gamma")] + [("D", "IT Alpha", "HERE"), *own("D", "Gamma"), *own("E", "Delta", "Gamma"), ("F", "IT Alpha", "HERE")]
+    assert rows == want
+    assert placed == [6]  # rows of three areas, not of five places
+    assert watch["found"].get["elements"] == 12 and watch["harvested"].get == {"companies": 15, "no_valid_email": 0}
