@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cardfile.functions import constants as C
 from cardfile.functions import scalars as S
-from cardfile.operators.candidates import element_candidates, merge_sources, resolve_region
+from cardfile.operators.candidates import element_candidates, marked_elements, merge_sources, resolve_region
 from cardfile.operators.dedup import first_of_each, limit_per_group
 from cardfile.operators.harvest import founders_of_pages, harvest_pages, harvest_planned
 from cardfile.operators.niches import niche_matches
@@ -35,21 +35,25 @@ def areas_of(due: DataFrame, gazetteer: DataFrame | None = None) -> tuple[DataFr
     return found.select("location", "area"), each.select("area", *[F.col("b")[i].alias(c) for i, c in enumerate(sides)])
 
 
-def placed_elements(elements: DataFrame, places: DataFrame, boxes: DataFrame | None = None, niches: DataFrame | None = None, **tables) -> DataFrame:
+def placed_elements(elements: DataFrame, places: DataFrame, boxes: DataFrame | None = None, niches: DataFrame | None = None, rules: dict | None = None, **tables) -> DataFrame:
     """elements with area and niche: of their own location and niche, or by the areas' boxes that hold them and the niches that they match.
 
     places and boxes: as areas_of gives them. With boxes, elements have lat and lon, and one in several
     areas is a row of each. With niches, an element is a row of each niche that
-    it matches, strictly or loosely.
+    it matches, strictly or loosely, and marked by marked_elements (rules: its hosts and match).
     """
+    rules = rules or {}
     if boxes is not None:
         rows = located(elements.drop("location"), boxes.withColumnRenamed("area", "location")).withColumnRenamed("location", "area")
     else:
         rows = elements.join(places, "location")
     if niches is not None:
         rows = cut(rows.drop("niche"), "placed")
-        once = rows.dropDuplicates(["ord"]).withColumn("_name", F.try_element_at("tags", F.lit("name")))
-        rows = rows.join(niche_matches(once, niches, name="_name", **tables).select("ord", "niche"), "ord")
+        once = rows.select("ord", "type", "id", "tags").dropDuplicates(["ord"]).withColumn("_name", F.try_element_at("tags", F.lit("name")))
+        matches = niche_matches(once, niches, name="_name", **tables).select("ord", "niche")
+        # judged once for each niche, before it is a row of each area
+        marked = marked_elements(once.drop("_name").join(matches, "ord"), **rules, **tables).drop("tags")
+        rows = rows.select("ord", "area").join(marked, "ord")
     return rows
 
 
@@ -75,7 +79,8 @@ def run_all_locations(
     due = plan_locations(cities, outputs, **(slices or {})).select(F.col("city").alias("location"))
     tables = {k: settings[k] for k in ("tags", "terms") if k in settings}
     places, boxes = areas_of(due, gazetteer)
-    here = placed_elements(elements.drop("area", "times"), places, boxes, niches, **tables)
+    rules = {k: settings[k] for k in ("hosts", "match") if k in settings}
+    here = placed_elements(elements.drop("area", "times"), places, boxes, niches, rules, **tables)
     greedy = settings.pop("greedy", False)
     times = places.groupBy("area").agg(F.count("*").alias("times"))
     shared = ["niche", "area"]
