@@ -161,6 +161,21 @@ def test_places_of_one_box_are_listed_after_the_last_shuffle(spark, listed, give
     assert any("explode(_locations" in line for line in plan[:2])  # nothing of the size of the result is shuffled
 
 
+@pytest.mark.parametrize("held_cells", [0, 1 << 17])
+def test_locations_go_to_a_bounded_number_of_parts(spark, held_cells):
+    points, boxes = [(i, i % 40 / 10, i % 23 / 10) for i in range(2000)], [(f"a{i}", 0.0, 3.0, 0.0, 2.0) for i in range(60)] + [(f"b{i}", 1.0, 2.0, 0.5, 1.5) for i in range(9)]
+    table = spark.createDataFrame(points, "ord long, lat double, lon double")
+    regions = spark.createDataFrame(boxes, "location string, south double, north double, west double, east double")
+    found = spatial.located(table, regions, given=1, held_cells=held_cells)
+    assert sorted((r.ord, r.location) for r in found.collect()) == sorted((i, n) for i, lat, lon in points for n, s, t, w, e in boxes if s <= lat <= t and w <= lon <= e)
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert ("hashpartitioning(_level" in plan) == (held_cells == 0)  # few cells are looked up where the points are
+    rows, spread = found.count(), [line for line in plan.splitlines() if "explode(sequence(0, (_parts" in line]
+    assert rows > 50_000 and spread
+    copied = spatial._dealt_boxes(regions.select(F.col("south").alias("_box")), table.select(F.lit(0.0).alias("_box")), 1_000, 1, 100).collect()
+    assert [(r._lists, r._parts) for r in copied] == [(1, 100)]  # not a part for each of its 120,000 rows
+
+
 def test_niches_of_elements_equal_the_rules_of_each_pair(spark):
     rows = [(i, f"{p} {i}", {"office": "IT"} if i % 3 == 0 else {"a=b": "c", "shop": None}) for i, p in enumerate(["Acme Software", "x c# z", "IT", "it-haus", "", "Web  Design", "web design", "ab", "Bäckerei & Café", None] * 3)]
     table = spark.createDataFrame(rows, "ord long, name string, tags map<string,string>")
