@@ -170,7 +170,7 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
                     if size >= chunk_tokens:
                         yield from close(False)
         yield from close(True)
-        give_back()
+        give_back(encoders=True)
 
     made = rows.mapInPandas(pack, "id string, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, tier int, padded long, step_group long")
     return made.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), *made.columns[1:])

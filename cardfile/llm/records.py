@@ -89,7 +89,7 @@ def write_records(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                 part = pdf.iloc[at : at + 1000]
                 keys = (None if pd.isna(k) else int(k) for k in part["id"])
                 yield pd.DataFrame({"record": [frame(k, np.concatenate((ids, end))) for k, ids in zip(keys, encoder.encode(part["text"]))]})
-        give_back()
+        give_back(encoders=True)
 
     # ids pass through pandas as text: whole numbers with nulls would become floats;
     # text files: Spark commits them task by task, on whatever store the path names

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import public_tokenizers
-from cardfile.llm import components, decontaminate, images, langid, pack, paragraphs, pii, quality, queries, records, shards, simhash, tokens
+from cardfile.llm import components, decontaminate, images, langid, pack, paragraphs, pii, quality, queries, records, shards, simhash, tokens, workers
 from cardfile.sources.store import new_path
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -108,6 +108,14 @@ def test_pii_base_is_exact(spark, sf_dir, texts):
         assert df.base_sha256[i] == hashlib.sha256(base.encode()).hexdigest() and df.spans[i].startswith(base)
 
 
+def test_workers_keep_encoders_for_steps_that_use_them():
+    kept = tokens.load("word_bpe_49k.json")
+    workers.give_back(encoders=True)
+    assert tokens.load("word_bpe_49k.json") is kept
+    workers.give_back()  # as any other step's tasks end
+    assert tokens.load("word_bpe_49k.json") is not kept
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_tokens_are_the_tokenizers(texts, name):
     whole = Tokenizer.from_file(public_tokenizers.path(name))
